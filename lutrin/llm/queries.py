@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, pii, quality, simhash, token_output
+from . import bpe, decontaminate, lm, pii, quality, simhash, substring_dedup, token_output
 from .common import documents, scratch
 
 #: The key of the pseudonyms in the query and the pipeline; a deployment passes its own.
@@ -52,6 +52,14 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", F.size("pii_kinds").cast("long").alias("n_replaced"), "pii_kinds")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_simhash, op3_quality, op4_token_output, op5_decontamination, op7_pii)}
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(documents(spark, sf_dir))
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.deduplicate(documents(spark, sf_dir), keep_text=False)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_simhash, op3_quality, op4_token_output, op5_decontamination, op7_pii, op8_lm_scoring, op9_substring_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}
