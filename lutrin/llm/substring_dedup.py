@@ -85,7 +85,7 @@ class Prefixes:
     """The windows of one text and their prefixes."""
 
     def __init__(self, words: np.ndarray, window: int):
-        sums = np.concatenate(([0], words * powers(len(words) + 1)[0][: len(words)])).astype(np.uint64).cumsum(dtype=np.uint64)
+        sums = np.concatenate((np.zeros(1, np.uint64), words * powers(len(words) + 1)[0][: len(words)])).cumsum(dtype=np.uint64)
         self.sums, self.words, self.window, self.width = sums, words, window, window - PREFIX + 1
         self.value = sequence_hashes(words, PREFIX, sums)
         self.least = sliding(self.value, self.width, np.minimum)
