@@ -138,7 +138,7 @@ def repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", window: i
 
     found = settle(once.mapInArrow(prefixes, "prefix long, tid long, at int"))
     leaf = F.struct("tid", "at")
-    inner = found.groupBy("prefix").agg(F.min(leaf).alias("x"), F.max(leaf).alias("y")).where("x <> y").select("prefix")
+    inner = settle(found.groupBy("prefix").agg(F.min(leaf).alias("x"), F.max(leaf).alias("y")).where("x <> y").select("prefix"))
     places = settle(found.join(inner, "prefix").groupBy("tid").agg(F.collect_list("at").alias("places")))
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +154,7 @@ def repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", window: i
 
     some = once.join(small(places.select("tid")), "tid", "left_semi").join(places, "tid").select("tid", "t", "places")
     suffix = settle(some.mapInArrow(suffixes, "prefix long, whole long, tid long, at int"))
-    nodes = suffix.groupBy("prefix", "whole").agg(F.min(leaf).alias("x"), F.max(leaf).alias("y")).where("x <> y").select("prefix", "whole")
+    nodes = settle(suffix.groupBy("prefix", "whole").agg(F.min(leaf).alias("x"), F.max(leaf).alias("y")).where("x <> y").select("prefix", "whole"))
     starts = suffix.join(nodes, ["prefix", "whole"], "left_semi").groupBy("tid").agg(F.collect_list("at").alias("starts"))
     starts = starts.join(many.select("tid"), "tid", "left_anti").select("tid", F.lit(1).cast("long").alias("copies"), "starts")
     return rows, settle(starts.unionByName(many.select("tid", "copies", F.lit(None).cast("array<int>").alias("starts"))))
