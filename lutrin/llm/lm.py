@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from .common import chunks, settle
 
 ORDER = 5
-#: Sequences in the memory of a worker (about 30 bytes each), and most frequent words.
-GRAMS, HEAD = 4_000_000, 150_000
+#: Sequences in the memory of a worker (about 100 bytes each), and most frequent words.
+GRAMS, HEAD = 2_000_000, 100_000
 #: Different sequences or words that a training task gathers before it passes them on.
 GATHERED = 1_000_000
 END, PAD = 0xFF, 0xFE  # bytes that UTF-8 never has
@@ -47,7 +47,7 @@ class Table:
     """Numbers to values, by open addressing over arrays."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(4, int(2 * len(keys)).bit_length())
+        self.bits = max(4, (len(keys) * 4 // 3).bit_length())
         self.keys = np.full(1 << self.bits, -1, np.int64)
         self.values = np.zeros((1 << self.bits, *values.shape[1:]), values.dtype)
         slot, left = self._slot(keys), np.arange(len(keys))
@@ -94,24 +94,28 @@ class Model:
             levels[j] = _sums(source[0] & ((1 << 8 * (j + 1)) - 1), source[1])
         self.nodes: list[Table] = []
         self.counts: list[Table] = []
+        below: tuple[np.ndarray, ...] = ()
         for j, (k, c) in enumerate(levels):
             context = k >> 8
             first = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1]))) if len(k) else np.zeros(0, np.int64)
-            node = np.zeros((len(first), 3))  # occurrences, different bytes, occurrences of these bytes after the shorter context
-            if len(first):
-                node[:, 0] = np.add.reduceat(c, first)
-                node[:, 1] = np.diff(np.append(first, len(k)))
-                if j:
-                    below = levels[j - 1]
-                    at = np.searchsorted(below[0], k & ((1 << 8 * j) - 1))
-                    node[:, 2] = np.add.reduceat(below[1][at], first)
+            different = np.diff(np.append(first, len(k)))
+            total = np.add.reduceat(c, first) if len(first) else first
+            # Occurrences, different bytes; and both after the context that is a byte shorter, without this one's bytes.
+            node = np.zeros((len(first), 4), np.float32)
+            node[:, 0], node[:, 1] = total, different
+            if j and len(first):
+                keys_below, counts_below, contexts_below, total_below, different_below = below
+                at = np.searchsorted(keys_below, k & ((1 << 8 * j) - 1))
+                up = np.searchsorted(contexts_below, context[first] & ((1 << 8 * (j - 1)) - 1))
+                node[:, 2] = total_below[up] - np.add.reduceat(counts_below[at], first)
+                node[:, 3] = different_below[up] - different
             self.nodes.append(Table(context[first], node))
             if j < ORDER:
-                self.counts.append(Table(k, c.astype(np.float64)))
+                self.counts.append(Table(k, c.astype(np.float32)))
             else:
-                place = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(k))))
-                top = np.log10(c / (node[place, 0] + node[place, 1])) if len(k) else np.zeros(0)
+                top = np.log10(c / np.repeat(total + different, different)) if len(k) else np.zeros(0)
                 self.counts.append(Table(k, top.astype(np.float32)))
+            below = (k, c, context[first], total, different)
 
     def log10(self, gram: np.ndarray) -> np.ndarray:
         """The log10 probability of the last byte of each sequence after the others."""
@@ -125,14 +129,16 @@ class Model:
 
     def _escaped(self, gram: np.ndarray) -> np.ndarray:
         out = np.zeros(len(gram))
-        seen, taken = np.zeros(len(gram)), np.zeros(len(gram))  # what the context above excludes: its bytes' occurrences, their number
+        above = np.zeros((len(gram), 2))  # occurrences and different bytes left when those of the longer context are excluded
+        longer = np.zeros(len(gram), bool)  # whether the longer context is known
+        taken = np.zeros(len(gram))
         live = np.arange(len(gram))
         for j in range(ORDER, -1, -1):
             part = gram[live] & ((1 << 8 * (j + 1)) - 1)
             slot = self.nodes[j].find(part >> 8)
-            node = self.nodes[j].values[slot]
+            node = self.nodes[j].values[slot].astype(np.float64)
             known = slot >= 0
-            n, d = node[:, 0] - seen[live], node[:, 1] - taken[live]
+            n, d = np.where(longer[live][:, None], above[live], node[:, :2]).T
             if j < ORDER:
                 hit = self.counts[j].find(part)
                 coded = known & (hit >= 0)
@@ -141,9 +147,7 @@ class Model:
                 coded = np.zeros(len(live), bool)
             escape = known & ~coded & (d > 0)
             out[live[escape]] += np.log10(d[escape] / (n + d)[escape])
-            on = known & ~coded
-            seen[live[on]], taken[live[on]] = node[on, 2], node[on, 1]
-            seen[live[~known]], taken[live[~known]] = 0, 0
+            above[live], taken[live], longer[live] = node[:, 2:], np.where(known, node[:, 1], 0), known
             live = live[~coded]
         out[live] -= np.log10(256 - taken[live])
         return out
@@ -218,8 +222,9 @@ def score(df: DataFrame, doc_id: str = "doc_id", text: str = "text", held_out: C
     total, types = vocabulary.agg(F.sum("c"), F.count("*")).first()
     texts = int(pairs[1][pairs[0] & 0xFF == END].sum())
     tokens, types = (total or 0) + texts, types + (texts > 0)
-    head_rows = vocabulary.orderBy(F.desc("c"), "word").limit(HEAD).collect()
-    head = spark.sparkContext.broadcast({r.word.encode(): r.c for r in head_rows})
+    frequent = vocabulary.orderBy(F.desc("c"), "word").limit(HEAD).select(F.col("word").cast("binary"), "c").toArrow()
+    head = spark.sparkContext.broadcast((frequent.column(0).to_pylist(), frequent.column(1).to_numpy()))
+    del frequent
     down = tokens + 0.5 * (types + 1)
 
     now = base.select("doc_id", "held_out", "t", F.lit(0.0).alias("score"))
@@ -245,7 +250,7 @@ def score(df: DataFrame, doc_id: str = "doc_id", text: str = "text", held_out: C
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # A word's term is worked out once for all texts; rarer words are passed on.
-        terms = {w: float(np.log10((c + 0.5) / down)) for w, c in head.value.items()}
+        terms = dict(zip(head.value[0], np.log10((head.value[1] + 0.5) / down).tolist(), strict=True))
         end = float(np.log10((texts + 0.5) / down))
         for batch in batches:
             for a, b, rows in chunks(batch, "t"):
