@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, lm, pii, quality, simhash, substring_dedup, token_output
+from . import bpe, decontaminate, license_scan, lm, pii, quality, simhash, substring_dedup, token_output, toxicity
 from .common import documents, scratch
 
 #: The key of the pseudonyms in the query and the pipeline; a deployment passes its own.
@@ -46,6 +46,13 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    rest = F.crc32(F.col("doc_id").cast("string")) % 3
+    lexicon = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), usable=rest != 1)
+    return toxicity.score(docs, lexicon).select("doc_id", F.coalesce(rest == 1, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, the text with pseudonyms, and how many values of each kind were replaced."""
     out = pii.pseudonymise(documents(spark, sf_dir).select("doc_id", "text"), DEMONSTRATION_KEY)
@@ -60,6 +67,14 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.deduplicate(documents(spark, sf_dir), keep_text=False)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_simhash, op3_quality, op4_token_output, op5_decontamination, op7_pii, op8_lm_scoring, op9_substring_dedup)}
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files source/lang/doc_id.txt. The table has no licence files, so a document of 40 words at most
+    that speaks of a licence in its first line stands for its directory's."""
+    docs = documents(spark, sf_dir).select("doc_id", "text", F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"))
+    notice = (F.length("text") <= 4000) & (F.size(F.split(F.trim("text"), "\\s+")) <= 40) & F.col("text").rlike(f"\\A[^\n]*(?:{license_scan.SPEAKS})")
+    return license_scan.scan(docs, licence_file=notice)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_simhash, op3_quality, op4_token_output, op5_decontamination, op6_toxicity, op7_pii, op8_lm_scoring, op9_substring_dedup, op10_license_scan)}
 
 ORACLE_SQL: dict[str, str] = {}
