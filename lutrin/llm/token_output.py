@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql.types import StructField, StructType
 
 from .common import NOT_PLAIN, chunks, letters_digits
 
-KEPT_WORDS = 400_000
+KEPT_WORDS = 300_000
 ROW_GROUP_BYTES, PAGE_BYTES = 16 << 20, 256 << 10
 SCHEMA = StructType([StructField("shard", T.IntegerType()), StructField("doc_id", T.LongType()), StructField("shard_start", T.LongType()), StructField("n_tokens", T.LongType()), StructField("ids", T.ArrayType(T.IntegerType(), False))])
 
@@ -49,16 +50,18 @@ class WordTokenizer:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        known = self.known
-        pieces: list[list[str] | None] = []
+        known, get = self.known, self.known.get
+        cut: list[tuple[list[str], list[bytes | None], list[int]] | None] = []
         new: set[str] = set()
         for x in texts:
             if "<|" in x or NOT_PLAIN.search(x) or "İ" in x:
-                pieces.append(None)
+                cut.append(None)
                 continue
-            p = self.split.findall(x.lower())
-            pieces.append(p)
-            new.update(y for y in p if y not in known) if len(known) else new.update(p)
+            pieces = self.split.findall(x.lower())
+            codes = list(map(get, pieces))
+            missing = [i for i, c in enumerate(codes) if c is None] if None in codes else []
+            new.update(pieces[i] for i in missing)
+            cut.append((pieces, codes, missing))
         fresh = dict(zip(order := list(new), self._words(order), strict=True))
         for w, ids in fresh.items():
             if len(known) >= KEPT_WORDS:
@@ -66,13 +69,14 @@ class WordTokenizer:
             if len(w) < 64:
                 known[w] = ids
         out = []
-        for x, p in zip(texts, pieces, strict=True):
-            if p is None:
+        for x, got in zip(texts, cut, strict=True):
+            if got is None:
                 out.append(np.array(self.library.encode(x, add_special_tokens=False).ids, "<u4").tobytes())
-            elif fresh:
-                out.append(b"".join([known.get(y) or fresh[y] for y in p]))
-            else:
-                out.append(b"".join(map(known.__getitem__, p)))
+                continue
+            pieces, codes, missing = got
+            for i in missing:
+                codes[i] = fresh[pieces[i]]
+            out.append(b"".join(codes))
         return out
 
     def _words(self, words: list[str]) -> list[bytes]:
@@ -87,6 +91,12 @@ class WordTokenizer:
         return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
+@lru_cache(maxsize=1)
+def tokenizer_of(spec: str) -> WordTokenizer:
+    """A worker's tokenizer, with the words that it knows from task to task."""
+    return WordTokenizer(spec)
+
+
 def write_tokens(df: DataFrame, vocabulary: str, path: str, doc_id: str = "doc_id", text: str = "text", end_id: int = 2, files: int | None = None) -> None:
     """Write the ids of each text, with ``end_id`` appended, at ``path`` in ascending order of doc_id (``tokens``, ``index``).
 
@@ -103,7 +113,7 @@ def write_tokens(df: DataFrame, vocabulary: str, path: str, doc_id: str = "doc_i
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, start = WordTokenizer(spec.value), 0
+        tokenizer, start = tokenizer_of(spec.value), 0
         for batch in batches:
             for a, b, texts in chunks(batch, "t"):
                 codes = [x + end for x in tokenizer.encode([x.decode() for x in texts])]
