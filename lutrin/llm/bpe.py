@@ -19,6 +19,7 @@ import json
 import re
 import struct
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -197,6 +198,12 @@ class Tokenizer:
         return out.decode("utf-8", "replace").encode()
 
 
+@lru_cache(maxsize=1)
+def tokenizer_of(spec: str) -> Tokenizer:
+    """A worker's tokenizer, with the words that it knows from task to task."""
+    return Tokenizer(spec)
+
+
 def encode_decode(df: DataFrame, vocabulary: str, text: str = "text", ids: bool = True) -> DataFrame:
     """df with ``ids`` (array of int, the whole text's; optional), ``n_tokens``, ``ids_sha256`` and ``decoded_sha256``.
 
@@ -213,7 +220,7 @@ def encode_decode(df: DataFrame, vocabulary: str, text: str = "text", ids: bool
     schema = StructType(kept + new)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = Tokenizer(spec.value)
+        tokenizer = tokenizer_of(spec.value)
         for whole in batches:
             for at in range(0, max(1, whole.num_rows), 256):
                 batch = whole.slice(at, 256)
