@@ -18,7 +18,19 @@ BROADCAST_ROWS = 1_000_000
 CHUNK_BYTES = 2_000_000
 
 
+#: Rows of whole texts that pass between the JVM and Python at a time.
+ARROW_ROWS = 1000
+
+
+def bounded(spark: SparkSession) -> None:
+    """Smaller Arrow batches than the 10,000 rows by default, for memory's sake: rows are whole texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > ARROW_ROWS:
+        spark.conf.set(name, str(ARROW_ROWS))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

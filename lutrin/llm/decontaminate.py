@@ -1,6 +1,6 @@
 """Benchmark decontamination by an FM-index of each training shard.
 
-A shard is about 8 MB of document text inside one task. Its words become numbers of the benchmark's vocabulary;
+A shard is about 4 MB of document text inside one task. Its words become numbers of the benchmark's vocabulary;
 stretches of at least a window's length without other words, which are all that a window can occur in, are joined
 with separators and indexed: suffix array, Burrows-Wheeler transform, wavelet matrix with ranks, and a sample of
 suffix positions. All windows are then searched backwards at once, occurrences are located by walking to sampled
@@ -23,7 +23,7 @@ from pyspark.sql.types import StructField, StructType
 
 from .common import chunks, fresh
 
-SHARD_BYTES = 8_000_000
+SHARD_BYTES = 4_000_000
 #: Benchmark text that is sent to the workers at once; a larger benchmark goes in several blocks, one pass each.
 BLOCK_BYTES = 32_000_000
 SAMPLE_RATE = 8
