@@ -229,34 +229,43 @@ def find_spans(df: DataFrame, benchmark: DataFrame, text: str = "text", item: st
     span = T.ArrayType(T.StructType([StructField("from", T.LongType()), StructField("to", T.LongType())]))
     now = df.select(*(F.col(f"`{f.name}`") for f in kept), F.col(f"`{text}`").cast("string").alias(source), F.lit(None).cast(span).alias("spans"), F.lit(None).cast("array<string>").alias("items"), F.lit(None).cast("long").alias("n_words"))
     schema = StructType([*kept, StructField(source, T.StringType()), StructField("spans", span), StructField("items", T.ArrayType(T.StringType())), StructField("n_words", T.LongType())])
+    order = [f.name for f in df.schema.fields if f.name not in made or f.name == clean]
+    last = StructType([*(StructField(x, T.StringType()) if x == clean else df.schema[x] for x in (order + [clean] * (clean not in order) if clean else order)), *(schema[x] for x in ("spans", "items", "n_words"))])
     for block in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block)
         sent = spark.sparkContext.broadcast([(r.i, r.t.encode()) for r in part.toLocalIterator()])
+        to = last if block == blocks - 1 else schema
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, to=to) -> Iterator[pa.RecordBatch]:
             phrases = Phrases(sent.value, window)
             for whole in batches:
                 for a, b, texts in chunks(whole, source, SHARD_BYTES):
                     batch = whole.slice(a, b - a)
                     had = zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist(), strict=True)
-                    found = phrases.hits(texts)
-                    spans = [merged([*got, *((x["from"], x["to"]) for x in s or ())]) for (_, got, _), (s, _) in zip(found, had, strict=True)]
-                    names = [sorted({*got, *(i or ())}) for (_, _, got), i in zip(found, batch.column("items").to_pylist(), strict=True)]
-                    new = [pa.array([[{"from": x, "to": y} for x, y in s] for s in spans], pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))), pa.array(names, pa.list_(pa.string())), pa.array([n for n, _, _ in found], pa.int64())]
-                    yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), batch.column(source), *new], names=schema.fieldNames())
-
-        now = now.mapInArrow(run, schema)
-    if clean:
-        order = [f.name for f in df.schema.fields if f.name not in made or f.name == clean]
-        out = StructType([*(StructField(x, T.StringType()) if x == clean else df.schema[x] for x in order + [clean] * (clean not in order)), *(schema[x] for x in ("spans", "items", "n_words"))])
-
-        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                texts = [x if x is None or not s else without(x.encode(), [(y["from"], y["to"]) for y in s]).decode() for x, s in zip(batch.column(source).to_pylist(), batch.column("spans").to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if f.name == clean else batch.column(f.name) for f in out.fields], names=out.fieldNames())
-
-        return now.mapInArrow(cut, out)
-    return now.drop(source)
+                    new = {"spans": [], "items": [], "n_words": []}
+                    for (n, got, names), (spans, was) in zip(phrases.hits(texts), had, strict=True):
+                        new["spans"].append(merged([*got, *((x["from"], x["to"]) for x in spans or ())]))
+                        new["items"].append(sorted({*names, *(was or ())}))
+                        new["n_words"].append(n)
+                    columns = {
+                        "spans": pa.array([[{"from": x, "to": y} for x, y in s] for s in new["spans"]], pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))),
+                        "items": pa.array(new["items"], pa.list_(pa.string())),
+                        "n_words": pa.array(new["n_words"], pa.int64()),
+                    }
+                    if clean and to is last:
+                        columns[clean] = cut(batch.column(source), texts, new["spans"])
+                    yield pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else batch.column(f.name) for f in to.fields], names=to.fieldNames())
+
+        now = now.mapInArrow(run, to)
+    return now
+
+
+def cut(column: pa.Array, texts: list[bytes], spans: list[list[tuple[int, int]]]) -> pa.Array:
+    """The texts without their spans; the column itself if none has any."""
+    if not any(spans):
+        return column
+    whole = column.is_valid().to_pylist()
+    return pa.array([(without(x, s) if s else x).decode() if ok else None for x, s, ok in zip(texts, spans, whole, strict=True)], pa.string())
 
 
 def digest(items: list[str]) -> str:
