@@ -211,6 +211,18 @@ def test_decontamination(spark, docs, monkeypatch, block):
     assert Counter((r.doc_id, r.n_words, tuple(map(tuple, r.spans)), tuple(r["items"])) for r in found) == want
 
 
+@pytest.mark.parametrize("block", [32_000_000, 40])
+@pytest.mark.parametrize("clean", ["text", "cleaned", "n_words_left"])
+def test_cleaned_texts(spark, monkeypatch, block, clean):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+    rows = [(1, None), (2, ""), (3, "Keep this; Secret Word, and é that"), (3, "Keep this; Secret Word, and é that"), (4, "nothing here"), (5, "secret word")]
+    items = spark.createDataFrame([(1, "secret word"), (2, "É that"), (3, "é THAT")], "item_id long, text string")
+    found = decontaminate.find_spans(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), items, clean=clean)
+    assert found.columns == list(dict.fromkeys(["doc_id", "text", clean, "spans", "items", "n_words"]))
+    want = {1: None, 2: "", 3: "Keep this; , and ", 4: "nothing here", 5: ""}
+    assert sorted((r.doc_id, r[clean] or "", r[clean] is None) for r in found.collect()) == sorted((i, want[i] or "", want[i] is None) for i, _ in rows)
+
+
 def test_without():
     assert decontaminate.without(b"Aa b-c, d! e", [(1, 3)]) == b"Aa , d! e"
 
