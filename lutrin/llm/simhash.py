@@ -174,6 +174,8 @@ def link(df: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int =
 
 #: Of the longer fingerprints.
 LONGS, SEGMENT_BITS, LOOSE_BITS = 5, 24, 6
+#: Orders of rows that segments take in turn.
+ORDERS = 3
 
 
 def segment_keys(counts: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -194,7 +196,9 @@ def near_copies(df: DataFrame, text: str = "text", key: str = "doc_id", size: in
     key: a unique column without nulls of type long. Rows without a partner aren't returned. Texts without words
     are alike. Candidates share a segment key of their fingerprints; in a group of one key all are compared
     with the first, and those that its complete distance rules out go on to a next round with a first of their own, so a round's
-    pairs are no more than its rows. Verified pairs have exactly computed similarity.
+    pairs are no more than its rows. Segments differ in who is first (ORDERS orders of the rows), so that a row which is near
+    many does not stand before the same two in each group that they share. Verified pairs have exactly computed similarity;
+    those of the other orders are verified only if the first order's left their rows in different groups.
     """
     base = df.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("t"))
     schema = "id long, fp array<long>, keys array<long>"
@@ -212,18 +216,28 @@ def near_copies(df: DataFrame, text: str = "text", key: str = "doc_id", size: in
     prints_of = settle(whole.select("id", "fp"))
     rows = settle(whole.select("id", F.explode("keys").alias("key")))
     limit = int(64 * LONGS * (np.arccos(2 * similarity / (1 + similarity)) / np.pi) + 4 * np.sqrt(64 * LONGS * 0.13))
-    found = same
+    order = F.shiftrightunsigned("key", 32) % ORDERS
+    place = F.struct(F.xxhash64(order, "id").alias("h"), "id")
+    found = same.withColumn("other", F.lit(False))
     while True:
-        first = rows.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("key", "first")
+        first = rows.groupBy("key").agg(F.min(place)["id"].alias("first"), F.min("id").alias("least"), F.max("id").alias("last")).where("least < last").select("key", "first")
         pairs = rows.join(first, "key").where("id <> first")
         pairs = pairs.join(prints_of.select(F.col("id").alias("first"), F.col("fp").alias("p")), "first").join(prints_of.withColumnRenamed("fp", "q"), "id")
         pairs = settle(pairs.select("key", "id", "first", (_distance("p", "q") <= limit).alias("near")))
-        found = found.unionByName(pairs.where("near").select(F.col("first").alias("a"), F.col("id").alias("b")))
+        found = found.unionByName(pairs.where("near").select(F.least("first", "id").alias("a"), F.greatest("first", "id").alias("b"), (order != 0).alias("other")))
         rows = pairs.where("not near").select("key", "id")
         if not rows.limit(1).count():
             break
-    found = settle(found.distinct())
-    return components(verified(base, found, size, similarity)).select(F.col("node").alias(key), "root")
+    found = settle(found.groupBy("a", "b").agg(F.min("other").alias("other")))
+    links = settle(verified(base, found.where("not other").select("a", "b"), size, similarity))
+    roots = components(links)
+    rest = found.where("other").select("a", "b")
+    for end in ("a", "b"):
+        rest = rest.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
+    rest = settle(rest.where("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b"))
+    if rest.limit(1).count():
+        roots = components(links.unionByName(verified(base, rest, size, similarity)))
+    return roots.select(F.col("node").alias(key), "root")
 
 
 def _distance(p: str, q: str) -> Column:
