@@ -173,7 +173,7 @@ def link(df: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int =
 
 
 #: Of the longer fingerprints.
-LONGS, SEGMENT_BITS, LOOSE_BITS = 5, 24, 6
+LONGS, SEGMENT_BITS, LOOSE_BITS = 6, 24, 6
 #: Orders of rows that segments take in turn.
 ORDERS = 3
 

@@ -155,6 +155,38 @@ def test_near_copies(spark):
     assert sorted(map(sorted, got.values())) == [[4 * g, 4 * g + 1, 4 * g + 2] for g in range(8)]
 
 
+def test_near_copies_of_drifting_texts(spark):
+    """Copies that are near their source but not each other, against brute force: nearly all groups come out whole."""
+    r = random.Random(5)
+    rows = []
+    for g in range(40):
+        words = [f"w{r.randrange(3000)}" for _ in range(300)]
+        members = []
+        for c in range(4):
+            copy = list(words)
+            for at in r.sample(range(5, 295, 6), 5):
+                copy[at] = f"x{g}_{c}_{at}"
+            members.append(copy)
+        members.insert(r.randrange(1, 5), words)
+        rows += [(len(rows) + k, " ".join(m)) for k, m in enumerate(members)]
+    sets = [set(simhash.shingles(t.encode(), 5)) for _, t in rows]
+    alike = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    group = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a - a % 5, a):
+            if alike(a, b):
+                group = [group[a] if x == group[b] else x for x in group]
+    want, got = {}, {}
+    for n, root in enumerate(group):
+        want.setdefault(root, []).append(n)
+    for n, root in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(root, []).append(n)
+    want = {tuple(v) for v in want.values() if len(v) > 1}
+    got = {tuple(sorted(v)) for v in got.values()}
+    assert len(want) == 40 and len(want & got) >= 39
+    assert all(any(set(x) <= set(w) for w in want) for x in got)
+
+
 def test_quality(docs):
     df, rows = docs
     got = Counter((r.doc_id, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in quality.judge(df).collect())
