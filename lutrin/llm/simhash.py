@@ -174,8 +174,8 @@ def link(df: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int =
 
 #: Of the longer fingerprints.
 LONGS, SEGMENT_BITS, LOOSE_BITS = 6, 24, 6
-#: Orders of rows that segments take in turn.
-ORDERS = 3
+#: A group's first rows: one in the first round, then so many times more each round, until all its rows are joined or compared.
+MORE_FIRSTS = 4
 
 
 def segment_keys(counts: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -194,11 +194,11 @@ def near_copies(df: DataFrame, text: str = "text", key: str = "doc_id", size: in
     """(key, root): for rows of df alike in their word shingles (Jaccard >= similarity), joined over such pairs.
 
     key: a unique column without nulls of type long. Rows without a partner aren't returned. Texts without words
-    are alike. Candidates share a segment key of their fingerprints; in a group of one key all are compared
-    with the first, and those that its complete distance rules out go on to a next round with a first of their own, so a round's
-    pairs are no more than its rows. Segments differ in who is first (ORDERS orders of the rows), so that a row which is near
-    many does not stand before the same two in each group that they share. Verified pairs have exactly computed similarity;
-    those of the other orders are verified only if the first order's left their rows in different groups.
+    are alike. Candidates share a segment key of their fingerprints. In a group of one key all rows are compared with some
+    first ones: in the first round that whose keys most rows share (the source of copies that are not alike among themselves),
+    then chosen by hash, ever more. A pair is near by its complete distance, then verified by exactly computed similarity in
+    the same round. Only first rows leave a group, as they have been compared with all of it; pairs that verified links already
+    join aren't compared, and a group goes once all its rows are joined. So all pairs that share a key are joined or compared.
     """
     base = df.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("t"))
     schema = "id long, fp array<long>, keys array<long>"
@@ -211,33 +211,33 @@ def near_copies(df: DataFrame, text: str = "text", key: str = "doc_id", size: in
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array(list(bits.view("<i8")), pa.list_(pa.int64())), pa.array(list(keys), pa.list_(pa.int64()))], names=["id", "fp", "keys"])
 
     made = settle(base.mapInArrow(prints, schema))
-    whole = made.groupBy("fp").agg(F.min("id").alias("id"), F.first("keys").alias("keys"))
+    whole = settle(made.groupBy("fp").agg(F.min("id").alias("id"), F.first("keys").alias("keys")))
     same = made.join(whole.select("fp", F.col("id").alias("first")), "fp").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
-    prints_of = settle(whole.select("id", "fp"))
-    rows = settle(whole.select("id", F.explode("keys").alias("key")))
     limit = int(64 * LONGS * (np.arccos(2 * similarity / (1 + similarity)) / np.pi) + 4 * np.sqrt(64 * LONGS * 0.13))
-    order = F.shiftrightunsigned("key", 32) % ORDERS
-    place = F.struct(F.xxhash64(order, "id").alias("h"), "id")
-    found = same.withColumn("other", F.lit(False))
+    rows = whole.select("id", F.explode("keys").alias("key"))
+    rows = settle(rows.join(rows.groupBy("key").count().where("count > 1"), "key"))
+    rows = settle(rows.join(rows.groupBy("id").agg(F.sum("count").alias("shared")), "id").select("id", "key", "shared"))
+    links = settle(verified(base, settle(same), size, similarity))
+    roots = components(links)
+    seen, firsts, turn = None, 1, 0
     while True:
-        first = rows.groupBy("key").agg(F.min(place)["id"].alias("first"), F.min("id").alias("least"), F.max("id").alias("last")).where("least < last").select("key", "first")
-        pairs = rows.join(first, "key").where("id <> first")
-        pairs = pairs.join(prints_of.select(F.col("id").alias("first"), F.col("fp").alias("p")), "first").join(prints_of.withColumnRenamed("fp", "q"), "id")
-        pairs = settle(pairs.select("key", "id", "first", (_distance("p", "q") <= limit).alias("near")))
-        found = found.unionByName(pairs.where("near").select(F.least("first", "id").alias("a"), F.greatest("first", "id").alias("b"), (order != 0).alias("other")))
-        rows = pairs.where("not near").select("key", "id")
+        placed = rows.join(small(roots.withColumnRenamed("node", "id")), "id", "left").select("id", "key", "shared", F.coalesce("root", "id").alias("root"))
+        most = F.max_by("id", F.struct("shared", F.xxhash64("id"), "id")).alias("most")
+        live = placed.groupBy("key").agg(F.count("*").alias("n"), most, F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key", "n", "most")
+        drawn = F.pmod(F.xxhash64(F.lit(turn), "key", "id"), F.lit(1 << 30)) * F.col("n") < F.lit(firsts << 30) if turn else F.lit(False)
+        rows = settle(placed.join(live, "key").select("id", "key", "shared", "root", ((F.col("id") == F.col("most")) | drawn).alias("first")))
         if not rows.limit(1).count():
-            break
-    found = settle(found.groupBy("a", "b").agg(F.min("other").alias("other")))
-    links = settle(verified(base, found.where("not other").select("a", "b"), size, similarity))
-    roots = components(links)
-    rest = found.where("other").select("a", "b")
-    for end in ("a", "b"):
-        rest = rest.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
-    rest = settle(rest.where("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b"))
-    if rest.limit(1).count():
-        roots = components(links.unionByName(verified(base, rest, size, similarity)))
-    return roots.select(F.col("node").alias(key), "root")
+            return roots.select(F.col("node").alias(key), "root")
+        ahead = rows.where("first").select("key", F.col("id").alias("f"), F.col("root").alias("r"))
+        pairs = rows.join(ahead, "key").where("root <> r and (id < f or not first)").select(F.least("id", "f").alias("a"), F.greatest("id", "f").alias("b")).distinct()
+        pairs = pairs.join(whole.select(F.col("id").alias("a"), F.col("fp").alias("p")), "a").join(whole.select(F.col("id").alias("b"), F.col("fp").alias("q")), "b").where(_distance("p", "q") <= limit).select("a", "b")
+        pairs = settle(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"))
+        if pairs.limit(1).count():
+            seen = pairs if seen is None else seen.unionByName(pairs)
+            links = settle(links.unionByName(verified(base, pairs, size, similarity)))
+            roots = components(links)
+        rows = rows.where("not first").select("id", "key", "shared")
+        firsts, turn = firsts * MORE_FIRSTS, turn + 1
 
 
 def _distance(p: str, q: str) -> Column:
