@@ -38,9 +38,11 @@ def shingles(text: bytes, size: int) -> list[bytes]:
     return [joined[a:b] for a, b in zip(starts.tolist(), (ends[size - 1 :] - 1).tolist(), strict=True)]
 
 
-def bit_counts(texts: list[bytes], size: int, longs: int = 1) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """For each text how many shingle hashes have each of 64 * longs bits set; the shingles' numbers; their hashes."""
+def bit_counts(texts: list[bytes], size: int, longs: int = 1, distinct: bool = False) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """For each text how many shingle hashes (each once if distinct) have each of 64 * longs bits set; the shingles' numbers; their hashes."""
     hashes = [np.fromiter(map(xxhash.xxh64_intdigest, s := shingles(x, size), repeat(SEED)), np.uint64, len(s)) for x in texts]
+    if distinct:
+        hashes = [np.unique(h) for h in hashes]
     n = np.array(list(map(len, hashes)), np.int64)
     out = np.zeros((len(texts), 64 * longs), np.int32)
     for i, h in enumerate(hashes):
@@ -206,7 +208,7 @@ def near_copies(df: DataFrame, text: str = "text", key: str = "doc_id", size: in
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, texts in chunks(batch, "t"):
-                counts, n, hashes = bit_counts(texts, size, LONGS)
+                counts, n, _ = bit_counts(texts, size, LONGS, distinct=True)  # the similarity is of sets
                 bits, keys = segment_keys(counts, n)
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array(list(bits.view("<i8")), pa.list_(pa.int64())), pa.array(list(keys), pa.list_(pa.int64()))], names=["id", "fp", "keys"])
 

@@ -210,6 +210,19 @@ def test_near_copies_of_one_source(spark, copies):
     assert copies in found and found <= alike | {copies} and len(found) >= 0.99 * copies
 
 
+def test_near_copies_that_repeat_a_passage(spark):
+    """The similarity is of sets of shingles, so how often a passage stands in a text doesn't part copies."""
+    r = random.Random(11)
+    rows = []
+    for _ in range(30):
+        words = [f"w{r.randrange(10**6)}" for _ in range(300)]
+        rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(words + words[-40:] * 4))]
+    got = {}
+    for n, root in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(root, set()).add(n)
+    assert sorted(map(sorted, got.values())) == [[2 * g, 2 * g + 1] for g in range(30)]
+
+
 def test_quality(docs):
     df, rows = docs
     got = Counter((r.doc_id, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in quality.judge(df).collect())
