@@ -183,9 +183,10 @@ class Pseudonyms:
         while m := FORMS.search(text, start):
             kind = next(k for k in KINDS if m[k] is not None)
             new = self.value(kind, m[0], m, inverse)
-            if new is None:  # the same characters may be of another kind
+            if new is None:  # a shorter match from here, or another kind, may be valid
                 start = m.start() + 1
-                other = next((y for k in KINDS[KINDS.index(kind) + 1 :] if (y := self._at(k, text, m.start()))), None)
+                other = self._shorter(kind, m[0], m.start(), inverse)
+                other = other or next((y for k in KINDS[KINDS.index(kind) + 1 :] if (y := self._at(k, text, m.start(), inverse))), None)
                 if other is None:
                     continue
                 kind, end, new = other
@@ -196,10 +197,22 @@ class Pseudonyms:
             at = start = end
         return "".join([*out, text[at:]]), kinds
 
-    def _at(self, kind: str, text: str, at: int) -> tuple[str, int, str] | None:
+    def _at(self, kind: str, text: str, at: int, inverse: bool = False) -> tuple[str, int, str] | None:
         m = SINGLE[kind].match(text, at)
-        new = self.value(kind, m[0], m) if m else None
-        return (kind, m.end(), new) if new is not None else None
+        if not m:
+            return None
+        new = self.value(kind, m[0], m, inverse)
+        return (kind, m.end(), new) if new is not None else self._shorter(kind, m[0], at, inverse)
+
+    def _shorter(self, kind: str, x: str, at: int, inverse: bool = False) -> tuple[str, int, str] | None:
+        """The longest valid part of a card's or IBAN's match that begins with it and ends where one of its groups does."""
+        if kind not in ("card", "iban"):
+            return None
+        for end in reversed([i for i, c in enumerate(x) if c in " -"]):
+            new = self.value(kind, x[:end], inverse=inverse) if SINGLE[kind].fullmatch(x, 0, end) else None
+            if new is not None:
+                return kind, at + end, new
+        return None
 
 
 def _single(kind: str) -> re.Pattern:
