@@ -22,16 +22,18 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least doc_id, of each group of near copies (word 5-shingles alike at 0.8 or more).
+    """One row, that of the least doc_id, of each group of near copies (word 5-shingles alike at 0.8 or more).
 
-    Rows without a doc_id are kept, as nothing names them; rows of one doc_id count as copies only if their texts are alike.
+    Rows are told apart by a number of their own: repeated rows are copies, rows of one doc_id only if their texts are alike.
+    Rows without a doc_id come last in their group; of equal doc_ids the first row stays.
     """
     bounded(spark)
-    rows = docs.select(*COLUMNS)
-    groups = simhash.near_copies(rows.where("doc_id is not null"))
-    least = groups.groupBy("root").agg(F.min("doc_id").alias("least"))
-    gone = settle(groups.join(least, "root").where("doc_id <> least").select("doc_id"))
-    return rows.join(small(gone), "doc_id", "left_anti").select(*COLUMNS)
+    rows = settle(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")))
+    groups = settle(simhash.near_copies(rows, key="row").join(rows.select("row", "doc_id"), "row"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    kept = groups.groupBy("root").agg(F.min_by("row", order).alias("kept"))
+    gone = settle(groups.join(kept, "root").where("row <> kept").select("row"))
+    return rows.join(small(gone), "row", "left_anti").select(*COLUMNS)
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

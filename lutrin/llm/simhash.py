@@ -213,21 +213,21 @@ def near_copies(df: DataFrame, text: str = "text", key: str = "doc_id", size: in
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array(list(bits.view("<i8")), pa.list_(pa.int64())), pa.array(list(keys), pa.list_(pa.int64()))], names=["id", "fp", "keys"])
 
     made = settle(base.mapInArrow(prints, schema))
-    whole = settle(made.groupBy("fp").agg(F.min("id").alias("id"), F.first("keys").alias("keys")))
+    whole = settle(made.groupBy("fp").agg(F.min("id").alias("id")))
     same = made.join(whole.select("fp", F.col("id").alias("first")), "fp").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
     limit = int(64 * LONGS * (np.arccos(2 * similarity / (1 + similarity)) / np.pi) + 4 * np.sqrt(64 * LONGS * 0.13))
-    rows = whole.select("id", F.explode("keys").alias("key"))
+    rows = made.join(small(whole.select("id")), "id", "left_semi").select("id", F.explode("keys").alias("key"))
     rows = settle(rows.join(rows.groupBy("key").count().where("count > 1"), "key"))
-    rows = settle(rows.join(rows.groupBy("id").agg(F.sum("count").alias("shared")), "id").select("id", "key", "shared"))
+    shared = settle(rows.groupBy("id").agg(F.sum("count").alias("shared")))
     links = settle(verified(base, settle(same), size, similarity))
     roots = components(links)
     seen, firsts, turn = None, 1, 0
     while True:
-        placed = rows.join(small(roots.withColumnRenamed("node", "id")), "id", "left").select("id", "key", "shared", F.coalesce("root", "id").alias("root"))
+        placed = rows.join(small(shared), "id").join(small(roots.withColumnRenamed("node", "id")), "id", "left").select("id", "key", "shared", F.coalesce("root", "id").alias("root"))
         most = F.max_by("id", F.struct("shared", F.xxhash64("id"), "id")).alias("most")
         live = placed.groupBy("key").agg(F.count("*").alias("n"), most, F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key", "n", "most")
         drawn = F.pmod(F.xxhash64(F.lit(turn), "key", "id"), F.lit(1 << 30)) * F.col("n") < F.lit(firsts << 30) if turn else F.lit(False)
-        rows = settle(placed.join(live, "key").select("id", "key", "shared", "root", ((F.col("id") == F.col("most")) | drawn).alias("first")))
+        rows = settle(placed.join(live, "key").select("id", "key", "root", ((F.col("id") == F.col("most")) | drawn).alias("first")))
         if not rows.limit(1).count():
             return roots.select(F.col("node").alias(key), "root")
         ahead = rows.where("first").select("key", F.col("id").alias("f"), F.col("root").alias("r"))
@@ -238,7 +238,7 @@ def near_copies(df: DataFrame, text: str = "text", key: str = "doc_id", size: in
             seen = pairs if seen is None else seen.unionByName(pairs)
             links = settle(links.unionByName(verified(base, pairs, size, similarity)))
             roots = components(links)
-        rows = rows.where("not first").select("id", "key", "shared")
+        rows = rows.where("not first").select("id", "key")
         firsts, turn = firsts * MORE_FIRSTS, turn + 1
 
 

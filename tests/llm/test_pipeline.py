@@ -8,3 +8,12 @@ def test_stages_keep_the_columns_and_drop_copies(spark):
         assert stage(spark, docs, SF).columns == docs.columns
     out = corpus_pipeline.run(spark, SF).toPandas()
     assert 0 < len(out) < 200 and out.doc_id.is_unique and (out.ids.map(len) == out.n_tokens).all()
+
+
+def test_copies_are_dropped_by_row(spark):
+    """Repeated rows, rows that share a doc_id but not a text, rows without a doc_id."""
+    text = lambda name: " ".join(f"{name}{i}" for i in range(100))
+    rows = [(1, text("a")), (2, text("b")), (2, text("b")), (3, text("a")), (3, text("c")), (None, text("d")), (None, text("d")), (None, text("b")), (4, text("e"))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = corpus_pipeline.drop_near_copies(spark, docs, SF).collect()
+    assert sorted(((r.doc_id or 0), r.text) for r in left) == sorted([(1, text("a")), (2, text("b")), (3, text("c")), (0, text("d")), (4, text("e"))])
