@@ -1,12 +1,16 @@
 """Licence detection by sparse TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
 Statements are a file's lines that speak of licences or rights; a file named LICENSE, COPYING or the like is one statement as a whole.
-Equal statements are compared once. Inverse document frequencies count all files' statements and the templates.
+So are, across lines, a text's stretches of a template's length around the words that templates are known by: a notice within
+a long line or wrapped over several is found too. Equal statements are compared once. Inverse document frequencies count all
+files' lines or wholes and the templates, not the stretches, which repeat them.
 A file without a licence of its own gets that of the nearest directory above it that has a licence file.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,17 +36,33 @@ TEMPLATES = [
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0."),
     ("Proprietary", "All rights reserved."),
 ]
-SPEAKS = r"(?i)licen[cs]|copyright|all rights reserved|redistribut|spdx|public domain"
+SPEAKS = r"(?i)licen[cs]|copyright|all rights reserved|redistribut|spdx|public domain|permission\W+is\W+hereby"
+#: Beginnings of the words that stretches are laid around; each template has one at least.
+ANCHORS = ("licen", "copyright", "reserved", "redistribut", "spdx", "domain", "permission")
+WORD = r"[a-z0-9]+(?:\.[0-9]+)*"
 FILES = r"(?i)(^|/)(un)?(licen[cs]e|copying)([.-][^/]*)?$"
 
 
 def terms(text: Column) -> Column:
     """Lower-case words and numbers, and pairs of neighbours."""
-    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+(?:\\.[0-9]+)*"), F.lit(0))
+    words = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
     pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
     return F.concat(words, F.coalesce(pairs, F.array().cast("array<string>")))
 
 
+def stretches(text: Column) -> Column:
+    """The text's distinct word sequences that stand around an anchor word as a template stands around the same."""
+    laid = set()
+    for _, x in TEMPLATES:
+        words = re.findall(WORD, x.lower())
+        laid |= {(a, i, len(words)) for i, w in enumerate(words) for a in ANCHORS if w.startswith(a)}
+    words = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+    places = F.filter(F.transform(words, lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda p: p["w"].rlike(f"^(?:{'|'.join(ANCHORS)})"))
+    known = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(i).alias("i"), F.lit(n).alias("n")) for a, i, n in sorted(laid)))
+    around = lambda p, k: F.array_join(F.slice(words, F.greatest(p["i"] - k["i"], F.lit(0)) + 1, k["n"] + F.least(p["i"] - k["i"], F.lit(0))), " ")
+    return F.array_distinct(F.flatten(F.transform(places, lambda p: F.transform(F.filter(known, lambda k: p["w"].startswith(k["a"])), lambda k: around(p, k)))))
+
+
 def match(statements: DataFrame, total: DataFrame, threshold: float) -> DataFrame:
     """(statement, licence, similarity) of the best template of each distinct statement at the threshold or above."""
     spark = statements.sparkSession
@@ -78,9 +98,9 @@ def scan(df: DataFrame, path: str = "path", text: str = "text", key: str = "doc_
     rows = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{path}`").cast("string").alias("path"), t.alias("t"), F.coalesce(licence_file if licence_file is not None else F.col(f"`{path}`").rlike(FILES), F.lit(False)).alias("file"))
     whole = F.coalesce(F.col("path").rlike(FILES), F.lit(False))
     lines = F.when(whole, F.array(F.col("t"))).otherwise(F.array_distinct(F.transform(F.filter(F.split("t", "\n"), lambda x: x.rlike(SPEAKS)), F.trim)))
-    spoken = settle(rows.where(whole | F.col("t").rlike(SPEAKS)).where("t is not null").select("key", "path", "file", lines.alias("lines")).where("size(lines) > 0").withColumn("row", F.monotonically_increasing_id()))
-    each = spoken.select("row", F.explode("lines").alias("statement"))
-    statements = settle(each.groupBy("statement").agg(F.count("*").alias("n")))
+    spoken = settle(rows.where(whole | F.col("t").rlike(SPEAKS)).where("t is not null").select("key", "path", "file", lines.alias("lines"), stretches(F.col("t")).alias("stretches")).where("size(lines) > 0 or size(stretches) > 0").withColumn("row", F.monotonically_increasing_id()))
+    each = spoken.select("row", F.explode("lines").alias("statement"), F.lit(1).alias("n")).unionByName(spoken.select("row", F.explode("stretches").alias("statement"), F.lit(0).alias("n")))
+    statements = settle(each.groupBy("statement").agg(F.sum("n").alias("n")))
     matched = match(statements, statements, threshold)
     own = each.join(small(matched), "statement").groupBy("row").agg(F.max_by("licence", F.struct("similarity", "licence")).alias("own"), F.max("similarity").alias("similarity"))
     own = settle(spoken.join(own, "row").select("key", "path", "file", "own", "similarity", F.hash("lines").alias("h")))

@@ -385,3 +385,13 @@ def test_licences(spark):
     rows = [(1, "a/LICENSE", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"), (2, "a/b/c.py", "code"), (3, "a/b/d.py", "# Licensed under the Apache License, Version 2.0.\ncode"), (4, "e/f.py", "driver's licence"), (5, None, None), (6, "f.py", "x"), (2, "a/b/c.py", "code")]
     got = Counter((r.doc_id, r.licence, r.found, r.from_dir) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect())
     assert got == Counter([(1, "MIT", "own", None), (2, "MIT", "inherited", "a"), (2, "MIT", "inherited", "a"), (3, "Apache-2.0", "own", None), (4, None, "none", None), (5, None, "none", None), (6, None, "none", None)])
+
+
+def test_licences_within_texts(spark):
+    """An MIT header of a source file, whole, wrapped or in a licence file of more text, and a notice within one long line."""
+    mit = license_scan.TEMPLATES[3][1]
+    wrapped = "/*\n * Permission is hereby granted, free of charge, to any person obtaining a copy\n * of this software and associated documentation files, to deal\n * in the Software without restriction\n */\nint main() { return 0; }"
+    many = " ".join(f"word{i}" for i in range(400))
+    rows = [(1, "a/x.c", mit + "\nint x;"), (2, "b/x.c", wrapped), (3, "c/x.txt", f"{many} Licensed under the Apache License, Version 2.0. {many}"), (4, "d/x.txt", many), (5, "e/LICENSE", f"{many}\n{mit}\n{many}"), (6, "f/x.txt", f"{many} a driver's licence {many}"), (7, "g/x.txt", "Licensed under CC BY 4.0. " + many)]
+    got = {r.doc_id: (r.licence, r.found) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert got == {1: ("MIT", "own"), 2: ("MIT", "own"), 3: ("Apache-2.0", "own"), 4: (None, "none"), 5: ("MIT", "own"), 6: (None, "none"), 7: ("CC-BY-4.0", "own")}
