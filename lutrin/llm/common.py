@@ -6,11 +6,12 @@ import re
 import tempfile
 import unicodedata
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField
 
 #: Ids of eight bytes up to this number are broadcast; beyond it the same join is a shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -35,19 +36,59 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new path in the folder that spark.checkpoint.dir names; it is set here only where it is unset."""
+    """A new path in the folder that spark.checkpoint.dir names; what is written there goes when the application ends.
+
+    Where the setting is unset, a temporary folder is taken in local mode (tests); on a cluster that would be each node's own, so it
+    is an error.
+    """
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         top = f"file://{tempfile.mkdtemp(prefix='lutrin-')}"
         spark.conf.set("spark.checkpoint.dir", top)
     return f"{top.rstrip('/')}/lutrin-{uuid.uuid4().hex}"
 
 
+def _folder(spark: SparkSession, path: str) -> tuple:
+    """The file system and the path object of a folder, as Hadoop has them."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
 def settle(df: DataFrame) -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage, survives lost executors."""
-    path = scratch(df.sparkSession)
+    """Write to the shared folder and read back: cuts lineage, survives lost executors. The files go when the application ends."""
+    spark = df.sparkSession
+    path = scratch(spark)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    system, where = _folder(spark, path)
+    system.deleteOnExit(where)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+class Tables:
+    """Settled tables that an operator needs only until its own result is settled."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def settle(self, df: DataFrame) -> DataFrame:
+        path = scratch(self.spark)
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        for path in self.paths:
+            system, where = _folder(self.spark, path)
+            system.delete(where, True)
+        self.paths.clear()
+
+
+def others(df: DataFrame, made: Iterable[str]) -> list[StructField]:
+    """df's fields without those that have a name of ``made``, in any case, as Spark's names are."""
+    names = {x.lower() for x in made}
+    return [f for f in df.schema.fields if f.name.lower() not in names]
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

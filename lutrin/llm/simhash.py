@@ -4,12 +4,14 @@ Two uses share the parts. ``link`` takes one 64-bit fingerprint per document and
 at two or fewer differing bits: fingerprints are cut in two halves; each probes a table of exact halves with the ball of
 radius one around its own, and complete distances are verified. ``near_copies`` finds documents whose word shingles are 0.8
 alike: at that similarity about 15 % of the bits differ, so longer fingerprints with many segments are used, the balls
-are over the bits of least margin, and after the distance the similarity itself is verified.
+are over the bits of least margin, and after the distance the similarity itself is verified. There each segment's table is split
+by the least shingle hash under an order of the segment's own, which texts 0.8 alike share four times of five and unlike texts
+hardly ever: without that, rows that share a segment by chance grow with the square of the corpus.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.types import StructField, StructType
 
-from .common import chunks, fresh, settle, small
+from .common import Tables, chunks, fresh, others, settle, small
 
 SEED = 42
 #: More fingerprints than this with one half: their links are found by enumerating whole fingerprints instead.
@@ -38,20 +40,32 @@ def shingles(text: bytes, size: int) -> list[bytes]:
     return [joined[a:b] for a, b in zip(starts.tolist(), (ends[size - 1 :] - 1).tolist(), strict=True)]
 
 
-def bit_counts(texts: list[bytes], size: int, longs: int = 1, distinct: bool = False) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """For each text how many shingle hashes (each once if distinct) have each of 64 * longs bits set; the shingles' numbers; their hashes."""
-    hashes = [np.fromiter(map(xxhash.xxh64_intdigest, s := shingles(x, size), repeat(SEED)), np.uint64, len(s)) for x in texts]
-    if distinct:
-        hashes = [np.unique(h) for h in hashes]
+#: The bits of each byte, the lowest first.
+BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float64)
+
+
+def hashes_of(text: bytes, size: int, distinct: bool = False) -> np.ndarray:
+    s = shingles(text, size)
+    out = np.fromiter(map(xxhash.xxh64_intdigest, s, repeat(SEED)), np.uint64, len(s))
+    return np.unique(out) if distinct else out
+
+
+def bit_counts(hashes: list[np.ndarray], longs: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """For each list of shingle hashes how many have each of 64 * longs bits set, and their number.
+
+    The bytes of all hashes are counted by list and value, and bits follow from the counts.
+    """
     n = np.array(list(map(len, hashes)), np.int64)
-    out = np.zeros((len(texts), 64 * longs), np.int32)
-    for i, h in enumerate(hashes):
-        for at in range(0, len(h), 65536):
-            part = h[at : at + 65536]
-            for j in range(longs):
-                bits = np.unpackbits(mix(part, j).astype("<u8", copy=False).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                out[i, 64 * j : 64 * j + 64] += bits.sum(0, dtype=np.int32)
-    return out, n, hashes
+    out = np.zeros((len(hashes), 64 * longs), np.int64)
+    rows = max(1, len(hashes))
+    at = np.repeat(np.arange(len(hashes), dtype=np.int64) << 8, n)
+    flat = np.concatenate([*hashes, np.zeros(0, np.uint64)])
+    for j in range(longs):
+        octets = mix(flat, j).astype("<u8", copy=False).view(np.uint8).reshape(-1, 8)
+        for k in range(8):
+            seen = np.bincount(at + octets[:, k], minlength=rows << 8).reshape(rows, 256)
+            out[:, 64 * j + 8 * k : 64 * j + 8 * k + 8] = (seen @ BITS)[: len(hashes)]
+    return out, n
 
 
 def mix(h: np.ndarray, j: int) -> np.ndarray:
@@ -66,15 +80,18 @@ def mix(h: np.ndarray, j: int) -> np.ndarray:
 
 
 def fingerprints(df: DataFrame, text: str = "text", name: str = "fp", size: int = 3) -> DataFrame:
-    """df without its text column and with a 64-bit fingerprint (long). Null and empty texts have fingerprint zero."""
+    """df without its text column and with a 64-bit fingerprint (long), which replaces a column of that name in any case.
+
+    Null and empty texts have fingerprint zero. Rows are independent; an empty table gives an empty table.
+    """
     source = fresh(df, "text")
-    kept = [f for f in df.schema.fields if f.name not in (name, text)]
+    kept = others(df, (name, text))
     schema = StructType([*kept, StructField(name, T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, texts in chunks(batch, source):
-                counts, n, _ = bit_counts(texts, size)
+                counts, n = bit_counts([hashes_of(x, size) for x in texts])
                 bits = np.packbits(counts * 2 > n[:, None], axis=1, bitorder="little")
                 yield pa.RecordBatch.from_arrays([*(batch.column(f.name).slice(a, b - a) for f in kept), pa.array(bits.view("<i8").ravel(), pa.int64())], names=schema.fieldNames())
 
@@ -96,7 +113,7 @@ def _long(mask: int) -> int:
     return mask - (1 << 64) if mask >= 1 << 63 else mask
 
 
-def links(prints: DataFrame, distance: int = 2) -> DataFrame:
+def links(prints: DataFrame, tables: Tables, distance: int = 2) -> DataFrame:
     """Pairs a < b of distinct fingerprints (column fp) at ``distance`` (2 at most) or fewer bits; a pair may come twice.
 
     prints: distinct, cheap to read. If two fingerprints differ in two bits, one half differs in one at most. A half
@@ -111,7 +128,7 @@ def links(prints: DataFrame, distance: int = 2) -> DataFrame:
     reach = distance // 2
     masks = F.array(*(F.lit(m).cast("long") for m in _flips(32, reach)))
     probe = exact.select("half", F.col("value").alias("own"), F.col("fp").alias("a"), F.explode(masks).alias("mask")).select("half", "own", "a", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
-    full = settle(exact.groupBy("half", "value").count().where(F.col("count") > FULL_HALF).select("half", "value"))
+    full = tables.settle(exact.groupBy("half", "value").count().where(F.col("count") > FULL_HALF).select("half", "value"))
     crowded = full.limit(1).count() > 0
     table = exact.withColumnRenamed("fp", "b")
     if crowded:
@@ -138,24 +155,25 @@ def components(edges: DataFrame) -> DataFrame:
     what their ends point at; the nodes left fall by a constant factor, whatever the shape. Edges and pointers of a round are
     tables in the shared folder. No edges give no rows; loops and repeated edges do no harm; edges with null are ignored.
     """
-    edges = settle(edges.where("a is not null and b is not null").select("a", "b").distinct())
+    tables = Tables(edges.sparkSession)
+    edges = tables.settle(edges.where("a is not null and b is not null").select("a", "b").distinct())
     rounds: list[DataFrame] = []
     while edges.limit(1).count():
         salt = F.lit(len(rounds))
         rank = lambda c: F.struct(F.xxhash64(salt, F.col(c)).alias("h"), F.col(c).alias("n"))
         both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a")))
-        points = settle(both.groupBy("a").agg(F.min(rank("b")).alias("m")).select(F.col("a").alias("node"), F.least(rank("a"), F.col("m"))["n"].alias("root")))
+        points = tables.settle(both.groupBy("a").agg(F.min(rank("b")).alias("m")).select(F.col("a").alias("node"), F.least(rank("a"), F.col("m"))["n"].alias("root")))
         rounds.append(points)
         one = edges.join(points, edges.a == points.node).select(F.col("root").alias("x"), "b")
         two = one.join(points, one.b == points.node).select("x", F.col("root").alias("y")).where("x <> y")
-        edges = settle(two.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-    if not rounds:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    out = rounds[0]
+        edges = tables.settle(two.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    out = rounds[0] if rounds else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     for points in rounds[1:]:
         step = points.select(F.col("node").alias("root"), F.col("root").alias("next"))
         out = out.join(step, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
-    return settle(out)
+    out = settle(out)
+    tables.drop()
+    return out
 
 
 def link(df: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = 3, distance: int = 2) -> DataFrame:
@@ -164,82 +182,106 @@ def link(df: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int =
     One row per row of df; repeated rows give repeated rows. A null doc_id has a fingerprint and links like any other; it
     is a component's id only if all of the component's are null. Null and empty texts have fingerprint zero, which links.
     """
+    tables = Tables(df.sparkSession)
     own = settle(fingerprints(df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))))
-    prints = settle(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    root = components(links(prints.select("fp"), distance)).withColumnRenamed("node", "fp")
-    placed = prints.join(root, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    placed = settle(placed)
+    prints = tables.settle(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    root = components(links(prints.select("fp"), tables, distance)).withColumnRenamed("node", "fp")
+    placed = tables.settle(prints.join(root, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = placed.join(least, "root").select("fp", "component_id")
+    named = settle(placed.join(least, "root").select("fp", "component_id"))
+    tables.drop()
     return own.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 #: Of the longer fingerprints.
-LONGS, SEGMENT_BITS, LOOSE_BITS = 6, 24, 6
-#: A group's first rows: one in the first round, then so many times more each round, until all its rows are joined or compared.
-MORE_FIRSTS = 4
+LONGS, SEGMENT_BITS, LOOSE_BITS = 6, 20, 4
+#: Rows of a group that are compared with one another, or with those of another block, in one place.
+BLOCK_ROWS = 2000
+#: Fingerprints up to this number are broadcast.
+BROADCAST_PRINTS = 100_000
 
 
-def segment_keys(counts: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprints, and for each the keys of its balls: a segment's value, and that with one of its bits of least margin flipped."""
+def segment_keys(counts: np.ndarray, n: np.ndarray, hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints, and for each the keys of its balls: a segment's value, and that with one of its bits of least margin flipped,
+    each within the part of the segment's table that the least shingle hash, under the segment's order, names."""
     bits = counts * 2 > n[:, None]
     margin = np.abs(counts * 2 - n[:, None])
     segments = bits.shape[1] // SEGMENT_BITS
     part = bits[:, : segments * SEGMENT_BITS].reshape(len(bits), segments, SEGMENT_BITS)
     value = (part.astype(np.int64) << np.arange(SEGMENT_BITS)).sum(2)
     loose = np.argsort(margin[:, : segments * SEGMENT_BITS].reshape(part.shape), axis=2, kind="stable")[:, :, :LOOSE_BITS]
-    keys = np.concatenate((value[:, :, None], value[:, :, None] ^ (1 << loose)), axis=2) | (np.arange(segments, dtype=np.int64) << 32)[None, :, None]
-    return np.packbits(bits, axis=1, bitorder="little"), keys.reshape(len(bits), -1)
+    balls = np.concatenate((value[:, :, None], value[:, :, None] ^ (1 << loose)), axis=2).astype(np.uint64)
+    least = np.zeros((len(bits), segments), np.uint64)
+    some = np.flatnonzero(n)
+    if len(some):
+        flat, starts = np.concatenate(hashes), np.concatenate(([0], np.cumsum(n[some])[:-1]))
+        for i in range(segments):
+            order = np.uint64(xxhash.xxh64_intdigest(b"order", i))
+            least[some, i] = np.minimum.reduceat(flat ^ order, starts) ^ order
+    keys = mix(balls | (np.arange(segments, dtype=np.uint64) << np.uint64(32))[None, :, None], 1) ^ mix(least, 2)[:, :, None]
+    return np.packbits(bits, axis=1, bitorder="little"), mix(keys, 3).reshape(len(bits), -1).view(np.int64)
 
 
 def near_copies(df: DataFrame, text: str = "text", key: str = "doc_id", size: int = 5, similarity: float = 0.8) -> DataFrame:
     """(key, root): for rows of df alike in their word shingles (Jaccard >= similarity), joined over such pairs.
 
-    key: a unique column without nulls of type long. Rows without a partner aren't returned. Texts without words
-    are alike. Candidates share a segment key of their fingerprints. In a group of one key all rows are compared with some
-    first ones: in the first round that whose keys most rows share (the source of copies that are not alike among themselves),
-    then chosen by hash, ever more. A pair is near by its complete distance, then verified by exactly computed similarity in
-    the same round. Only first rows leave a group, as they have been compared with all of it; pairs that verified links already
-    join aren't compared, and a group goes once all its rows are joined. So all pairs that share a key are joined or compared.
+    key: a unique column without nulls of type long. Rows without a partner aren't returned. Null texts are empty; texts without words
+    are alike. An empty table gives an empty table. Rows of one set of shingles (by 128 bits) are links at once; one of them goes on.
+    Candidates share a segment key of their fingerprints. In each group of one key all rows are compared with one, that whose
+    keys most rows share (the source of copies that are not alike among themselves). Where the links so verified don't join all rows of
+    a group, all its rows that they don't join are compared with one another, in blocks. So every pair that shares a key is joined
+    or compared: by its complete distance, then by the similarity itself.
     """
+    tables = Tables(df.sparkSession)
     base = df.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("t"))
-    schema = "id long, fp array<long>, keys array<long>"
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, texts in chunks(batch, "t"):
-                counts, n, _ = bit_counts(texts, size, LONGS, distinct=True)  # the similarity is of sets
-                bits, keys = segment_keys(counts, n)
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array(list(bits.view("<i8")), pa.list_(pa.int64())), pa.array(list(keys), pa.list_(pa.int64()))], names=["id", "fp", "keys"])
-
-    made = settle(base.mapInArrow(prints, schema))
-    whole = settle(made.groupBy("fp").agg(F.min("id").alias("id")))
-    same = made.join(whole.select("fp", F.col("id").alias("first")), "fp").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
-    limit = int(64 * LONGS * (np.arccos(2 * similarity / (1 + similarity)) / np.pi) + 4 * np.sqrt(64 * LONGS * 0.13))
-    rows = made.join(small(whole.select("id")), "id", "left_semi").select("id", F.explode("keys").alias("key"))
-    rows = settle(rows.join(rows.groupBy("key").count().where("count > 1"), "key"))
-    shared = settle(rows.groupBy("id").agg(F.sum("count").alias("shared")))
-    links = settle(verified(base, settle(same), size, similarity))
+                hashes = [hashes_of(x, size, distinct=True) for x in texts]  # the similarity is of sets
+                bits, keys = segment_keys(*bit_counts(hashes, LONGS), hashes)
+                whole = np.frombuffer(b"".join(xxhash.xxh3_128_digest(h) for h in hashes), "<i8").reshape(-1, 2)
+                lists = [pa.array(list(x), pa.list_(pa.int64())) for x in (bits.view("<i8"), keys)]
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array(whole[:, 0]), pa.array(whole[:, 1]), *lists], names=["id", "x", "y", "fp", "keys"])
+
+    made = tables.settle(base.mapInArrow(prints, "id long, x long, y long, fp array<long>, keys array<long>"))
+    sets = tables.settle(made.groupBy("x", "y").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    same = tables.settle(made.select("id", "x", "y").join(small(sets), ["x", "y"]).where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")))
+    rows = made.join(small(same.select(F.col("b").alias("id"))), "id", "left_anti")
+    keyed = rows.select("id", F.explode("keys").alias("key"))
+    groups = tables.settle(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    shared = tables.settle(keyed.join(small(groups), "key"))
+    weight = tables.settle(shared.groupBy("id").agg(F.sum("n").alias("w")))
+    fps = tables.settle(rows.select("id", "fp").join(small(weight.select("id")), "id", "left_semi"))
+    # Each row with the first of its groups.
+    hubs = tables.settle(shared.join(small(weight), "id").groupBy("key").agg(F.max_by("id", F.struct("w", F.xxhash64("id"), "id")).alias("hub")))
+    pairs = tables.settle(shared.join(small(hubs), "key").where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct())
+    limit = distance_limit(similarity)
+    p, q = (small(fps, BROADCAST_PRINTS).select(F.col("id").alias(i), F.col("fp").alias(f)) for i, f in (("a", "p"), ("b", "q")))
+    near = tables.settle(pairs.join(p, "a").join(q, "b").where(_distance("p", "q") <= limit).select("a", "b"))
+    links = tables.settle(same.unionByName(verified(base, near, tables, size, similarity)))
     roots = components(links)
-    seen, firsts, turn = None, 1, 0
-    while True:
-        placed = rows.join(small(shared), "id").join(small(roots.withColumnRenamed("node", "id")), "id", "left").select("id", "key", "shared", F.coalesce("root", "id").alias("root"))
-        most = F.max_by("id", F.struct("shared", F.xxhash64("id"), "id")).alias("most")
-        live = placed.groupBy("key").agg(F.count("*").alias("n"), most, F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key", "n", "most")
-        drawn = F.pmod(F.xxhash64(F.lit(turn), "key", "id"), F.lit(1 << 30)) * F.col("n") < F.lit(firsts << 30) if turn else F.lit(False)
-        rows = settle(placed.join(live, "key").select("id", "key", "root", ((F.col("id") == F.col("most")) | drawn).alias("first")))
-        if not rows.limit(1).count():
-            return roots.select(F.col("node").alias(key), "root")
-        ahead = rows.where("first").select("key", F.col("id").alias("f"), F.col("root").alias("r"))
-        pairs = rows.join(ahead, "key").where("root <> r and (id < f or not first)").select(F.least("id", "f").alias("a"), F.greatest("id", "f").alias("b")).distinct()
-        pairs = pairs.join(whole.select(F.col("id").alias("a"), F.col("fp").alias("p")), "a").join(whole.select(F.col("id").alias("b"), F.col("fp").alias("q")), "b").where(_distance("p", "q") <= limit).select("a", "b")
-        pairs = settle(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"))
-        if pairs.limit(1).count():
-            seen = pairs if seen is None else seen.unionByName(pairs)
-            links = settle(links.unionByName(verified(base, pairs, size, similarity)))
-            roots = components(links)
-        rows = rows.where("not first").select("id", "key")
-        firsts, turn = firsts * MORE_FIRSTS, turn + 1
+    # The rest of the groups that these links don't join.
+    placed = shared.join(small(roots.withColumnRenamed("node", "id")), "id", "left").select("id", "key", "n", F.coalesce("root", "id").alias("root"))
+    live = tables.settle(placed.where("n > 2").groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key"))
+    if live.limit(1).count():
+        blocks = F.ceil(F.col("n") / BLOCK_ROWS).cast("int")
+        rest = placed.join(small(live), "key").join(small(fps, BROADCAST_PRINTS), "id").withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int"))
+        rest = rest.select("*", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+        rest = rest.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "root", "fp")
+        found = rest.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_compare(limit), "a long, b long").distinct()
+        more = tables.settle(found.join(near, ["a", "b"], "left_anti"))
+        if more.limit(1).count():
+            roots = components(links.unionByName(verified(base, more, tables, size, similarity)))
+    tables.drop()
+    return roots.select(F.col("node").alias(key), "root")
+
+
+def distance_limit(similarity: float) -> int:
+    """Differing bits of the longer fingerprints: as expected at the similarity and four standard deviations more."""
+    bits = 64 * LONGS
+    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    return int(bits * share + 4 * np.sqrt(bits * share * (1 - share)))
 
 
 def _distance(p: str, q: str) -> Column:
@@ -248,20 +290,57 @@ def _distance(p: str, q: str) -> Column:
     return sum(each[1:], each[0])
 
 
-def verified(base: DataFrame, pairs: DataFrame, size: int, similarity: float) -> DataFrame:
+def _compare(limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of rows sorted by (key, i, j), the pairs of each group that are near and of different roots."""
+
+    def pairs(part: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(part).combine_chunks()
+        ids, roots, own, i, j = (table.column(x).to_numpy() for x in ("id", "root", "own", "i", "j"))
+        fp = table.column("fp").combine_chunks().values.to_numpy().view(np.uint64).reshape(-1, LONGS)
+        left = np.flatnonzero(own == i[0])
+        right = left if i[0] == j[0] else np.flatnonzero(own == j[0])
+        for at in range(0, len(left), 64):
+            some = left[at : at + 64]
+            far = sum(np.bitwise_count(fp[some, k][:, None] ^ fp[right, k][None, :]).astype(np.int16) for k in range(LONGS))
+            x, y = np.nonzero((far <= limit) & (roots[some][:, None] != roots[right][None, :]) & ((ids[some][:, None] < ids[right][None, :]) | (i[0] != j[0])))
+            if len(x):
+                a, b = ids[some[x]], ids[right[y]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(x).to_numpy().astype(np.int64) for x in ("key", "i", "j")], 1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if held and tuple(keys[a]) != last:
+                    yield from pairs(held)
+                    held = []
+                held.append(batch.slice(a, b - a))
+                last = tuple(keys[a])
+        if held:
+            yield from pairs(held)
+
+    return run
+
+
+def verified(base: DataFrame, pairs: DataFrame, tables: Tables, size: int, similarity: float) -> DataFrame:
     """The pairs (a, b) of ids whose sets of word shingles have at least this Jaccard similarity.
 
     Only texts of some pair are read into the join. A worker gets pairs with both texts' distinct shingle hashes.
     """
-    ids = settle(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
+    ids = tables.settle(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, texts in chunks(batch, "t"):
-                each = [np.unique(np.fromiter(map(xxhash.xxh64_intdigest, s := shingles(x, size), repeat(SEED)), np.uint64, len(s))).view(np.int64) for x in texts]
+                each = [hashes_of(x, size, distinct=True).view(np.int64) for x in texts]
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array(each, pa.list_(pa.int64()))], names=["id", "s"])
 
-    own = settle(base.join(small(ids), "id", "left_semi").mapInArrow(sets, "id long, s array<long>"))
+    own = tables.settle(base.join(small(ids), "id", "left_semi").mapInArrow(sets, "id long, s array<long>"))
     both = pairs.join(own.select(F.col("id").alias("a"), F.col("s").alias("p")), "a").join(own.select(F.col("id").alias("b"), F.col("s").alias("q")), "b")
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lutrin.llm import bpe, decontaminate, license_scan, lm, pii, quality, simhash, substring_dedup, token_output, toxicity
-from lutrin.llm.common import scratch
+from lutrin.llm.common import Tables, scratch
 
 SCHEMA = "doc_id long, text string, lang string, n_words string, score string, fp string, ids string"
 
@@ -126,7 +126,7 @@ def test_links_of_crowded_halves(spark, monkeypatch):
     seeds = [r.getrandbits(64) for _ in range(4)]
     prints = sorted({s ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64)) for s in seeds for _ in range(40)})
     signed = [simhash._long(p) for p in prints]
-    got = {tuple(x) for x in simhash.links(spark.createDataFrame([(p,) for p in signed], "fp long")).collect()}
+    got = {tuple(x) for x in simhash.links(spark.createDataFrame([(p,) for p in signed], "fp long"), Tables(spark)).collect()}
     want = {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= 2}
     assert got == want
 
