@@ -1,13 +1,14 @@
-"""Substring dedup: passages of 35 and more words that are found elsewhere too, by a prefix-partitioned suffix tree.
-
-A tree over all suffixes of all texts needn't be built where no two suffixes share 35 words. Texts are first cut down to one of each
-(equal texts are repeats of each other). Each window of 35 words is filed under a variable-length prefix: its inner sequence of PREFIX
-words of least hash, which equal windows have in common, wherever it starts. Prefixes that occur once have a leaf below them and nothing
-else, and are pruned. For the others the suffixes at depth 35 are counted in their group: an internal node there has two leaves at least, and its
-leaves' windows are the repeats. Groups are spread by prefix, counts are combined before they move, and a node with very many leaves is
-a join's key that can be split, never a group in memory.
-
-Word sequences are compared by 64-bit hashes, of the prefix and the whole, together.
+"""Substring dedup: passages of 35 and more words that are found elsewhere too, by prefix-partitioned suffix trees.
+
+Texts are first cut down to one of each (equal texts repeat each other whole). The suffixes that go into trees start at anchors: of the
+10-word sequences in each window of 35 words that of least hash, wherever it starts. Equal windows have equal anchors, so each repeated
+window is seen from one; an anchor is one word in about 13. Suffixes are partitioned by a prefix: the anchor's 10 words. A prefix that occurs once
+has one leaf below it and is pruned. A prefix with at most GROUP_ROWS suffixes is a group that fits in memory: its suffixes, with the
+words before them that windows can reach, come together in one task, which builds the group's tree as a sorted suffix array with the
+lengths of common prefixes, and another over the reversed words before. Where two leaves below a node share d words from the anchor on and
+another node puts the same two at d' words before it, they are one maximal repeat of d + d'; those of 35 and more give the spans. Words
+themselves are compared. A prefix with more suffixes is too large for a group: its windows are partitioned by the longest prefix there
+is any use for, all 35 words (as 128-bit hashes, counted before they move); such a group is one node, whose leaves are counted, not gathered.
 """
 
 from __future__ import annotations
@@ -23,12 +24,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.types import StructField, StructType
 
-from .common import chunks, settle, small
+from .common import Tables, chunks, fresh, settle, small
 
-PREFIX = 10
+#: Words of an anchor's prefix, and the suffixes of one prefix that make a group.
+PREFIX, GROUP_ROWS = 10, 2000
+#: Suffixes whose trees are built at a time.
+TREE_ROWS = 20_000
 KEPT_WORDS = 400_000
 BASE = 0x9E3779B97F4A7C15 | 1
-TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 class Words:
@@ -81,92 +84,177 @@ def sliding(x: np.ndarray, width: int, function: np.ufunc) -> np.ndarray:
     return function(x[rest:], x[: len(x) - rest]) if rest else x
 
 
-class Prefixes:
-    """The windows of one text and their prefixes."""
+def anchors(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the anchors of a text's windows start, and their prefixes' hashes, from the hashes of its words."""
+    prefix = min(PREFIX, window)
+    width = window - prefix + 1
+    sums = np.concatenate((np.zeros(1, np.uint64), words * powers(len(words) + 1)[0][: len(words)])).cumsum(dtype=np.uint64)
+    value = sequence_hashes(words, prefix, sums)
+    least = sliding(value, width, np.minimum)
+    pad = np.zeros(width - 1, np.uint64)
+    at = np.flatnonzero(sliding(np.concatenate((pad, least, pad)), width, np.maximum) == value)
+    return at, value[at]
 
-    def __init__(self, words: np.ndarray, window: int):
-        sums = np.concatenate((np.zeros(1, np.uint64), words * powers(len(words) + 1)[0][: len(words)])).cumsum(dtype=np.uint64)
-        self.sums, self.words, self.window, self.width = sums, words, window, window - PREFIX + 1
-        self.value = sequence_hashes(words, PREFIX, sums)
-        self.least = sliding(self.value, self.width, np.minimum)
 
-    def places(self) -> np.ndarray:
-        """Where the prefixes of windows start: values that are the least of a window around them."""
-        pad = np.zeros(self.width - 1, np.uint64)
-        most = sliding(np.concatenate((pad, self.least, pad)), self.width, np.maximum)
-        return np.flatnonzero(most == self.value)
+def common(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of sequences of numbers, and how many numbers each has in common with the one before it (the first none)."""
+    octets = np.ascontiguousarray(rows.astype(">u4"))
+    order = np.argsort(octets.view(f"S{4 * rows.shape[1]}").ravel(), kind="stable")
+    some = rows[order]
+    unlike = some[1:] != some[:-1]
+    shared = np.where(unlike.any(1), unlike.argmax(1), rows.shape[1])
+    return order, np.concatenate((np.zeros(1, np.int64), shared))
 
-    def filed(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Starts, prefixes and hashes of the windows whose prefix starts at one of the places."""
-        only = np.full(len(self.value), TOP)
-        only[places] = self.value[places]
-        at = np.flatnonzero(sliding(only, self.width, np.minimum) == self.least)
-        return at, self.least[at], sequence_hashes(self.words, self.window, self.sums)[at]
 
+def tree_spans(texts: list[bytes], left: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, from, to): the repeated stretches of ``window`` words and more around the suffixes of some whole groups.
 
-def covered(n: int, starts: np.ndarray, window: int) -> np.ndarray:
+    texts: the words from ``left`` words before the suffix to its ``window``-th; at: where the suffix starts in its text.
+    """
+    n, reach = len(texts), window - min(PREFIX, window)
+    numbers: dict[bytes, int] = {}
+    words = [[numbers.setdefault(w, len(numbers)) for w in x.split()] for x in texts]
+    # What lies beyond a text's ends equals nothing.
+    own = len(numbers) + np.arange(n, dtype=np.uint32)[:, None]
+    after, before = np.repeat(own, window, 1), np.repeat(own, max(1, reach), 1)
+    for i, (x, k) in enumerate(zip(words, left.tolist(), strict=True)):
+        after[i, : len(x) - k] = x[k:]
+        before[i, :k] = x[:k][::-1]
+    right = np.fromiter(map(len, words), np.int64, n) - left
+    order, depth = common(after)
+    order_before, depth_before = common(before)
+    good = np.zeros((n, reach + 2), bool)
+    for o in range(reach + 1):  # the window starts so many words before the suffix
+        node = np.empty(n, np.int64)
+        node[order] = np.cumsum(depth < window - o)
+        if o:
+            other = np.empty(n, np.int64)
+            other[order_before] = np.cumsum(depth_before < o)
+            node = node * (n + 1) + other
+        rows = np.flatnonzero((left >= o) & (right >= window - o))
+        leaf = node[rows]
+        by = np.argsort(leaf, kind="stable")
+        same = leaf[by][1:] == leaf[by][:-1]
+        good[rows[by[1:][same]], o] = True
+        good[rows[by[:-1][same]], o] = True
+    edge = np.diff(good.astype(np.int8), axis=1, prepend=0)
+    row, first = np.nonzero(edge == 1)
+    _, past = np.nonzero(edge == -1)
+    return row, at[row] - past + 1, at[row] - first + window
+
+
+def covered(n: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, np.minimum(starts + window, n), -1)
+    np.add.at(edge, start, 1)
+    np.add.at(edge, end, -1)
     return np.cumsum(edge[:n]) > 0
 
 
-def repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = 35) -> tuple[DataFrame, DataFrame]:
-    """df's rows as (doc_id, tid, t), and (tid, copies, starts) of the texts that have repeated windows.
+def repeats(df: DataFrame, tables: Tables, text: str = "text", window: int = 35) -> tuple[DataFrame, DataFrame]:
+    """df's texts as (ta, tb, t) beside its columns, and (ta, tb, copies, spans) of the texts that have repeated windows.
 
-    tid: a hash of the text; copies: rows with it, all of which repeat if there are two or more (starts is then null).
+    ta, tb: 128 bits of hashes that tell texts apart. copies: rows with the text, all of which repeat if there are two or more (spans is
+    then null). spans: array of word numbers (from, to), of 35 words at least each, overlapping where repeats do.
     """
-    rows = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("t")).withColumn("tid", F.xxhash64("t"))
-    own = rows.groupBy("tid").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).where("copies > 1")
-    many = settle(own)
-    gone = settle(rows.select("tid", "doc_id").join(small(many), "tid").where("doc_id <> first").select("tid", "doc_id").distinct())
-    once = rows.join(small(gone), ["tid", "doc_id"], "left_anti").select("tid", "t")
+    name = fresh(df, "t")
+    rows = df.withColumn(name, F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))).select("*", F.xxhash64(name).alias("ta"), F.xxhash64(F.lit(1), F.col(name)).alias("tb")).withColumnRenamed(name, "t")
+    bare = rows.select("ta", "tb", "t")
+    many = settle(bare.groupBy("ta", "tb").agg(F.count("*").alias("copies")).where("copies > 1"))
+    listed = small(many.select("ta", "tb"))
+    first = tables.settle(bare.join(listed, ["ta", "tb"], "left_semi").groupBy("ta", "tb").agg(F.first("t").alias("t")))
+    once = bare.join(listed, ["ta", "tb"], "left_anti").unionByName(first)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words()
         for batch in batches:
             for a, b, texts in chunks(batch, "t", 1_000_000):
-                out = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32))]
-                for tid, x in zip(batch.column("tid").slice(a, b - a).to_pylist(), texts, strict=True):
+                out, counts = [(np.zeros(0, np.int64), np.zeros(0, np.uint64))], []
+                for x in texts:
                     words = x.split()
+                    counts.append(0)
                     if len(words) >= window:
-                        p = Prefixes(known.hashes(words), window)
-                        at = p.places()
-                        out.append((p.value[at], np.full(len(at), tid, np.int64), at.astype(np.int32)))
-                prefix, tids, at = (np.concatenate(x) for x in zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(prefix.view(np.int64)), pa.array(tids), pa.array(at)], names=["prefix", "tid", "at"])
-
-    found = settle(once.mapInArrow(prefixes, "prefix long, tid long, at int"))
-    leaf = F.struct("tid", "at")
-    inner = settle(found.groupBy("prefix").agg(F.min(leaf).alias("x"), F.max(leaf).alias("y")).where("x <> y").select("prefix"))
-    places = settle(found.join(inner, "prefix").groupBy("tid").agg(F.collect_list("at").alias("places")))
-
-    def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Words()
+                        out.append(anchors(known.hashes(words), window))
+                        counts[-1] = len(out[-1][0])
+                at, prefix = (np.concatenate(x) for x in zip(*out, strict=True))
+                ids = [np.repeat(batch.column(x).slice(a, b - a).to_numpy(), counts) for x in ("ta", "tb")]
+                yield pa.RecordBatch.from_arrays([pa.array(prefix.view(np.int64)), *map(pa.array, ids), pa.array(at.astype(np.int32))], names=["prefix", "ta", "tb", "at"])
+
+    found = tables.settle(once.mapInArrow(prefixes, "prefix long, ta long, tb long, at int"))
+    inner = tables.settle(found.groupBy("prefix").agg(F.count("*").alias("n")).where("n > 1").select("prefix", (F.col("n") > GROUP_ROWS).alias("large")))
+    places = tables.settle(found.join(small(inner), "prefix").groupBy("ta", "tb").agg(F.collect_list(F.struct("prefix", "at", "large")).alias("places")))
+
+    def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Suffixes with their words, and windows of large prefixes as hashes (two longs, without words)."""
+        reach = window - min(PREFIX, window)
         for batch in batches:
-            for a, b, texts in chunks(batch, "t", 500_000):
-                out = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32))]
-                for tid, p, x in zip(batch.column("tid").slice(a, b - a).to_pylist(), batch.column("places").slice(a, b - a), texts, strict=True):
-                    at, prefix, whole = Prefixes(known.hashes(x.split()), window).filed(p.values.to_numpy(zero_copy_only=False))
-                    out.append((prefix, whole, np.full(len(at), tid, np.int64), at.astype(np.int32)))
-                prefix, whole, tids, at = (np.concatenate(x) for x in zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(prefix.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(tids), pa.array(at)], names=["prefix", "whole", "tid", "at"])
-
-    some = once.join(small(places.select("tid")), "tid", "left_semi").join(places, "tid").select("tid", "t", "places")
-    suffix = settle(some.mapInArrow(suffixes, "prefix long, whole long, tid long, at int"))
-    nodes = settle(suffix.groupBy("prefix", "whole").agg(F.min(leaf).alias("x"), F.max(leaf).alias("y")).where("x <> y").select("prefix", "whole"))
-    starts = suffix.join(nodes, ["prefix", "whole"], "left_semi").groupBy("tid").agg(F.collect_list("at").alias("starts"))
-    starts = starts.join(many.select("tid"), "tid", "left_anti").select("tid", F.lit(1).cast("long").alias("copies"), "starts")
-    return rows, settle(starts.unionByName(many.select("tid", "copies", F.lit(None).cast("array<int>").alias("starts"))))
+            for a, b, texts in chunks(batch, "t", 200_000):
+                out: list[list] = [[], [], [], [], [], [], []]
+                ids = [batch.column(x).slice(a, b - a).to_pylist() for x in ("ta", "tb")]
+                for x, ta, tb, spots in zip(texts, *ids, batch.column("places").slice(a, b - a), strict=True):
+                    words = x.split()
+                    prefix, at, large = (spots.values.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+                    for p, k in zip(prefix[~large].tolist(), at[~large].tolist(), strict=True):
+                        left = min(k, reach)
+                        for column, value in zip(out, (p, 0, ta, tb, k, left, b" ".join(words[k - left : k + window])), strict=True):
+                            column.append(value)
+                    starts = (at[large][:, None] - np.arange(reach + 1)[None, :]).ravel()
+                    for k in np.unique(starts[(starts >= 0) & (starts <= len(words) - window)]).tolist():
+                        whole = xxhash.xxh3_128_intdigest(b" ".join(words[k : k + window]))
+                        for column, value in zip(out, ((whole >> 64) - (1 << 63), (whole & 0xFFFFFFFFFFFFFFFF) - (1 << 63), ta, tb, k, 0, None), strict=True):
+                            column.append(value)
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(out, kinds, strict=False)), pa.array(out[6], pa.binary()).cast(pa.string())], names=["prefix", "second", "ta", "tb", "at", "left", "words"])
+
+    texts = once.join(small(places.select("ta", "tb")), ["ta", "tb"], "left_semi").join(places, ["ta", "tb"])
+    leaf = tables.settle(texts.select("ta", "tb", "t", "places").mapInArrow(leaves, "prefix long, second long, ta long, tb long, at int, left int, words string"))
+
+    def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by prefix: whole groups, some at a time."""
+
+        def spans(part: list[pa.RecordBatch]) -> pa.RecordBatch:
+            table = pa.Table.from_batches(part).combine_chunks()
+            left, at = (table.column(x).to_numpy().astype(np.int64) for x in ("left", "at"))
+            row, start, end = tree_spans(table.column("words").cast(pa.binary()).to_pylist(), left, at, window)
+            ids = [pa.array(table.column(x).to_numpy()[row]) for x in ("ta", "tb")]
+            return pa.RecordBatch.from_arrays([*ids, pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], names=["ta", "tb", "from", "to"])
+
+        held: list[pa.RecordBatch] = []
+        count, last = 0, None
+        for whole in batches:
+            prefix = whole.column("prefix").to_numpy()
+            cuts = [0, *(np.flatnonzero(prefix[1:] != prefix[:-1]) + 1).tolist(), len(prefix)] if len(prefix) else [0]
+            begin = 0
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if count + a - begin >= TREE_ROWS and prefix[a] != last:
+                    yield spans([*held, *([whole.slice(begin, a - begin)] if a > begin else [])])
+                    held, count, begin = [], 0, a
+                last = prefix[a]
+            if len(prefix) > begin:
+                held.append(whole.slice(begin))
+                count += len(prefix) - begin
+        if held:
+            yield spans(held)
+
+    grouped = leaf.where("words is not null").select("prefix", "ta", "tb", "at", "left", "words").repartition("prefix").sortWithinPartitions("prefix")
+    span = "ta long, tb long, from int, to int"
+    windows = leaf.where("words is null")
+    nodes = tables.settle(windows.groupBy("prefix", "second").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
+    large = windows.join(small(nodes), ["prefix", "second"], "left_semi").select("ta", "tb", F.col("at").alias("from"), (F.col("at") + window).alias("to"))
+    spans = tables.settle(grouped.mapInArrow(trees, span).unionByName(large)).groupBy("ta", "tb").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
+    spans = spans.join(listed, ["ta", "tb"], "left_anti").select("ta", "tb", F.lit(1).cast("long").alias("copies"), "spans")
+    return rows, settle(spans.unionByName(many.select("ta", "tb", "copies", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))))
 
 
 def deduplicate(df: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = 35, keep_text: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and (keep_text) the kept words joined by one space, of each row.
 
     Every word that a repeated window covers is removed, in all its places. Null text has no words; texts of fewer than ``window`` words
-    keep all. Repeated rows are copies of each other. An empty table gives an empty table; other columns are left out.
+    keep all. Repeated rows are copies of each other. An empty table gives an empty table; other columns are left out, so their names
+    don't matter.
     """
-    rows, found = repeats(df, text, doc_id, window)
+    tables = Tables(df.sparkSession)
+    rows, found = repeats(df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), tables, "text", window)
+    tables.drop()
     kind = rows.schema["doc_id"].dataType
     schema = StructType([StructField("doc_id", kind), StructField("n_words", T.LongType()), StructField("n_removed", T.LongType()), StructField("kept_sha256", T.StringType()), *[StructField("kept", T.StringType())] * keep_text])
 
@@ -174,20 +262,21 @@ def deduplicate(df: DataFrame, text: str = "text", doc_id: str = "doc_id", windo
         for batch in batches:
             for a, b, texts in chunks(batch, "t"):
                 n, removed, kept = [], [], []
-                for x, copies, starts in zip(texts, batch.column("copies").slice(a, b - a).to_pylist(), batch.column("starts").slice(a, b - a), strict=True):
+                for x, copies, spans in zip(texts, batch.column("copies").slice(a, b - a).to_pylist(), batch.column("spans").slice(a, b - a), strict=True):
                     words = x.split()
                     n.append(len(words))
                     if copies > 1 and len(words) >= window:
                         words = []
-                    elif starts.is_valid:
-                        gone = covered(len(words), starts.values.to_numpy(zero_copy_only=False), window)
+                    elif spans.is_valid:
+                        gone = covered(len(words), *(spans.values.field(i).to_numpy(zero_copy_only=False) for i in range(2)))
                         words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
                     removed.append(n[-1] - len(words))
                     kept.append(b" ".join(words))
                 out = [batch.column("doc_id").slice(a, b - a), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept])]
                 yield pa.RecordBatch.from_arrays(out + [pa.array(kept, pa.binary()).cast(pa.string())] * keep_text, names=schema.fieldNames())
 
-    listed = small(found.select("tid"))
-    plain = rows.join(listed, "tid", "left_anti").select("doc_id", "t", F.lit(1).cast("long").alias("copies"), F.lit(None).cast("array<int>").alias("starts"))
-    touched = rows.join(listed, "tid", "left_semi").join(found, "tid").select("doc_id", "t", "copies", "starts")
+    listed = small(found.select("ta", "tb"))
+    none = found.schema["spans"].dataType
+    plain = rows.join(listed, ["ta", "tb"], "left_anti").select("doc_id", "t", F.lit(1).cast("long").alias("copies"), F.lit(None).cast(none).alias("spans"))
+    touched = rows.join(listed, ["ta", "tb"], "left_semi").join(found, ["ta", "tb"]).select("doc_id", "t", "copies", "spans")
     return plain.unionByName(touched).mapInArrow(cut, schema)

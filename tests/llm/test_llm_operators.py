@@ -359,8 +359,10 @@ def test_lm_is_a_distribution_and_splits(spark, docs, monkeypatch):
         assert abs(sum(10 ** model.log10(np.array([context << 8 | b for b in range(256)]))) - 1) < 1e-5
 
 
-@pytest.mark.parametrize("window", [35, 12])
-def test_substring_dedup(docs, window):
+@pytest.mark.parametrize(("window", "group"), [(35, 2000), (12, 2000), (35, 1), (12, 2), (6, 3)])
+def test_substring_dedup(docs, monkeypatch, window, group):
+    """Against brute force; with small groups too, so that windows of large prefixes are counted by their whole length."""
+    monkeypatch.setattr(substring_dedup, "GROUP_ROWS", group)
     df, rows = docs
     words = [(r[0], (r[1] or "").encode().split()) for r in rows]
     seen = Counter(tuple(w[k : k + window]) for _, w in words for k in range(len(w) - window + 1))
@@ -371,6 +373,25 @@ def test_substring_dedup(docs, window):
     assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.deduplicate(df, window=window).collect()) == want
 
 
+def test_trees_of_shared_passages():
+    """Spans around suffixes, by the words themselves, against all pairs."""
+    r = random.Random(4)
+    passage = [b"p%d" % i for i in range(60)]
+    texts = []
+    for _ in range(40):
+        a = r.randrange(50)
+        texts.append([b"%d" % r.randrange(9) for _ in range(r.randrange(30))] + passage[a : a + r.randrange(5, 60)] + [b"%d" % r.randrange(9) for _ in range(r.randrange(30))])
+    texts.append([b"w"] * 70)
+    window, reach = 20, 10
+    rows = [(i, k) for i, t in enumerate(texts) for k in range(len(t) - 9)]
+    left = np.array([min(k, reach) for _, k in rows])
+    at = np.array([k for _, k in rows])
+    row, start, end = substring_dedup.tree_spans([b" ".join(texts[i][max(0, k - reach) : k + window]) for i, k in rows], left, at, window)
+    got = {(rows[x][0], s) for x, a, b in zip(row, start, end, strict=True) for s in range(a, b - window + 1)}
+    seen = Counter(tuple(t[k : k + window]) for t in texts for k in range(len(t) - window + 1))
+    assert got == {(i, k) for i, t in enumerate(texts) for k in range(len(t) - window + 1) if seen[tuple(t[k : k + window])] > 1}
+
+
 def test_toxicity(spark):
     r = random.Random(2)
     word = lambda: "".join(r.choices("bcdfgaeiou", k=6))
