@@ -17,7 +17,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.types import StructField, StructType
@@ -148,17 +148,44 @@ def links(prints: DataFrame, tables: Tables, distance: int = 2) -> DataFrame:
     return out
 
 
+#: Edges (16 bytes each) that one task joins.
+EDGES_IN_A_TASK = 100_000
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root) of all edges, by a forest of nodes with path halving."""
+    above: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while above[x] != x:
+            above[x] = x = above[above[x]]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            above.setdefault(a, a)
+            above.setdefault(b, b)
+            a, b = find(a), find(b)
+            above[max(a, b)] = min(a, b)
+    nodes = list(above)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(list(map(find, nodes)), pa.int64())], names=["node", "root"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a, b): one root for each connected component.
 
     Each round every node points at the one of least hash among itself and its neighbours, and edges are redrawn between
-    what their ends point at; the nodes left fall by a constant factor, whatever the shape. Edges and pointers of a round are
-    tables in the shared folder. No edges give no rows; loops and repeated edges do no harm; edges with null are ignored.
+    what their ends point at; the nodes left fall by a constant factor, whatever the shape. Once EDGES_IN_A_TASK or fewer are left, one task
+    joins them. Edges and pointers of a round are tables in the shared folder. No edges give no rows; loops and repeated edges do no harm;
+    edges with null are ignored.
     """
     tables = Tables(edges.sparkSession)
     edges = tables.settle(edges.where("a is not null and b is not null").select("a", "b").distinct())
     rounds: list[DataFrame] = []
-    while edges.limit(1).count():
+    while n := edges.limit(EDGES_IN_A_TASK + 1).count():
+        if n <= EDGES_IN_A_TASK:
+            rounds.append(tables.settle(edges.coalesce(1).mapInArrow(_joined, "node long, root long")))
+            break
         salt = F.lit(len(rounds))
         rank = lambda c: F.struct(F.xxhash64(salt, F.col(c)).alias("h"), F.col(c).alias("n"))
         both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a")))
@@ -193,16 +220,17 @@ def link(df: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int =
     return own.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Of the longer fingerprints.
-LONGS, SEGMENT_BITS, LOOSE_BITS = 6, 20, 4
+#: Longs of the fingerprint that segments are cut from, bits of a segment and those of least margin that balls flip; longs of the
+#: fingerprint whose complete distances are verified.
+LONGS, SEGMENT_BITS, LOOSE_BITS, WHOLE_LONGS = 6, 20, 4, 32
 #: Rows of a group that are compared with one another, or with those of another block, in one place.
 BLOCK_ROWS = 2000
-#: Fingerprints up to this number are broadcast.
-BROADCAST_PRINTS = 100_000
+#: Complete fingerprints (256 bytes each) up to this number are broadcast.
+BROADCAST_PRINTS = 20_000
 
 
-def segment_keys(counts: np.ndarray, n: np.ndarray, hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprints, and for each the keys of its balls: a segment's value, and that with one of its bits of least margin flipped,
+def segment_keys(counts: np.ndarray, n: np.ndarray, hashes: list[np.ndarray]) -> np.ndarray:
+    """The keys of each fingerprint's balls: a segment's value, and that with one of its bits of least margin flipped,
     each within the part of the segment's table that the least shingle hash, under the segment's order, names."""
     bits = counts * 2 > n[:, None]
     margin = np.abs(counts * 2 - n[:, None])
@@ -219,7 +247,7 @@ def segment_keys(counts: np.ndarray, n: np.ndarray, hashes: list[np.ndarray]) ->
             order = np.uint64(xxhash.xxh64_intdigest(b"order", i))
             least[some, i] = np.minimum.reduceat(flat ^ order, starts) ^ order
     keys = mix(balls | (np.arange(segments, dtype=np.uint64) << np.uint64(32))[None, :, None], 1) ^ mix(least, 2)[:, :, None]
-    return np.packbits(bits, axis=1, bitorder="little"), mix(keys, 3).reshape(len(bits), -1).view(np.int64)
+    return mix(keys, 3).reshape(len(bits), -1).view(np.int64)
 
 
 def near_copies(df: DataFrame, text: str = "text", key: str = "doc_id", size: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -228,23 +256,32 @@ def near_copies(df: DataFrame, text: str = "text", key: str = "doc_id", size: in
     key: a unique column without nulls of type long. Rows without a partner aren't returned. Null texts are empty; texts without words
     are alike. An empty table gives an empty table. Rows of one set of shingles (by 128 bits) are links at once; one of them goes on.
     Candidates share a segment key of their fingerprints. In each group of one key all rows are compared with one, that whose
-    keys most rows share (the source of copies that are not alike among themselves). Where the links so verified don't join all rows of
-    a group, all its rows that they don't join are compared with one another, in blocks. So every pair that shares a key is joined
-    or compared: by its complete distance, then by the similarity itself.
+    keys most rows share (the source of copies that are not alike among themselves): each row first with the one of its groups that is most
+    so, then with the others that this doesn't join it to. Where the links so verified don't join all rows of a group, all its rows that they
+    don't join are compared with one another, in blocks. So every pair that shares a key is joined or compared: by
+    the complete distance of longer fingerprints, then by the similarity itself.
     """
     tables = Tables(df.sparkSession)
     base = df.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("t"))
 
-    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, texts in chunks(batch, "t"):
                 hashes = [hashes_of(x, size, distinct=True) for x in texts]  # the similarity is of sets
-                bits, keys = segment_keys(*bit_counts(hashes, LONGS), hashes)
+                keys = segment_keys(*bit_counts(hashes, LONGS), hashes)
                 whole = np.frombuffer(b"".join(xxhash.xxh3_128_digest(h) for h in hashes), "<i8").reshape(-1, 2)
-                lists = [pa.array(list(x), pa.list_(pa.int64())) for x in (bits.view("<i8"), keys)]
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array(whole[:, 0]), pa.array(whole[:, 1]), *lists], names=["id", "x", "y", "fp", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array(whole[:, 0]), pa.array(whole[:, 1]), pa.array(list(keys), pa.list_(pa.int64()))], names=["id", "x", "y", "keys"])
 
-    made = tables.settle(base.mapInArrow(prints, "id long, x long, y long, fp array<long>, keys array<long>"))
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, texts in chunks(batch, "t", 500_000):
+                hashes = [hashes_of(x, size, distinct=True) for x in texts]
+                counts, n = bit_counts(hashes, WHOLE_LONGS)
+                bits = np.packbits(counts * 2 > n[:, None], axis=1, bitorder="little").view("<i8")
+                lists = [pa.array(list(x), pa.list_(pa.int64())) for x in (bits, [h.view(np.int64) for h in hashes])]
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), *lists], names=["id", "fp", "s"])
+
+    made = tables.settle(base.mapInArrow(segments, "id long, x long, y long, keys array<long>"))
     sets = tables.settle(made.groupBy("x", "y").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
     same = tables.settle(made.select("id", "x", "y").join(small(sets), ["x", "y"]).where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")))
     rows = made.join(small(same.select(F.col("b").alias("id"))), "id", "left_anti")
@@ -252,42 +289,54 @@ def near_copies(df: DataFrame, text: str = "text", key: str = "doc_id", size: in
     groups = tables.settle(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     shared = tables.settle(keyed.join(small(groups), "key"))
     weight = tables.settle(shared.groupBy("id").agg(F.sum("n").alias("w")))
-    fps = tables.settle(rows.select("id", "fp").join(small(weight.select("id")), "id", "left_semi"))
-    # Each row with the first of its groups.
-    hubs = tables.settle(shared.join(small(weight), "id").groupBy("key").agg(F.max_by("id", F.struct("w", F.xxhash64("id"), "id")).alias("hub")))
-    pairs = tables.settle(shared.join(small(hubs), "key").where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct())
-    limit = distance_limit(similarity)
-    p, q = (small(fps, BROADCAST_PRINTS).select(F.col("id").alias(i), F.col("fp").alias(f)) for i, f in (("a", "p"), ("b", "q")))
-    near = tables.settle(pairs.join(p, "a").join(q, "b").where(_distance("p", "q") <= limit).select("a", "b"))
-    links = tables.settle(same.unionByName(verified(base, near, tables, size, similarity)))
+    fps = tables.settle(base.join(small(weight.select("id")), "id", "left_semi").mapInArrow(prints, "id long, fp array<long>, s array<long>"))
+    check = lambda pairs: tables.settle(verified(near_pairs(pairs, fps, similarity), fps, similarity))
+    # Each row with the first of its groups: the foremost of them, then those that this doesn't join it to.
+    order = F.struct("w", F.xxhash64("id").alias("h"), "id")
+    hubs = tables.settle(shared.join(small(weight), "id").groupBy("key").agg(F.max(order).alias("hub")))
+    led = shared.join(small(hubs), "key").select("id", "key", "hub")
+    foremost = tables.settle(led.groupBy("id").agg(F.max("hub").alias("hub")).select("id", F.col("hub.id").alias("hub")).where("id <> hub"))
+    links = check(_pair(foremost))
+    near = foremost.join(links.select(F.col("a").alias("id"), F.col("b").alias("hub")).union(links.select(F.col("b").alias("id"), F.col("a").alias("hub"))), ["id", "hub"], "left_semi")
+    near = tables.settle(near.groupBy("id").agg(F.min("hub").alias("up")))
+    lead = lambda df, name, to: df.join(small(near.withColumnRenamed("id", name).withColumnRenamed("up", to)), name, "left").withColumn(to, F.coalesce(to, name))
+    further = tables.settle(led.select("id", F.col("hub.id").alias("hub")).where("id <> hub").distinct().join(small(foremost), ["id", "hub"], "left_anti"))
+    further = lead(lead(lead(lead(further, "id", "p"), "p", "pp"), "hub", "q"), "q", "qq").where("pp <> qq")
+    done = tables.settle(_pair(foremost).unionByName(_pair(further)).distinct())
+    links = tables.settle(same.unionByName(links).unionByName(check(_pair(further).join(_pair(foremost), ["a", "b"], "left_anti"))))
     roots = components(links)
     # The rest of the groups that these links don't join.
     placed = shared.join(small(roots.withColumnRenamed("node", "id")), "id", "left").select("id", "key", "n", F.coalesce("root", "id").alias("root"))
     live = tables.settle(placed.where("n > 2").groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key"))
     if live.limit(1).count():
         blocks = F.ceil(F.col("n") / BLOCK_ROWS).cast("int")
-        rest = placed.join(small(live), "key").join(small(fps, BROADCAST_PRINTS), "id").withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int"))
+        rest = placed.join(small(live), "key").join(small(fps.select("id", "fp"), BROADCAST_PRINTS), "id").withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int"))
         rest = rest.select("*", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
         rest = rest.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "root", "fp")
-        found = rest.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_compare(limit), "a long, b long").distinct()
-        more = tables.settle(found.join(near, ["a", "b"], "left_anti"))
+        found = rest.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_compare(distance_limit(similarity)), "a long, b long").distinct()
+        more = tables.settle(found.join(done, ["a", "b"], "left_anti"))
         if more.limit(1).count():
-            roots = components(links.unionByName(verified(base, more, tables, size, similarity)))
+            roots = components(links.unionByName(verified(more, fps, similarity)))
     tables.drop()
     return roots.select(F.col("node").alias(key), "root")
 
 
+def _pair(df: DataFrame) -> DataFrame:
+    return df.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+
+
 def distance_limit(similarity: float) -> int:
-    """Differing bits of the longer fingerprints: as expected at the similarity and four standard deviations more."""
-    bits = 64 * LONGS
+    """Differing bits of the complete fingerprints: as expected at the similarity and three standard deviations more."""
+    bits = 64 * WHOLE_LONGS
     share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    return int(bits * share + 4 * np.sqrt(bits * share * (1 - share)))
+    return int(bits * share + 3 * np.sqrt(bits * share * (1 - share)))
 
 
-def _distance(p: str, q: str) -> Column:
-    """Differing bits of two fingerprints of LONGS longs."""
-    each = [F.bit_count(F.col(p)[i].bitwiseXOR(F.col(q)[i])) for i in range(LONGS)]
-    return sum(each[1:], each[0])
+def near_pairs(pairs: DataFrame, fps: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of ids whose complete fingerprints are as near as the similarity asks."""
+    a, b = (small(fps.select("id", "fp"), BROADCAST_PRINTS).select(F.col("id").alias(i), F.col("fp").alias(f)) for i, f in (("a", "p"), ("b", "q")))
+    each = [F.bit_count(F.col("p")[i].bitwiseXOR(F.col("q")[i])) for i in range(WHOLE_LONGS)]
+    return pairs.join(a, "a").join(b, "b").where(sum(each[1:], each[0]) <= distance_limit(similarity)).select("a", "b")
 
 
 def _compare(limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -296,12 +345,12 @@ def _compare(limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
     def pairs(part: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(part).combine_chunks()
         ids, roots, own, i, j = (table.column(x).to_numpy() for x in ("id", "root", "own", "i", "j"))
-        fp = table.column("fp").combine_chunks().values.to_numpy().view(np.uint64).reshape(-1, LONGS)
+        fp = table.column("fp").combine_chunks().values.to_numpy().view(np.uint64).reshape(-1, WHOLE_LONGS)
         left = np.flatnonzero(own == i[0])
         right = left if i[0] == j[0] else np.flatnonzero(own == j[0])
         for at in range(0, len(left), 64):
             some = left[at : at + 64]
-            far = sum(np.bitwise_count(fp[some, k][:, None] ^ fp[right, k][None, :]).astype(np.int16) for k in range(LONGS))
+            far = sum(np.bitwise_count(fp[some, k][:, None] ^ fp[right, k][None, :]).astype(np.int16) for k in range(WHOLE_LONGS))
             x, y = np.nonzero((far <= limit) & (roots[some][:, None] != roots[right][None, :]) & ((ids[some][:, None] < ids[right][None, :]) | (i[0] != j[0])))
             if len(x):
                 a, b = ids[some[x]], ids[right[y]]
@@ -327,21 +376,9 @@ def _compare(limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
     return run
 
 
-def verified(base: DataFrame, pairs: DataFrame, tables: Tables, size: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of ids whose sets of word shingles have at least this Jaccard similarity.
-
-    Only texts of some pair are read into the join. A worker gets pairs with both texts' distinct shingle hashes.
-    """
-    ids = tables.settle(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, texts in chunks(batch, "t"):
-                each = [hashes_of(x, size, distinct=True).view(np.int64) for x in texts]
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array(each, pa.list_(pa.int64()))], names=["id", "s"])
-
-    own = tables.settle(base.join(small(ids), "id", "left_semi").mapInArrow(sets, "id long, s array<long>"))
-    both = pairs.join(own.select(F.col("id").alias("a"), F.col("s").alias("p")), "a").join(own.select(F.col("id").alias("b"), F.col("s").alias("q")), "b")
+def verified(pairs: DataFrame, fps: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of ids whose sets of word shingles (fps' s: their distinct hashes) have at least this Jaccard similarity."""
+    both = pairs.join(fps.select(F.col("id").alias("a"), F.col("s").alias("p")), "a").join(fps.select(F.col("id").alias("b"), F.col("s").alias("q")), "b")
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
