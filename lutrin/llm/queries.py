@@ -71,7 +71,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files source/lang/doc_id.txt. The table has no licence files, so a document of 40 words at most
     that speaks of a licence in its first line stands for its directory's."""
     docs = documents(spark, sf_dir).select("doc_id", "text", F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"))
-    notice = (F.length("text") <= 4000) & (F.size(F.split(F.trim("text"), "\\s+")) <= 40) & F.col("text").rlike(f"\\A[^\n]*(?:{license_scan.SPEAKS})")
+    notice = F.col("text").rlike(f"\\A[^\n]*(?:{license_scan.SPEAKS})") & (F.size(F.split(F.trim("text"), "\\s+")) <= 40)
     return license_scan.scan(docs, licence_file=notice)
 
 
