@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField
@@ -85,6 +86,11 @@ class Tables:
         self.paths.clear()
 
 
+def release(sent: Broadcast) -> None:
+    """Let go of a broadcast value that a worker has read, where several are used in turn; it is read again from the worker's disk."""
+    sent.__dict__.pop("_value", None)
+
+
 def others(df: DataFrame, made: Iterable[str]) -> list[StructField]:
     """df's fields without those that have a name of ``made``, in any case, as Spark's names are."""
     names = {x.lower() for x in made}

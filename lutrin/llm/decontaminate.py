@@ -3,13 +3,12 @@
 A shard is about 4 MB of document text inside one task. Its words become numbers of the benchmark's vocabulary;
 stretches of at least a window's length without other words, which are all that a window can occur in, are joined
 with separators and indexed: suffix array, Burrows-Wheeler transform, wavelet matrix with ranks, and a sample of
-suffix positions. All windows are then searched backwards at once, occurrences are located by walking to sampled
-positions, and overlapping occurrences in a document are merged into spans.
+suffix positions. All windows whose words are all in the shard are then searched backwards at once, occurrences are located by
+walking to sampled positions, and overlapping occurrences in a document are merged into spans.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 from itertools import repeat
@@ -21,11 +20,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.types import StructField, StructType
 
-from .common import chunks, fresh
+from .common import chunks, fresh, others, release
 
 SHARD_BYTES = 4_000_000
-#: Benchmark text that is sent to the workers at once; a larger benchmark goes in several blocks, one pass each.
-BLOCK_BYTES = 32_000_000
+#: Benchmark text that a worker has in memory at once; a larger benchmark goes in several blocks, which each shard meets in turn.
+BLOCK_BYTES = 8_000_000
 SAMPLE_RATE = 8
 #: ASCII letters, digits and all bytes above ASCII are of words; A-Z become a-z; the rest separates.
 WORD_TABLE = bytes((b + 32 if 0x41 <= b <= 0x5A else b) if (0x30 <= b <= 0x39 or 0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A or b >= 0x80) else 0x20 for b in range(256))
@@ -133,20 +132,26 @@ class FMIndex:
 
 
 class Phrases:
-    """The windows of benchmark items: ``window`` words each, or a whole item of fewer."""
+    """The windows of benchmark items: ``window`` words each, or a whole item of fewer, as rows of numbers of words."""
 
     def __init__(self, items: list[tuple[str, bytes]], window: int):
         self.vocabulary: dict[bytes, int] = {}
-        windows: dict[tuple[int, ...], set[str]] = {}
-        for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)]
-            for i in range(max(1, len(ids) - window + 1) if ids else 0):
-                windows.setdefault(tuple(ids[i : i + window]), set()).add(item)
-        self.least = min(map(len, windows), default=0)
-        self.by_length = []
-        for n in sorted({len(x) for x in windows}):
-            rows = [x for x in windows if len(x) == n]
-            self.by_length.append((n, np.array(rows, np.int64), [windows[x] for x in rows]))
+        self.items = [x for x, _ in items]
+        by_size: dict[int, tuple[list[np.ndarray], list[np.ndarray]]] = {}
+        for k, (_, text) in enumerate(items):
+            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)], np.int32)
+            if len(ids):
+                rows = np.lib.stride_tricks.sliding_window_view(ids, min(window, len(ids)))
+                part = by_size.setdefault(rows.shape[1], ([], []))
+                part[0].append(rows)
+                part[1].append(np.full(len(rows), k, np.int32))
+        self.least = min(by_size, default=0)
+        #: Of each length: the different rows; where each one's items begin; the items.
+        self.by_length: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
+        for n, (rows, of) in sorted(by_size.items()):
+            different, row = np.unique(np.concatenate(rows), axis=0, return_inverse=True)
+            pairs = np.unique(np.stack((row.ravel(), np.concatenate(of)), 1), axis=0)
+            self.by_length.append((n, different, np.searchsorted(pairs[:, 0], np.arange(len(different) + 1)), pairs[:, 1].astype(np.int32)))
 
     def hits(self, texts: list[bytes]) -> list[tuple[int, list[tuple[int, int]], set[str]]]:
         """Of each text: its words, merged spans of word numbers [from, to), items."""
@@ -173,8 +178,11 @@ class Phrases:
         index = FMIndex(flat[source].astype(np.int64), len(self.vocabulary) + 1)
         first = np.concatenate(([0], np.cumsum(np.array(counts) + 1)))
         found: dict[int, list[tuple[int, int]]] = {}
-        for n, rows, items in self.by_length:
-            low, high = index.search(rows)
+        here = np.zeros(len(self.vocabulary) + 2, bool)
+        here[flat[source]] = True
+        for n, rows, starts, items in self.by_length:
+            some = np.flatnonzero(here[rows].all(1))
+            low, high = index.search(rows[some])
             hit = np.flatnonzero(high > low)
             if not len(hit):
                 continue
@@ -182,9 +190,9 @@ class Phrases:
             at = np.repeat(low[hit] - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())
             place = source[index.locate(at)]
             doc = np.searchsorted(first, place, "right") - 1
-            for d, p, r in zip(doc.tolist(), (place - first[doc]).tolist(), np.repeat(hit, many).tolist(), strict=True):
+            for d, p, r in zip(doc.tolist(), (place - first[doc]).tolist(), np.repeat(some[hit], many).tolist(), strict=True):
                 found.setdefault(d, []).append((p, p + n))
-                out[d][2].update(items[r])
+                out[d][2].update(self.items[x] for x in items[starts[r] : starts[r + 1]].tolist())
         for d, spans in found.items():
             out[d] = (out[d][0], merged(spans), out[d][2])
         return out
@@ -215,49 +223,48 @@ def find_spans(df: DataFrame, benchmark: DataFrame, text: str = "text", item: st
 
     clean: also give the text without the spans, under this name (it may be the text column's own).
     Null text has no words; in ``clean`` it stays null. Items without a word, or null, have no windows; a null id is the
-    empty string. An empty table or benchmark works and hits nothing. Columns of df with the new names are replaced, others
-    stay; repeated rows give repeated rows. A benchmark above BLOCK_BYTES is worked through in blocks, one pass over the rows
-    for each, which carries the hits along without a shuffle.
+    empty string. An empty table or benchmark works and hits nothing. Columns of df with the new names, in any case, are replaced, others
+    stay; repeated rows give repeated rows. A benchmark above BLOCK_BYTES is worked through in blocks, one after the other over each
+    shard in the same worker.
     """
     spark = df.sparkSession
     items = benchmark.select(F.coalesce(F.col(f"`{item}`").cast("string"), F.lit("")).alias("i"), F.col(f"`{item_text}`").cast("string").alias("t")).where("t is not null")
     size = items.agg(F.sum(F.octet_length("t") + 64)).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_BYTES))
-    made = {"n_words", "spans", "items"} | ({clean} if clean else set())
-    source = fresh(df, "text")
-    kept = [f for f in df.schema.fields if f.name not in made]
-    span = T.ArrayType(T.StructType([StructField("from", T.LongType()), StructField("to", T.LongType())]))
-    now = df.select(*(F.col(f"`{f.name}`") for f in kept), F.col(f"`{text}`").cast("string").alias(source), F.lit(None).cast(span).alias("spans"), F.lit(None).cast("array<string>").alias("items"), F.lit(None).cast("long").alias("n_words"))
-    schema = StructType([*kept, StructField(source, T.StringType()), StructField("spans", span), StructField("items", T.ArrayType(T.StringType())), StructField("n_words", T.LongType())])
-    order = [f.name for f in df.schema.fields if f.name not in made or f.name == clean]
-    last = StructType([*(StructField(x, T.StringType()) if x == clean else df.schema[x] for x in (order + [clean] * (clean not in order) if clean else order)), *(schema[x] for x in ("spans", "items", "n_words"))])
+    sent = []
     for block in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block)
-        sent = spark.sparkContext.broadcast([(r.i, r.t.encode()) for r in part.toLocalIterator()])
-        to = last if block == blocks - 1 else schema
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent, to=to) -> Iterator[pa.RecordBatch]:
-            phrases = Phrases(sent.value, window)
-            for whole in batches:
-                for a, b, texts in chunks(whole, source, SHARD_BYTES):
-                    batch = whole.slice(a, b - a)
-                    had = zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist(), strict=True)
-                    new = {"spans": [], "items": [], "n_words": []}
-                    for (n, got, names), (spans, was) in zip(phrases.hits(texts), had, strict=True):
-                        new["spans"].append(merged([*got, *((x["from"], x["to"]) for x in spans or ())]))
-                        new["items"].append(sorted({*names, *(was or ())}))
-                        new["n_words"].append(n)
-                    columns = {
-                        "spans": pa.array([[{"from": x, "to": y} for x, y in s] for s in new["spans"]], pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))),
-                        "items": pa.array(new["items"], pa.list_(pa.string())),
-                        "n_words": pa.array(new["n_words"], pa.int64()),
-                    }
-                    if clean and to is last:
-                        columns[clean] = cut(batch.column(source), texts, new["spans"])
-                    yield pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else batch.column(f.name) for f in to.fields], names=to.fieldNames())
-
-        now = now.mapInArrow(run, to)
-    return now
+        sent.append(spark.sparkContext.broadcast(Phrases([(r.i, r.t.encode()) for r in part.toLocalIterator()], window)))
+    source = fresh(df, "text")
+    new = ("spans", "items", "n_words")
+    kept = others(df, {*new, *([clean] if clean else [])})
+    order = [StructField(clean, T.StringType()) if clean and f.name.lower() == clean.lower() else f for f in others(df, new)]
+    if clean and clean not in [f.name for f in order]:
+        order.append(StructField(clean, T.StringType()))
+    span = T.ArrayType(T.StructType([StructField("from", T.LongType()), StructField("to", T.LongType())]))
+    schema = StructType([*order, StructField("spans", span), StructField("items", T.ArrayType(T.StringType())), StructField("n_words", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for a, b, texts in chunks(whole, source, SHARD_BYTES):
+                batch = whole.slice(a, b - a)
+                found: list[tuple[int, list[tuple[int, int]], set[str]]] = []
+                for one in sent:
+                    hits = one.value.hits(texts)
+                    found = [(n, merged([*x, *y]) if x else y, z | w) for (n, x, z), (_, y, w) in zip(found, hits, strict=True)] if found else hits
+                    if len(sent) > 1:
+                        release(one)
+                spans = [x for _, x, _ in found]
+                columns = {
+                    "spans": pa.array([[{"from": x, "to": y} for x, y in s] for s in spans], pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))),
+                    "items": pa.array([sorted(x) for _, _, x in found], pa.list_(pa.string())),
+                    "n_words": pa.array([n for n, _, _ in found], pa.int64()),
+                }
+                if clean:
+                    columns[clean] = cut(batch.column(source), texts, spans)
+                yield pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else batch.column(f.name) for f in schema.fields], names=schema.fieldNames())
+
+    return df.select(*(F.col(f"`{f.name}`") for f in kept), F.col(f"`{text}`").cast("string").alias(source)).mapInArrow(run, schema)
 
 
 def cut(column: pa.Array, texts: list[bytes], spans: list[list[tuple[int, int]]]) -> pa.Array:
@@ -266,7 +273,3 @@ def cut(column: pa.Array, texts: list[bytes], spans: list[list[tuple[int, int]]]
         return column
     whole = column.is_valid().to_pylist()
     return pa.array([(without(x, s) if s else x).decode() if ok else None for x, s, ok in zip(texts, spans, whole, strict=True)], pa.string())
-
-
-def digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()
