@@ -21,10 +21,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.types import StructField, StructType
 
-from .common import NOT_PLAIN, chunks, letters_digits
+from .common import NOT_PLAIN, chunks, letters_digits, others
 
 KEPT_WORDS = 300_000
 ROW_GROUP_BYTES, PAGE_BYTES = 16 << 20, 256 << 10
+#: Text of a file of ids, and the first characters by which rows of one doc_id are dealt to files.
+FILE_BYTES, DEALT_CHARACTERS = 32 << 20, 64
 SCHEMA = StructType([StructField("shard", T.IntegerType()), StructField("doc_id", T.LongType()), StructField("shard_start", T.LongType()), StructField("n_tokens", T.LongType()), StructField("ids", T.ArrayType(T.IntegerType(), False))])
 
 
@@ -101,15 +103,18 @@ def write_tokens(df: DataFrame, vocabulary: str, path: str, doc_id: str = "doc_i
     """Write the ids of each text, with ``end_id`` appended, at ``path`` in ascending order of doc_id (``tokens``, ``index``).
 
     vocabulary: a file of the tokenizers library, sent from the driver. Null and empty texts have the end id only. Null doc_ids
-    come first; rows of one doc_id are ordered by text. Repeated rows are all written. An empty table gives empty files. Other columns
-    aren't written.
+    come first; rows of one doc_id are ordered by their first DEALT_CHARACTERS, and within a file by text. Repeated rows are all written. An empty table gives empty files. Other columns
+    aren't written. files: by default one for each FILE_BYTES of text. Rows of one doc_id, or equal ones, may lie in several files.
     """
     spark = df.sparkSession
     spec = spark.sparkContext.broadcast(open(vocabulary, encoding="utf-8").read())
     own = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("t"))
-    parts = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = own.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "t")
-    placed = placed.select(F.spark_partition_id().alias("shard"), "doc_id", "t")
+    if files is None:
+        files = -(-(own.agg(F.sum(F.octet_length("t") + 64)).first()[0] or 1) // FILE_BYTES)
+    # The last key parts rows that are alike in the others; in which order they come makes no difference.
+    dealt = own.withColumn("first", F.substring("t", 1, DEALT_CHARACTERS)).withColumn("row", F.monotonically_increasing_id())
+    placed = dealt.repartitionByRange(files, F.col("doc_id").asc_nulls_first(), "first", "row").drop("first", "row")
+    placed = placed.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "t").select(F.spark_partition_id().alias("shard"), "doc_id", "t")
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,15 +137,22 @@ def write_tokens(df: DataFrame, vocabulary: str, path: str, doc_id: str = "doc_i
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, ids. Unused columns aren't fetched."""
+    """doc_id, start (ids of all documents before it), n_tokens, ids of what write_tokens wrote. Unused columns aren't fetched.
+
+    Null doc_ids, repeated rows and documents of the end id alone are as they were written; empty files give no rows.
+    """
     tokens = spark.read.schema(SCHEMA).parquet(f"{path}/tokens")
     index = spark.read.schema("shard int, shard_tokens long, before long").parquet(f"{path}/index").select("shard", "before")
     return tokens.join(F.broadcast(index), "shard").select("doc_id", (F.col("before") + F.col("shard_start")).alias("start"), "n_tokens", "ids")
 
 
 def checksums(df: DataFrame, ids: str = "ids", name: str = "ids_crc32") -> DataFrame:
-    """df with the unsigned CRC-32 of a list of ids as little-endian unsigned 32-bit integers, in place of the list."""
-    kept = [f for f in df.schema.fields if f.name not in (ids, name)]
+    """df with the unsigned CRC-32 of a list of ids as little-endian unsigned 32-bit integers, in place of the list.
+
+    Null and empty lists have that of no bytes, 0. A column of df named as the new one, in any case, is replaced; others stay; rows are
+    independent, and an empty table gives an empty table.
+    """
+    kept = others(df, (ids, name))
     schema = StructType([*kept, StructField(name, T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
