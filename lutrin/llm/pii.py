@@ -1,8 +1,10 @@
 """Personal data replaced by format-preserving pseudonyms.
 
 A value that a detector finds and validates is permuted within its own format by a keyed Feistel network, so equal values
-get equal pseudonyms in all documents, different ones different, and the key's holder can invert them. Card numbers keep the Luhn check,
-IBANs their check digits, dates stay dates.
+get equal pseudonyms in all documents, different ones different, and the key's holder can invert them. Values are equal however they
+are written: phone numbers, cards and IBANs whatever separates their digits, e-mail addresses in any case. Card numbers keep the Luhn check,
+IBANs their check digits, dates stay dates, social security numbers stay of areas and groups that are given out, phone numbers keep
+their country's code, e-mail addresses their last domain.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.types import StructField, StructType
 
-from .common import fresh
+from .common import fresh, others
 
 ROUNDS = 8
 FIRST_DAY = datetime.date(1900, 1, 1).toordinal()
@@ -107,9 +109,11 @@ FORMS = re.compile(
 |(?P<ssn>(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-]))
 |(?P<ip>(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9]))
 |(?P<card>(?<![A-Za-z0-9.-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z]))
-|(?P<phone>(?<![A-Za-z0-9])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-][0-9]{3,4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4})(?![0-9A-Za-z])|(?<![A-Za-z0-9])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9A-Za-z]))""",
+|(?P<phone>(?<![A-Za-z0-9])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-][0-9]{3,4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4})(?![0-9A-Za-z])|(?<![A-Za-z0-9])\+[0-9]{1,3}[ .-]?[0-9]{1,4}(?:[ .-]?[0-9]{2,4}){1,5}(?![0-9A-Za-z]))""",
     re.VERBOSE,
 )
+#: Country codes of two digits; 1 and 7 have one, all others three.
+TWO_DIGIT_CODES = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
 ANY = re.compile(r"[0-9@]")
 KINDS = ("email", "secret", "iban", "iso", "dmy", "ssn", "ip", "card", "phone")
 
@@ -124,7 +128,8 @@ class Pseudonyms:
         m = m or FORMS.fullmatch(x)
         if kind == "email":
             local, _, domain = x.partition("@")
-            return f"{f.text(local, b'email', inverse)}@{domain}"
+            host, _, last = domain.rpartition(".")
+            return f"{self._cased(local, b'email', inverse)}@{self._cased(host, b'host', inverse)}.{last}"
         if kind == "secret":
             if x[:4] in ("AKIA", "ghp_"):
                 return x[:4] + f.text(x[4:], x[:4].encode(), inverse)
@@ -168,11 +173,23 @@ class Pseudonyms:
             new = f.text(flat[:-1], tweak, inverse)
             return refill(x, new + str(-luhn(new + "0") % 10))
         if kind == "ssn":
-            return f.text(x, tweak, inverse)
-        lead = re.match(r"\+[0-9]{1,3}(?=[ .(-])", x)
-        keep = lead.end() if lead else 0
-        digits = sum(c.isdigit() for c in x[keep:])
-        return x[:keep] + f.text(x[keep:], tweak, inverse) if 7 <= digits <= 15 else None
+            area, group, serial = map(int, x.split("-"))
+            if area in (0, 666) or area >= 900 or not group or not serial:
+                return None
+            n = f.permute(((area - 1 - (area > 666)) * 99 + group - 1) * 9999 + serial - 1, 898 * 99 * 9999, tweak, inverse)
+            area, group, serial = n // 9999 // 99 + 1, n // 9999 % 99 + 1, n % 9999 + 1
+            return f"{area + (area >= 666):03d}-{group:02d}-{serial:04d}"
+        flat = re.sub("[^0-9]", "", x)
+        code = 0 if x[0] != "+" else 1 if flat[0] in "17" else 2 if flat[:2] in TWO_DIGIT_CODES else 3
+        size = len(flat) - code
+        if not 7 <= size <= 15:
+            return None
+        return refill(x, f"{flat[:code]}{f.permute(int(flat[code:]), 10**size, b'phone%d' % size, inverse):0{size}d}")
+
+    def _cased(self, x: str, tweak: bytes, inverse: bool) -> str:
+        """Letters are permuted as lower-case ones and written in the case of those at their places."""
+        new = self.feistel.text(x.lower(), tweak, inverse)
+        return "".join(b.upper() if a.isupper() else b for a, b in zip(x, new, strict=True))
 
     def replace(self, text: str, inverse: bool = False) -> tuple[str, list[str]]:
         """The text with pseudonyms, and the kinds found in their order."""
@@ -227,13 +244,13 @@ def pseudonymise(df: DataFrame, key: bytes, text: str = "text", out: str = "text
     """df with the text's personal data replaced (column ``out``, by default in place), ``pii_kinds`` (array, in order of place).
 
     Null stays null with no kinds, empty stays empty. Rows are independent: ties, repeated rows and empty tables need nothing
-    special. A column of df named pii_kinds, or as ``out``, is replaced; all others stay.
+    special. A column of df named pii_kinds, or as ``out``, in any case, is replaced; all others stay.
     """
     source = fresh(df, "text")
-    order = [f for f in df.schema.fields if f.name != "pii_kinds"]
-    if out not in [f.name for f in order]:
-        order.append(StructField(out, T.StringType()))
-    order = [StructField(out, T.StringType()) if f.name == out else f for f in order]
+    new = StructField(out, T.StringType())
+    order = [new if f.name.lower() == out.lower() else f for f in others(df, ("pii_kinds",))]
+    if new not in order:
+        order.append(new)
     schema = StructType([*order, StructField("pii_kinds", T.ArrayType(T.StringType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
