@@ -3,8 +3,8 @@
 The trie of contexts of up to ORDER bytes is trained on the whole training text: each byte is coded by the longest context that has
 been seen with it, after escapes (method C: as often as the context has seen different bytes) from longer ones, whose bytes are
 excluded. A text's score is the sum over its bytes, A-Z lower-cased, and an end. The trie comes as counts of (ORDER + 1)-byte sequences from Spark;
-the driver gets at most GRAMS of them at once. A larger trie is split by the last two bytes of the context, on which
-all longer contexts of a place depend, and the texts pass once for each part.
+the driver gets a part of about GRAMS of them at a time, by the last two bytes of the context, on which all longer contexts of a place depend,
+and sends its tables to the workers. A worker has one part in memory at a time: it looks up a chunk's different sequences in each part in turn.
 
 The word-unigram score beside it uses counts of all words: those of the most frequent HEAD words are sent to the workers, the others
 are joined by word, so all are exact.
@@ -20,11 +20,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, settle
+from .common import chunks, release, scratch, settle
 
 ORDER = 5
-#: Sequences in the memory of a worker (about 100 bytes each), and most frequent words.
-GRAMS, HEAD = 2_000_000, 100_000
+#: Sequences of a part of the trie (about 100 bytes each in a worker), and most frequent words.
+GRAMS, HEAD = 500_000, 100_000
+#: Text whose sequences are looked up together.
+LOOKED_UP_BYTES = 4_000_000
 #: Different sequences or words that a training task gathers before it passes them on.
 GATHERED = 1_000_000
 END, PAD = 0xFF, 0xFE  # bytes that UTF-8 never has
@@ -227,26 +229,39 @@ def score(df: DataFrame, doc_id: str = "doc_id", text: str = "text", held_out: C
     del frequent
     down = tokens + 0.5 * (types + 1)
 
+    placed = seen.withColumn("part", _part(F.shiftright("gram", 8), parts))
+    if parts > 1:  # each part is read from its own files
+        path = scratch(spark)
+        placed.repartition(parts, "part").write.partitionBy("part").parquet(path)
+        placed = spark.read.schema(placed.schema).parquet(path)
+    sent = [spark.sparkContext.broadcast(Model(*_arrays(placed.where(F.col("part") == part).select("gram", "c")), *pairs)) for part in range(parts)]
+
+    def log10(gram: np.ndarray) -> np.ndarray:
+        """Of each sequence, by the parts in turn."""
+        if parts == 1:
+            return sent[0].value.log10(gram)
+        different, at = np.unique(gram, return_inverse=True)
+        part = _part(different >> 8, parts)
+        order = np.argsort(part, kind="stable")
+        ends = np.searchsorted(part[order], np.arange(parts + 1))
+        value = np.zeros(len(different))
+        for i, one in enumerate(sent):
+            mine = order[ends[i] : ends[i + 1]]
+            if len(mine):
+                value[mine] = one.value.log10(different[mine])
+                release(one)
+        return value[at]
+
+    def bytes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, texts in chunks(batch, "t", 1_000_000 if parts == 1 else LOOKED_UP_BYTES):
+                gram, ends = grams(texts)
+                each = np.add.reduceat(log10(gram), np.concatenate(([0], ends[:-1])))
+                rows = batch.slice(a, b - a)
+                yield rows.set_column(3, "score", pa.array(each))
+
     now = base.select("doc_id", "held_out", "t", F.lit(0.0).alias("score"))
-    for part in range(parts):
-        rows = seen if parts == 1 else seen.where(_part(F.shiftright("gram", 8), parts) == part)
-        model = spark.sparkContext.broadcast(Model(*_arrays(rows), *pairs))
-
-        def bytes_of(batches: Iterator[pa.RecordBatch], model=model, part=part) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for a, b, texts in chunks(batch, "t", 1_000_000):
-                    gram, ends = grams(texts)
-                    if parts == 1:
-                        value = model.value.log10(gram)
-                    else:
-                        value = np.zeros(len(gram))
-                        mine = _part(gram >> 8, parts) == part
-                        value[mine] = model.value.log10(gram[mine])
-                    each = np.add.reduceat(value, np.concatenate(([0], ends[:-1])))
-                    rows = batch.slice(a, b - a)
-                    yield rows.set_column(3, "score", pa.array(rows.column("score").to_numpy(zero_copy_only=False) + each))
-
-        now = now.mapInArrow(bytes_of, now.schema)
+    now = now.mapInArrow(bytes_of, now.schema)
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # A word's term is worked out once for all texts; rarer words are passed on.
