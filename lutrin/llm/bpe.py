@@ -32,8 +32,8 @@ from .common import NOT_PLAIN, fresh, letters_digits
 
 NEVER = 1 << 60
 #: Words whose ids a worker keeps, and transitions.
-KEPT_WORDS = 300_000
-KEPT_ARCS = 1_000_000
+KEPT_WORDS = 200_000
+KEPT_ARCS = 400_000
 KEPT_STATES = 10_000
 
 
