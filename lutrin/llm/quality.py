@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.types import StructField, StructType
 
-from .common import chunks, fresh, settle
+from .common import chunks, fresh, others, settle
 
 #: The features of a text, all whole numbers.
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_marks", "n_lines", "n_noisy_lines")
@@ -116,7 +116,7 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
 def features(df: DataFrame, text: str = "text") -> DataFrame:
     """df with FEATURES (long) in place of columns of those names; the text column stays only if df needs it itself."""
     source = fresh(df, "text")
-    kept = [f for f in df.schema.fields if f.name not in FEATURES]
+    kept = others(df, FEATURES)
     schema = StructType([*kept, *(StructField(x, T.LongType()) for x in FEATURES)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,12 +134,12 @@ def judge(df: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFram
 
     base_failed: fewer than 50 words, or more than half of the words in repeated 3-word windows; such texts aren't kept.
     The model is fitted on all rows. Null text has no words. An empty table gives an empty table; repeated rows
-    count as often as they are there; columns of df with the new names are replaced. Features are written to the shared folder
+    count as often as they are there; columns of df with the new names, in any case, are replaced. Features are written to the shared folder
     once, as the patterns are counted before they are used.
     """
     made = {"base_failed", "good", "kept"}
     rules = votes()
-    df = df.drop(*[x for x in df.columns if x in made])
+    df = df.select(*(F.col(f"`{f.name}`") for f in others(df, {*made, *FEATURES} - {text.lower()})))
     seen = settle(features(df, text))
     pattern = F.concat_ws(",", *(v.cast("string") for v in rules.values()))
     key = fresh(seen, "votes")
