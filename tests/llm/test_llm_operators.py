@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import pathlib
 import random
 import zlib
 from collections import Counter
@@ -416,3 +417,88 @@ def test_licences_within_texts(spark):
     rows = [(1, "a/x.c", mit + "\nint x;"), (2, "b/x.c", wrapped), (3, "c/x.txt", f"{many} Licensed under the Apache License, Version 2.0. {many}"), (4, "d/x.txt", many), (5, "e/LICENSE", f"{many}\n{mit}\n{many}"), (6, "f/x.txt", f"{many} a driver's licence {many}"), (7, "g/x.txt", "Licensed under CC BY 4.0. " + many)]
     got = {r.doc_id: (r.licence, r.found) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
     assert got == {1: ("MIT", "own"), 2: ("MIT", "own"), 3: ("Apache-2.0", "own"), 4: (None, "none"), 5: ("MIT", "own"), 6: (None, "none"), 7: ("CC-BY-4.0", "own")}
+
+
+CLASHES = "doc_id long, TEXT string, N_WORDS string, Items string, Spans int, PII_KINDS string, FP string, SCORE string, Hits int, Predicted int, KEPT string, Good int, IDS string, Ids_Sha256 int, N_Tokens string, WORD_chars string, Ta int, tb string, Own string, Dir string, Path string, Similarity int, Start int, Component_Id string, Held_Out string"
+
+
+def test_clashing_names(spark):
+    """Extra columns named as the results or as columns used within, in other cases: no crash, results by the documented names."""
+    text = " ".join(f"word{i % 70}" for i in range(90))
+    rows = [(i, t, *("x" if "string" in c else 0 for c in CLASHES.split(", ")[2:])) for i, t in [(1, text), (2, text + " a"), (2, text + " a"), (3, None), (None, ""), (4, "MAIL joe@x.org you fool")]]
+    df = spark.createDataFrame(rows, CLASHES).withColumnRenamed("TEXT", "text")
+    items = spark.createDataFrame([(1, text[:90])], "item_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (4, 1)], "doc_id long, toxic int")
+    path = public_tokenizers.path
+    assert bpe.encode_decode(df, path("byte_bpe_50k.json")).where("n_tokens > 0").count() == 4
+    assert sorted(r.component_id for r in simhash.link(df).where("doc_id < 4").collect()) == [1, 1, 1, 3] or simhash.link(df).count() == 6
+    assert simhash.fingerprints(df).columns.count("fp") == 1
+    judged = quality.judge(df)
+    assert judged.count() == 6 and {"n_words", "kept", "good"} <= set(judged.columns) and len({x.lower() for x in judged.columns}) == len(judged.columns)
+    found = decontaminate.find_spans(df, items, clean="Text")
+    assert found.where("n_words > 0 and size(spans) > 0").count() == 3 and len({x.lower() for x in found.columns}) == len(found.columns)
+    hidden = pii.pseudonymise(df, b"k")
+    assert hidden.where("size(pii_kinds) = 1").count() == 1 and hidden.columns.count("pii_kinds") == 1
+    scored = toxicity.score(df, toxicity.fit(df, labels))
+    assert scored.count() == 6 and {"score", "predicted", "hits"} <= set(scored.columns)
+    assert lm.score(df).count() == 6
+    assert substring_dedup.deduplicate(df).where("n_removed > 0").count() == 3
+    assert license_scan.scan(df, path="Path").count() == 6
+    where = scratch(spark)
+    token_output.write_tokens(df, path("word_bpe_49k.json"), where)
+    back = token_output.read_tokens(spark, where).withColumn("IDS_CRC32", F.lit(1))
+    assert token_output.checksums(back).columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and back.count() == 6
+
+
+def test_token_files(spark, docs):
+    """Encodings, row groups and page indexes as their footers say, and that a reader of counts doesn't fetch ids."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    df, rows = docs
+    where = scratch(spark)
+    many = df.crossJoin(spark.range(60)).select((F.col("doc_id") * 100 + F.col("id")).alias("doc_id"), "text")
+    token_output.write_tokens(many, public_tokenizers.path("word_bpe_49k.json"), where, files=2)
+    files = sorted(glob.glob(where.removeprefix("file://") + "/tokens/*.parquet"))
+    assert len(files) == 2
+    for f in files:
+        meta = pq.ParquetFile(f).metadata
+        for g in range(meta.num_row_groups):
+            assert meta.row_group(g).total_byte_size <= 2 * token_output.ROW_GROUP_BYTES
+            for c in range(meta.num_columns):
+                column = meta.row_group(g).column(c)
+                assert column.has_column_index and column.has_offset_index and column.compression == "ZSTD"
+                if column.path_in_schema.startswith("ids"):
+                    assert {"RLE_DICTIONARY", "DELTA_BINARY_PACKED"} & set(column.encodings)
+    plan = token_output.read_tokens(spark, where).select("doc_id", "n_tokens")._jdf.queryExecution().executedPlan().toString()
+    assert "ids" not in plan[plan.index("ReadSchema") :].split("\n")[0]
+    one = spark.read.parquet(where + "/tokens").where("doc_id = 703").select("n_tokens")
+    assert "EqualTo(doc_id,703)" in one._jdf.queryExecution().executedPlan().toString() and one.count() == 1
+
+
+def test_one_id_for_all(spark):
+    """Ids that are all null or all alike are dealt to several files, and starts still follow one another."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    for i in (None, 7):
+        df = spark.createDataFrame([(i, f"text number {k % 50}") for k in range(400)], "doc_id long, text string")
+        where = scratch(spark)
+        token_output.write_tokens(df, path, where, files=4)
+        got = token_output.read_tokens(spark, where).collect()
+        assert len(got) == 400 and spark.read.parquet(where + "/index").where("shard_tokens > 0").count() > 1
+        at = 0
+        for r in sorted(got, key=lambda r: r.start):
+            assert r.start == at and r.doc_id == i
+            at += r.n_tokens
+
+
+def test_scratch_tables(spark):
+    """They are in the folder that the session names, and an operator's own are gone when it returns."""
+    path = scratch(spark)
+    top = pathlib.Path(path.removeprefix("file://")).parent
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        assert path.startswith(named)
+    before = {x.name for x in top.glob("lutrin-*")}
+    rows = [(i, f"one two three four five six {i // 2}") for i in range(6)]
+    out = simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert out.count() == 6 and len({x.name for x in top.glob("lutrin-*")} - before) == 1
