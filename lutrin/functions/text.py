@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SPACE = r"[\s\x1c-\x1f]"
+#: White space, as characters and as a class of Java's patterns (written out, as that is faster than the property).
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 #: The ASCII punctuation that normalisation deletes, and the ranges of Arabic script.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 ARABIC = r"[؀-ۿݐ-ݿࢠ-ࣿﭐ-﷿ﹰ-﻿]+"
@@ -16,26 +18,31 @@ def col(x: Column | str) -> Column:
 
 
 def strip(x: Column | str) -> Column:
-    return F.regexp_replace(col(x), rf"(?U)^{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(col(x), F.lit(WHITE))
 
 
 def collapse(x: Column | str) -> Column:
-    return F.regexp_replace(col(x), rf"(?U){SPACE}+", " ")
+    return F.regexp_replace(col(x), rf"{SPACE}+", " ")
 
 
 def normalize(x: Column | str) -> Column:
     """Lower-case tokens without ASCII punctuation, in order, repeats kept."""
     plain = F.translate(F.lower(col(x)), PUNCTUATION, "")
-    return F.filter(F.split(plain, rf"(?U){SPACE}+"), lambda t: t != "")
+    return F.filter(F.split(plain, rf"{SPACE}+"), lambda t: t != "")
 
 
 def newlines(x: Column | str) -> Column:
     return F.regexp_replace(col(x), r"\r\n?", "\n")
 
 
+def plain(x: Column | str) -> Column:
+    """One newline for each run, a blank for each run of characters beyond U+FFFF, stripped; carriage returns stay."""
+    return strip(F.regexp_replace(F.regexp_replace(col(x), r"\n+", "\n"), r"[\x{10000}-\x{10FFFF}]+", " "))
+
+
 def clean(x: Column | str) -> Column:
-    """One newline for each run, a blank for each run of characters beyond U+FFFF, stripped."""
-    return strip(F.regexp_replace(F.regexp_replace(newlines(x), r"\n+", "\n"), r"[\x{10000}-\x{10FFFF}]+", " "))
+    """``plain`` after all line ends are newlines."""
+    return plain(newlines(x))
 
 
 def remove_arabic(x: Column | str) -> Column:

@@ -8,46 +8,58 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize
+from .sizes import small
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
 @dataclass
 class Index:
-    """postings(chunk_id, term, tf, dl), vocabulary(term, df, idf), stats(n, avgdl, avg_idf)."""
+    """postings(chunk_id, term, tf, dl), vocabulary(term, df, idf), stats(n, avgdl, avg_idf), as stored."""
 
     postings: DataFrame
     vocabulary: DataFrame
     stats: DataFrame
 
-    def write(self, path: str) -> "Index":
-        for name in ("postings", "vocabulary", "stats"):
-            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
-        return read(self.postings.sparkSession, path)
-
 
 def read(spark: SparkSession, path: str) -> Index:
     return Index(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "vocabulary", "stats")))
 
 
-def build(corpus: DataFrame, key: str = "chunk_id", text: str = "document") -> Index:
-    """Counts of all terms of all rows; null text has none, and still counts as a row."""
+def build(corpus: DataFrame, path: str, key: str = "chunk_id", text: str = "document") -> Index:
+    """Write the index of all terms of all rows at ``path`` and read it; null text has none, and still counts as a row.
+
+    The corpus is read twice: once for the terms' document frequencies together with the rows' number and length, counted in each
+    task first, and once for the postings, which are stored by term, so that a search reads few row groups; a term that most rows have
+    is dealt to several files.
+    """
+    spark = corpus.sparkSession
     tokens = corpus.select(F.col(key).alias("chunk_id"), F.coalesce(normalize(text), F.array().cast("array<string>")).alias("tokens"))
     sized = tokens.withColumn("dl", F.size("tokens").cast("long"))
-    postings = sized.select("chunk_id", "dl", F.explode("tokens").alias("term")).groupBy("chunk_id", "term", "dl").agg(F.count("*").alias("tf")).select("chunk_id", "term", "tf", "dl")
-    size = sized.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.join(F.broadcast(size.select("n"))).select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf0"))
+    # Each row's different terms, and a null for the row itself, which carries its length.
+    each = sized.select("dl", F.explode(F.concat(F.array_distinct("tokens"), F.array(F.lit(None).cast("string")))).alias("term"))
+    each.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("dl"))).alias("dl")).write.mode("overwrite").parquet(f"{path}/terms")
+    terms = spark.read.parquet(f"{path}/terms")
+    size = terms.where("term is null").agg(F.coalesce(F.sum("df"), F.lit(0)).alias("n"), (F.sum("dl") / F.sum("df")).alias("avgdl"))
+    raw = terms.where("term is not null").join(F.broadcast(size.select("n"))).select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf0"))
     mean = raw.agg(F.avg("idf0").alias("avg_idf"))
-    vocabulary = raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("idf0") >= 0, F.col("idf0")).otherwise(EPSILON * F.col("avg_idf")).alias("idf"))
-    return Index(postings, vocabulary, size.join(F.broadcast(mean)))
+    size.join(F.broadcast(mean)).write.mode("overwrite").parquet(f"{path}/stats")
+    stats = spark.read.parquet(f"{path}/stats")
+    floored = F.when(F.col("idf0") >= 0, F.col("idf0")).otherwise(EPSILON * F.col("avg_idf"))
+    raw.join(F.broadcast(stats.select("avg_idf"))).select("term", "df", floored.alias("idf")).write.mode("overwrite").parquet(f"{path}/vocabulary")
+    postings = sized.select("chunk_id", "dl", F.explode("tokens").alias("term")).groupBy("chunk_id", "term", "dl").agg(F.count("*").alias("tf")).select("chunk_id", "term", "tf", "dl")
+    postings.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{path}/postings")
+    return read(spark, path)
 
 
 def search(index: Index, queries: DataFrame, k: int = 10, positive: bool = True) -> DataFrame:
-    """(query_id, chunk_id, score, rank) of the best k rows per query; ties by chunk_id. queries(query_id, query)."""
+    """(query_id, chunk_id, score, rank) of the best k rows per query; ties by chunk_id. queries(query_id, query).
+
+    Only postings of the queries' terms go on; the terms are broadcast if they are few.
+    """
     terms = queries.select("query_id", F.explode(normalize("query")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    # A batch of questions is small beside the corpus, and Spark itself decides whether it is broadcast.
-    hits = index.postings.join(terms.join(index.vocabulary, "term"), "term").join(F.broadcast(index.stats))
+    asked = small(index.vocabulary.join(small(terms), "term"))
+    hits = index.postings.join(asked, "term").join(F.broadcast(index.stats))
     norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
     scores = hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / norm), 6).alias("score"))
     if positive:

@@ -6,6 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def counts(chunks: DataFrame) -> DataFrame:
+    """(type, chunks): how many parents and children there are."""
+    return chunks.groupBy("type").agg(F.count("*").alias("chunks"))
+
+
 def flatten(gazette: DataFrame) -> DataFrame:
     """One row per document (parent) and per article (child), without a shuffle."""
     docs = gazette.where("documents is not null").select("source_file", F.posexplode("documents").alias("doc_idx", "d"))

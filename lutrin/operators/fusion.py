@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sizes import small
+
 K = 60
 #: The order in which systems' lists are read; ties in score keep it.
 SYSTEMS = {"vector": 0, "keyword": 1}
@@ -18,10 +20,10 @@ def fuse(ranked: DataFrame, weights: DataFrame | None = None, keys: tuple[str, .
     """
     rows = ranked
     if weights is not None and "config_id" in weights.columns:
-        rows = rows.join(F.broadcast(weights.select("config_id").distinct()))
+        rows = rows.join(small(weights.select("config_id").distinct()))
         keys = ("config_id", *keys)
     if weights is not None:
-        rows = rows.join(F.broadcast(weights), [x for x in ("config_id", "system") if x in weights.columns], "left")
+        rows = rows.join(small(weights), [x for x in ("config_id", "system") if x in weights.columns], "left")
     else:
         rows = rows.withColumn("weight", F.lit(1.0))
     order = F.coalesce(*(F.when(F.col("system") == s, F.lit(i)) for s, i in SYSTEMS.items()), F.lit(len(SYSTEMS)))

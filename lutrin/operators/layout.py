@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import remove_arabic, strip, title_key
 
-#: Section titles that are left out.
+#: Section titles that are left out, and the share of the page's width from which a block is a separator.
 IGNORED = ["decisions et avis", "décisions et avis", "arretes", "arrêtés", "arrêtes", "arretes, decisions et avis", "arrêtés, décisions et avis", "conventions et accords internationaux", "decrets", "décrets", "decisions individuelles", "décisions individuelles", "annonces et communications"]
 WIDE = 0.75
 
