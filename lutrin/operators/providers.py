@@ -33,6 +33,16 @@ def stub_generator() -> Generate:
     return lambda prompts: [f"SCORE: {len(p) % 11}" for p in prompts]
 
 
+def stub_segmenter() -> Generate:
+    """Answers to a segmentation prompt with one tagged text: the prompt's end, after its own example."""
+
+    def one(prompt: str) -> str:
+        text = prompt[prompt.index("[[END]]\n\n") + 9 :].removesuffix("\n")
+        return f"Voici :\n[[START]]\nID: Décret de {len(text)} signes\nCONTENT: {text}\n[[END]]"
+
+    return lambda prompts: list(map(one, prompts))
+
+
 def embed(df: DataFrame, make: Callable[[], Embed] = stub_embedder, text: str = "document") -> DataFrame:
     """df with ``embedding`` (array of float); null text as empty."""
 

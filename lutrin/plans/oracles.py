@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..operators import context
 from .queries import DIRTY, GAZETTE, JUDGED, TAGGED
 
 W = r"[\s\x{00A0}\x1c-\x1f]"
@@ -66,18 +67,54 @@ CONFIGS = "configs as (select * from (values (0, 1.0::double, 1.0::double), (1,
 HEADER = r"(?i)((?:Décret\s+(?:présidentiel|exécutif)|Arrêté|Décision)\s+(?:n[°o\.]?)?\s*(?:\d+[-‐‑]\d+|\d{1,4}\b))"
 SCORE = rf"coalesce(try_cast(nullif(regexp_extract({JUDGED}, '(?i)SCORE:\s*(\d+)', 1), '') as bigint), 0)"
 
+
+
+def plain(x: str) -> str:
+    return strip(rf"regexp_replace(regexp_replace({x}, '\n+', chr(10), 'g'), '[\x{{10000}}-\x{{10FFFF}}]+', ' ', 'g')")
+
+
+def filled(template: str, **values: str) -> str:
+    """A prompt's template as an SQL expression."""
+    out, rest = [], template
+    while "{" in rest:
+        before, _, rest = rest.partition("{")
+        name, _, rest = rest.partition("}")
+        out += ["'" + before.replace("'", "''") + "'", values[name]]
+    return " || ".join([*out, "'" + rest.replace("'", "''") + "'"])
+
+
+def found(item: str, separator: str) -> str:
+    return f"found as (select query_id, string_agg({item}, {separator} order by rank) as context from top join documents on doc_id = chunk_id where rank <= 3 group by query_id)"
+
+
+TITLED = found("concat('DOCUMENT ', rank, ' (Source: ', case when doc_id % 2 = 0 then source else 'Document sans titre' end, ')', chr(10), 'CONTENU: ', text)", "chr(10) || chr(10) || '---' || chr(10) || chr(10)")
+SHORT = found("concat('--- DOCUMENT ', rank, ' ---', chr(10), text)", "chr(10) || chr(10)")
+QUOTED = {name: "'" + getattr(context, name).replace("'", "''") + "'" for name in ("NOTHING_FOUND", "NOT_IN_CONTEXT")}
+SCORED = f"""{FUSED}, {SHORT}, asked as (select item_id as query_id, text as query, {filled(context.ANSWER, context="context", query="text")} as prompt from benchmark left join found on query_id = item_id),
+answered as (select query_id, query, coalesce('SCORE: ' || (length(prompt) % 11), {QUOTED["NOT_IN_CONTEXT"]}) as answer from asked),
+judged as (select query_id, answer, (length({filled(context.JUDGE, query="query", expected="substr(query, 1, 40)", answer="answer")}) % 11)::bigint as score from answered)"""
+STUB = "list_transform(range(1, 128, 2), lambda i: (instr('0123456789abcdef', h[i]) - 1) * 16 + instr('0123456789abcdef', h[i + 1]) - 1 - 127.5::double)"
+WINDOWS = "(select doc_id, start, substr(text, start + 1, 3500) as chunk from (select doc_id, text, unnest(range(0, length(text), 3300)) as start from documents))"
+EXTRACTS = f"(select doc_id, start, concat('Décret de ', length(chunk), ' signes') as official_id, {strip('chunk')} as text from {WINDOWS}) where length(text) > 20"
+
 ORACLE_SQL: dict[str, str] = {
     "tokenize_documents": f"select doc_id, len(t)::bigint as n, array_to_string(t, ' ') as tokens from (select doc_id, {tokens('text')} as t from documents)",
     "clean_text": rf"select doc_id, {strip(rf"regexp_replace(regexp_replace(regexp_replace({DIRTY}, '\r\n?', chr(10), 'g'), '\n+', chr(10), 'g'), '[\x{{10000}}-\x{{10FFFF}}]+', ' ', 'g')")} as cleaned from documents",
+    "debug_clean": f"select doc_id, {plain(DIRTY)} as cleaned from documents",
     "remove_arabic": f"select doc_id, regexp_replace({DIRTY}, '{ARABIC}', '', 'g') as cleaned from documents",
     "collapse_ws": f"select doc_id, {collapse(DIRTY)} as cleaned from documents",
     "term_stats": f"with {STATS} select term, df, round(idf, 6) as idf from vocabulary",
     "corpus_stats": f"with {STATS} select n, round(avgdl, 6) as avgdl, round(avg_idf, 6) as avg_idf from size, mean",
+    "bm25_index": f"with {STATS} select (select n from size) as n, count(*)::bigint as postings, sum(tf)::bigint as tokens, (select count(*) from vocabulary) as terms from postings",
+    "bm25_top5": f"with {BM25}, five as (select query_id, chunk_id, score, row_number() over (partition by query_id order by score desc, chunk_id) as rank from scores) select query_id, chunk_id, score, rank, contains(text, 'ing') as has_target from five join documents on doc_id = chunk_id where rank <= 5",
     "bm25_top10": f"with {BM25} select query_id, chunk_id, score, rank from keyword",
     "vector_top10": f"with {nearest('b.vec_id % 100 = 0')} select * from vector",
     "rrf_hybrid": f"with {FUSED} select query_id, chunk_id, round(score, 9) as score, rank from top where rank <= 3",
     "eval_hit_mrr": f"""with {BOTH}, {CONFIGS}, fused as (select config_id, query_id, chunk_id, round(sum(case system when 'keyword' then k else v end / (60 + rank)), 12) as score, min(o * 1000 + rank) as first from ranked, configs group by all),
 top as (select *, row_number() over (partition by config_id, query_id order by score desc, first) as rank from fused), found as (select config_id, query_id, min(rank) as r from top join documents on doc_id = chunk_id join benchmark on item_id = query_id where rank <= 3 and contains(documents.text, benchmark.text) group by all)
+select c.config_id::bigint as config_id, round(avg(case when r is null then 0.0 else 1.0 end) * 100, 6) as hit_rate, round(avg(coalesce(1.0::double / r, 0)), 6) as mrr from (select config_id, item_id from configs cross join benchmark) c left join found f on f.config_id = c.config_id and f.query_id = c.item_id group by c.config_id""",
+    "eval_by_id": f"""with {BOTH}, {CONFIGS}, fused as (select config_id, query_id, chunk_id, round(sum(case system when 'keyword' then k else v end / (60 + rank)), 12) as score, min(o * 1000 + rank) as first from ranked, configs group by all),
+top as (select *, row_number() over (partition by config_id, query_id order by score desc, first) as rank from fused), found as (select config_id, query_id, min(rank) as r from top where rank <= 3 and contains(chunk_id::varchar, (query_id % 10)::varchar) group by all)
 select c.config_id::bigint as config_id, round(avg(case when r is null then 0.0 else 1.0 end) * 100, 6) as hit_rate, round(avg(coalesce(1.0::double / r, 0)), 6) as mrr from (select config_id, item_id from configs cross join benchmark) c left join found f on f.config_id = c.config_id and f.query_id = c.item_id group by c.config_id""",
     "judge_parse": f"select conv_id, turn, {SCORE} as score from conversations",
     "judge_mean": f"select round(m, 6) as mean_score, case when m >= 8.5 then 'excellent' when m >= 7 then 'good' else 'average' end as band from (select avg({SCORE}) as m from conversations)",
@@ -90,13 +127,23 @@ select doc_id, pos::bigint as pos, official_id, text, 'Inconnue' as journal_date
     "chunk_flatten": f"""with {SECTIONS} select concat(source_file, '_doc_', doc_idx) as chunk_id, concat('Titre: ', title, chr(10), 'Préambule: ', context) as document, source_file as source, 'parent' as type, title, context, null::varchar as parent_title, null::varchar as parent_id, null::varchar as original_article_text from context
 union all select concat(source_file, '_doc_', doc_idx, '_art_', art_idx), concat('Source: ', title, chr(10), 'Contenu: ', article), source_file, 'child', null, null, title, concat(source_file, '_doc_', doc_idx), article from articles join context using (source_file, doc_idx)""",
     "layout_reading_order": f"with {LAYOUT}",
-    "context_prompt": f"""with {FUSED}, found as (select query_id, string_agg(concat('DOCUMENT ', rank, ' (Source: ', case when doc_id % 2 = 0 then source else 'Document sans titre' end, ')', chr(10), 'CONTENU: ', text), chr(10) || chr(10) || '---' || chr(10) || chr(10) order by rank) as context from top join documents on doc_id = chunk_id where rank <= 3 group by query_id)
+    "context_prompt": f"""with {FUSED}, {TITLED}
 select item_id as query_id, 'CONTEXTE:' || chr(10) || context || chr(10) || 'QUESTION: ' || text || chr(10) as prompt from benchmark left join found on query_id = item_id""",
     "raw_search": "select doc_id as chunk_id, substr(text, 1, 150) as excerpt from documents where contains(text, 'the')",
-    "header_detect": rf"""with g as (select concat('F', doc_id) as source, string_split(regexp_replace({GAZETTE}, '{HEADER}', chr(1) || '\1' || chr(2), 'g'), chr(1)) as p from documents),
+    "header_detect": rf"""with g as (select concat('F', doc_id) as source, string_split(regexp_replace({plain(GAZETTE)}, '{HEADER}', chr(1) || '\1' || chr(2), 'g'), chr(1)) as p from documents),
 each as (select source, unnest(range(1, len(p))) as i, p from g), cut as (select source, i - 1 as pos, string_split(p[i + 1], chr(2))[1] as header, replace(array_to_string(p[1:i], ''), chr(2), '') as ahead from each),
 seen as (select source, pos, header, {strip("replace(lower(substr(ahead, greatest(1, length(ahead) - 49), 50)), chr(10), ' ')")} as before from cut)
 select source, pos, header, before, contains(before, 'vu le') or contains(before, 'vu l''') or contains(before, 'application du') as is_visa, contains(header, '24-10') as has_target from seen""",
     "incremental_skip": "select doc_id, source from documents anti join labels using (doc_id)",
-    "ocr_join": "select source, string_agg(concat('--- Page ', doc_id + 1, ' ---', chr(10), text, chr(10), chr(10), repeat('=', 50), chr(10)), chr(10) order by doc_id) as text from documents where doc_id >= 1 group by source",
+    "ocr_join": "select doc_id::varchar as source, string_agg(concat('--- Page ', page_no, ' ---', chr(10), t, chr(10), chr(10), repeat('=', 50), chr(10)), chr(10) order by page_no) as text from (select doc_id, unnest(l) as t, generate_subscripts(l, 1) as page_no from (select doc_id, string_split(text, '. ') as l from documents)) where page_no >= 2 group by doc_id",
+    "stub_models": "select doc_id as chunk_id, 64::bigint as size, (length(text) % 11)::bigint as score from documents",
+    "search_answers": f"with {FUSED}, {TITLED}, asked as (select item_id as query_id, {filled(context.ANSWER, context='context', query='text')} as prompt from benchmark left join found on query_id = item_id) select query_id, prompt, coalesce('SCORE: ' || (length(prompt) % 11), {QUOTED['NOTHING_FOUND']}) as answer from asked",
+    "answer_eval": f"with {SCORED} select query_id, answer, score from judged",
+    "answer_mean": f"with {SCORED} select round(m, 6) as mean_score, case when m >= 8.5 then 'excellent' when m >= 7 then 'good' else 'average' end as band from (select avg(score) as m from judged)",
+    "embed_questions": f"select item_id as query_id, len(v)::bigint as size, round(v[1] / n, 5) as first, round(v[64] / n, 5) as last from (select item_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) as n from (select item_id, {STUB} as v from (select item_id, sha256('0|' || text) || sha256('1|' || text) as h from benchmark)))",
+    "llm_segment": f"select doc_id, start, official_id, text, 'Inconnue' as journal_date, 'Decret' as type from {EXTRACTS}",
+    "extract_counts": f"select doc_id, coalesce(n, 0)::bigint as extracts from documents left join (select doc_id, count(*) as n from {EXTRACTS} group by doc_id) using (doc_id)",
+    "chunk_counts": f"with {SECTIONS} select 'parent' as type, count(*) as chunks from context having count(*) > 0 union all select 'child', count(*) from articles having count(*) > 0",
+    "source_counts": f"with {SECTIONS} select source_file, coalesce(n, 0)::bigint as total_documents from gazette left join (select source_file, count(*) as n from docs group by source_file) using (source_file)",
+    "match_count": "select count(*) filter (where contains(text, 'the')) as matches from documents",
 }

@@ -8,18 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import bm25, chunks, context, diagnostics, evaluate, fusion, layout, providers, segment, vector, windows
+from ..operators import bm25, chunks, context, diagnostics, evaluate, fusion, layout, providers, search, segment, sizes, vector, windows
+from ..sources import io
 
-#: A gazette made around each document, with all headings and branches. Plain SQL of both engines.
+#: A gazette made around each document, with all headings and branches; the whole text is an article and a preamble. Plain SQL of both engines.
 GAZETTE = """concat('Journal officiel', chr(10), 'Décret exécutif n° ', doc_id, ' du 3 mars', chr(10), 'portant ', replace(substr(text, 1, 60), '.', ' '), '. ----', chr(10),
- 'Le Premier ministre,', chr(10), 'Vu le décret présidentiel n° 24-10 du 3 mars ;', chr(10), 'Décrète :', chr(10), 'Article 1er. — ', substr(text, 1, 200), chr(10), 'Le Président', chr(10), 'Art. 2. — ', substr(text, 50, 150), chr(10), 'Fait à Alger, le 3 mars.', chr(10),
- 'ARRÊTÉ du ', doc_id, ' avril fixant. _____', chr(10), substr(text, 1, 80), chr(10), 'Art. 3. - ', substr(text, 10, 100), chr(10),
+ 'Le Premier ministre,', chr(10), 'Vu le décret présidentiel n° 24-10 du 3 mars ;', chr(10), 'Décrète :', chr(10), 'Article 1er. — ', text, chr(10), 'Le Président', chr(10), 'Art. 2. — ', substr(text, 50, 150), chr(10), 'Fait à Alger, le 3 mars.', chr(10),
+ 'ARRÊTÉ du ', doc_id, ' avril fixant. _____', chr(10), text, chr(10), 'Art. 3. - ', substr(text, 10, 100), chr(10),
  'Décision n° ', doc_id, ' de la commission. ---', chr(10), substr(text, 5, 60), chr(10), 'Article 1er. - ', substr(text, 3, 90), chr(10),
  'Arrêté du 5 mai sans tirets', chr(10), 'Art. 9 - ', substr(text, 1, 50), '. ---', chr(10), 'perdu')"""
 #: Dirty text around each document: line ends, blank lines, emoji, Arabic letters.
 DIRTY = "concat(' ', chr(13), chr(10), substr(text, 1, 300), chr(10), chr(10), chr(10), '😀😁x سل y', chr(13), 'z  ', substr(text, 301), chr(10), ' ')"
-#: A model's tagged answer: good, title too short, content too short, without an end.
-TAGGED = "concat('bla [[START]]', chr(10), 'ID: Décret n° ', doc_id, chr(10), 'CONTENT: ', substr(text, 1, 100), chr(10), '[[END]] x [[START]] ID: court CONTENT: ', substr(text, 1, 50), ' [[END]] [[START]] ID: Décision longue CONTENT: 12345678901234567890 [[END]] [[START]] ID: Décision ', doc_id, ' CONTENT: ', substr(text, 20, 40), '123456789012345678901 [[END]] [[START]] ID: Décret sans fin CONTENT: rien')"
+#: A model's tagged answer: the whole text, title too short, content too short, without an end.
+TAGGED = "concat('bla [[START]]', chr(10), 'ID: Décret n° ', doc_id, chr(10), 'CONTENT: ', text, chr(10), '[[END]] x [[START]] ID: court CONTENT: ', substr(text, 1, 50), ' [[END]] [[START]] ID: Décision longue CONTENT: 12345678901234567890 [[END]] [[START]] ID: Décision ', doc_id, ' CONTENT: ', substr(text, 20, 40), '123456789012345678901 [[END]] [[START]] ID: Décret sans fin CONTENT: rien')"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,19 +62,40 @@ def text_cleaning(function: Callable[[str], object]) -> Callable[[SparkSession,
     return query
 
 
+def index(spark: SparkSession, sf_dir: str) -> bm25.Index:
+    """The documents' stored index. It is built when a session first asks, and again when the table's files are others."""
+    path = f"{io.shared(spark)}/lutrin-bm25-1-{io.fingerprint(spark, f'{sf_dir}/documents.parquet')}"
+    return bm25.read(spark, io.once(spark, path, lambda made: bm25.build(corpus(spark, sf_dir), made)))
+
+
+def bm25_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A new index of all documents, built whenever this is asked, and its sizes."""
+    own = bm25.build(corpus(spark, sf_dir), f"{io.shared(spark)}/lutrin-bm25-new")
+    sums = own.postings.agg(F.count("*").alias("postings"), F.sum("tf").alias("tokens"))
+    return own.stats.select("n").join(F.broadcast(sums)).join(F.broadcast(own.vocabulary.agg(F.count("*").alias("terms"))))
+
+
 def term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bm25.build(corpus(spark, sf_dir)).vocabulary.select("term", "df", F.round("idf", 6).alias("idf"))
+    return index(spark, sf_dir).vocabulary.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bm25.build(corpus(spark, sf_dir)).stats.select("n", F.round("avgdl", 6).alias("avgdl"), F.round("avg_idf", 6).alias("avg_idf"))
+    return index(spark, sf_dir).stats.select("n", F.round("avgdl", 6).alias("avgdl"), F.round("avg_idf", 6).alias("avg_idf"))
 
 
 def bm25_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = bm25.search(bm25.build(corpus(spark, sf_dir)), questions(spark, sf_dir))
+    hits = bm25.search(index(spark, sf_dir), questions(spark, sf_dir))
     return hits.select("query_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
+def bm25_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The diagnosis: the five best whatever their score, and whether they have the wanted text."""
+    asked = questions(spark, sf_dir)
+    hits = sizes.bounded(bm25.search(index(spark, sf_dir), asked, k=5, positive=False), 5 * asked.count())
+    rows = hits.join(corpus(spark, sf_dir), "chunk_id")
+    return rows.select("query_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"), F.col("document").contains("ing").alias("has_target"))
+
+
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
 
@@ -85,28 +107,49 @@ def vector_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("query_id", "chunk_id", "distance", F.col("rank").cast("long").alias("rank"))
 
 
+def with_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark's texts as questions, each with the vector of its id, if there is one."""
+    vectors = _vectors(spark, sf_dir).select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return questions(spark, sf_dir).join(vectors, "query_id", "left")
+
+
 def retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both ranked lists of each benchmark text; its vector is the one of its id."""
-    asked = questions(spark, sf_dir)
-    vectors = _vectors(spark, sf_dir)
-    near = vector.search(vectors, asked.select("query_id").join(vectors.select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("vector")), "query_id"))
-    words = bm25.search(bm25.build(corpus(spark, sf_dir)), asked)
-    columns = ("query_id", "system", "rank", "chunk_id")
-    return near.withColumn("system", F.lit("vector")).select(*columns).unionByName(words.withColumn("system", F.lit("keyword")).select(*columns))
+    """Both ranked lists of each benchmark text."""
+    return search.retrieve(with_vectors(spark, sf_dir), index(spark, sf_dir), _vectors(spark, sf_dir))
+
+
+def best(spark: SparkSession, sf_dir: str, k: int = 3) -> DataFrame:
+    """The best k of each question; few, if the questions are."""
+    return sizes.bounded(search.fused(retrieve(spark, sf_dir)).where(F.col("rank") <= k), k * questions(spark, sf_dir).count())
 
 
 def rrf_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    weights = spark.createDataFrame([("keyword", 0.7), ("vector", 0.3)], "system string, weight double")
-    fused = fusion.fuse(retrieve(spark, sf_dir), weights).where("rank <= 3")
+    fused = search.fused(retrieve(spark, sf_dir)).where("rank <= 3")
     return fused.select("query_id", "chunk_id", F.round("score", 9).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+def _configured(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The best three of each question under each of the six weightings, and the weightings' numbers."""
+    weights = spark.createDataFrame([(i, s, w) for i, pair in enumerate(evaluate.WEIGHTINGS) for s, w in zip(("keyword", "vector"), pair, strict=True)], "config_id int, system string, weight double")
+    top = fusion.fuse(retrieve(spark, sf_dir), weights).where("rank <= 3")
+    return sizes.bounded(top, 3 * len(evaluate.WEIGHTINGS) * questions(spark, sf_dir).count()), weights.select("config_id").distinct()
+
+
+def _metrics(out: DataFrame) -> DataFrame:
+    return out.select(F.col("config_id").cast("long").alias("config_id"), F.round("hit_rate", 6).alias("hit_rate"), F.round("mrr", 6).alias("mrr"))
+
+
 def eval_hit_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hit rate and reciprocal rank of the six weightings; a document with the item's text in it is relevant."""
-    weights = spark.createDataFrame([(i, s, w) for i, pair in enumerate(evaluate.WEIGHTINGS) for s, w in zip(("keyword", "vector"), pair, strict=True)], "config_id int, system string, weight double")
-    top = fusion.fuse(retrieve(spark, sf_dir), weights).where("rank <= 3").join(corpus(spark, sf_dir), "chunk_id")
-    metrics = evaluate.retrieval(questions(spark, sf_dir), top, relevant=F.col("document").contains(F.col("query")))
-    return metrics.select(F.col("config_id").cast("long").alias("config_id"), F.round("hit_rate", 6).alias("hit_rate"), F.round("mrr", 6).alias("mrr"))
+    top, configs = _configured(spark, sf_dir)
+    return _metrics(evaluate.retrieval(questions(spark, sf_dir), top.join(corpus(spark, sf_dir), "chunk_id"), relevant=F.col("document").contains(F.col("query")), configs=configs))
+
+
+def eval_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by the usual rule: a chunk whose id contains the expected id is relevant."""
+    top, configs = _configured(spark, sf_dir)
+    golden = questions(spark, sf_dir).withColumn("expected_doc_id", (F.col("query_id") % 10).cast("string"))
+    return _metrics(evaluate.retrieval(golden, top.withColumn("chunk_id", F.col("chunk_id").cast("string")), configs=configs))
 
 
 JUDGED = "case conv_id % 5 when 0 then concat('SCORE: ', turn % 11) when 1 then concat('score: ', turn % 11, '.5') when 2 then concat('Score:', 85 + turn) when 3 then concat('SCORE: -', turn) else text end"
@@ -151,11 +194,72 @@ def layout_reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.reading_order(page_blocks(spark, sf_dir))
 
 
+def _titled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as chunks, every other with a title."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("document"), F.lit(None).cast("string").alias("parent_title"), F.when(F.col("doc_id") % 2 == 0, F.col("source")).alias("title"))
+
+
 def context_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = context.contexts(best(spark, sf_dir), _titled(spark, sf_dir))
+    return context.prompts(questions(spark, sf_dir), found, "CONTEXTE:\n{context}\nQUESTION: {query}\n").select("query_id", "prompt")
+
+
+def search_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From questions to answers, with the stand-in for a model."""
+    return search.answers(questions(spark, sf_dir), best(spark, sf_dir), _titled(spark, sf_dir)).select("query_id", "prompt", "answer")
+
+
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = questions(spark, sf_dir)
-    fused = fusion.fuse(retrieve(spark, sf_dir), spark.createDataFrame([("keyword", 0.7), ("vector", 0.3)], "system string, weight double"))
-    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("document"), F.lit(None).cast("string").alias("parent_title"), F.when(F.col("doc_id") % 2 == 0, F.col("source")).alias("title"))
-    return context.prompts(asked, context.contexts(fused, rows), "CONTEXTE:\n{context}\nQUESTION: {query}\n").select("query_id", "prompt")
+    answered = search.answers(asked, best(spark, sf_dir), _titled(spark, sf_dir), evaluation=True)
+    return search.judged(asked.withColumn("expected_answer", F.substring("query", 1, 40)), answered)
+
+
+def answer_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each answer and its judge's score, with the stand-in for both models."""
+    return _judged(spark, sf_dir).select("query_id", "answer", "score")
+
+
+def answer_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = evaluate.judged(_judged(spark, sf_dir), "verdict")
+    return out.select(F.round("mean_score", 6).alias("mean_score"), "band")
+
+
+def embed_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stand-in's vectors of the questions: their size and two of their numbers."""
+    rows = providers.embed(questions(spark, sf_dir), text="query")
+    number = lambda i: F.round(F.col("embedding")[i].cast("double"), 5)
+    return rows.select("query_id", F.size("embedding").cast("long").alias("size"), number(0).alias("first"), number(63).alias("last"))
+
+
+def extracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of all texts, each segmented by the stand-in for a model, and its tagged answers parsed."""
+    cut = windows.char_windows(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source"), "text"))
+    said = providers.generate(context.fill(context.SEGMENT, chunk=F.col("chunk")), providers.stub_segmenter)
+    return windows.tagged(cut.select(F.struct("source", "start").alias("source"), said.alias("response")))
+
+
+def llm_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = extracts(spark, sf_dir)
+    return out.select(F.col("source.source").alias("doc_id"), F.col("source.start").cast("long").alias("start"), "official_id", "text", "journal_date", "type")
+
+
+def extract_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source"))
+    out = windows.extract_counts(texts, extracts(spark, sf_dir).withColumn("source", F.col("source.source")))
+    return out.select(F.col("source").alias("doc_id"), "extracts")
+
+
+def chunk_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.counts(chunks.flatten(segment.segment(gazettes(spark, sf_dir))))
+
+
+def source_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.segment(gazettes(spark, sf_dir)).select("source_file", F.col("total_documents").cast("long").alias("total_documents"))
+
+
+def match_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diagnostics.match_count(corpus(spark, sf_dir), "the")
 
 
 def raw_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,19 +275,22 @@ def incremental_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ocr_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "documents").select(F.col("source"), (F.col("doc_id") + 1).cast("int").alias("page_no"), "text")
-    return layout.join_ocr_pages(pages)
+    """Each document's sentences as its recognised pages."""
+    pages = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("source"), F.posexplode(F.split("text", r"\. ")).alias("pos", "text"))
+    return layout.join_ocr_pages(pages.select("source", (F.col("pos") + 1).alias("page_no"), "text"))
 
 
 def stub_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embedding and generation through the provider interface, with the deterministic stand-ins."""
     rows = providers.embed(corpus(spark, sf_dir))
-    return rows.select("chunk_id", F.size("embedding").alias("size"), evaluate.judge_score(providers.generate(F.col("document"))).alias("score"))
+    return rows.select("chunk_id", F.size("embedding").cast("long").alias("size"), evaluate.judge_score(providers.generate(F.col("document"))).alias("score"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "rrf_hybrid": rrf_hybrid, "tokenize_documents": tokenize_documents, "clean_text": text_cleaning(X.clean), "remove_arabic": text_cleaning(X.remove_arabic), "collapse_ws": text_cleaning(X.collapse),
-    "term_stats": term_stats, "corpus_stats": corpus_stats, "bm25_top10": bm25_top10, "vector_top10": vector_top10, "eval_hit_mrr": eval_hit_mrr, "judge_parse": judge_parse, "judge_mean": judge_mean,
+    "rrf_hybrid": rrf_hybrid, "tokenize_documents": tokenize_documents, "clean_text": text_cleaning(X.clean), "debug_clean": text_cleaning(X.plain), "remove_arabic": text_cleaning(X.remove_arabic), "collapse_ws": text_cleaning(X.collapse),
+    "term_stats": term_stats, "corpus_stats": corpus_stats, "bm25_index": bm25_index, "bm25_top10": bm25_top10, "bm25_top5": bm25_top5, "vector_top10": vector_top10, "eval_hit_mrr": eval_hit_mrr, "eval_by_id": eval_by_id, "judge_parse": judge_parse, "judge_mean": judge_mean,
     "char_windows": char_windows, "tagged_parse": tagged_parse, "segment_titles": segment_titles, "segment_articles": segment_articles, "chunk_flatten": chunk_flatten, "layout_reading_order": layout_reading_order,
     "context_prompt": context_prompt, "raw_search": raw_search, "header_detect": header_detect, "incremental_skip": incremental_skip, "ocr_join": ocr_join, "stub_models": stub_models,
+    "search_answers": search_answers, "answer_eval": answer_eval, "answer_mean": answer_mean, "embed_questions": embed_questions, "llm_segment": llm_segment, "extract_counts": extract_counts,
+    "chunk_counts": chunk_counts, "source_counts": source_counts, "match_count": match_count,
 }
