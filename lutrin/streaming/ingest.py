@@ -11,6 +11,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 def ingest(spark: SparkSession, path: str, out: str, checkpoint: str, step: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
     """Run ``step`` on (source, text) of each new .txt file of a folder and append what it gives as Parquet; ends when all is taken."""
-    texts = spark.readStream.schema("value string").option("wholetext", True).option("pathGlobFilter", "*.txt").text(path)
+    texts = spark.readStream.schema("value string").text(path, wholetext=True, pathGlobFilter="*.txt")
     rows = texts.select(F.col("_metadata.file_name").alias("source"), F.col("value").alias("text"))
     return rows.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda df, _: step(df).write.mode("append").parquet(out)).start()
