@@ -1,6 +1,7 @@
 """The corpus pipeline: quality rules, near-duplicates, benchmark passages, personal data, token ids.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``documents``.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``documents``. Other columns
+of docs are left out. Every stage takes an empty table and gives one.
 """
 
 from __future__ import annotations
@@ -16,7 +17,11 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose rules' posterior says that they are good; those that fail the base rules go."""
+    """Documents whose rules' posterior says that they are good; those that fail the base rules go.
+
+    Null and empty texts have no words and go. Rows are judged each for itself, whatever their other columns (which may be null): repeated
+    rows stay or go together, and count as often as they are there when the rules' accuracies are estimated.
+    """
     bounded(spark)
     return quality.judge(docs.select(*COLUMNS)).where("kept").select(*COLUMNS)
 
@@ -25,7 +30,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One row, that of the least doc_id, of each group of near copies (word 5-shingles alike at 0.8 or more).
 
     Rows are told apart by a number of their own: repeated rows are copies, rows of one doc_id only if their texts are alike.
-    Rows without a doc_id come last in their group; of equal doc_ids the first row stays.
+    Rows without a doc_id come last in their group; of equal doc_ids the first row stays. Texts without words, null or empty, are
+    alike: one of them stays.
     """
     bounded(spark)
     rows = settle(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")))
@@ -37,7 +43,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the spans that benchmark items' windows cover; n_chars is the new length."""
+    """Texts without the spans that benchmark items' windows cover; n_chars is the new length.
+
+    No row goes. Null texts stay null and empty ones empty; a text that nothing is cut from keeps its n_chars, null or not. Repeated rows are cut
+    alike. An empty benchmark cuts nothing.
+    """
     bounded(spark)
     found = decontaminate.find_spans(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), clean="text")
     length = F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
@@ -45,7 +55,11 @@ def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def hide_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with pseudonyms for personal data; n_chars is the new length."""
+    """Texts with pseudonyms for personal data; n_chars is the new length.
+
+    No row goes. Null texts stay null and empty ones empty; a text without personal data keeps its n_chars, null or not. Equal values get equal
+    pseudonyms in all rows.
+    """
     bounded(spark)
     out = pii.pseudonymise(docs.select(*COLUMNS), DEMONSTRATION_KEY)
     length = F.when(F.size("pii_kinds") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
@@ -53,7 +67,10 @@ def hide_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, the token ids of the whole text, their number and hash, and the hash of what they decode to."""
+    """doc_id, lang, source, the token ids of the whole text, their number and hash, and the hash of what they decode to.
+
+    Null and empty texts have no ids. Rows are independent; repeated rows give repeated rows.
+    """
     bounded(spark)
     return bpe.encode_decode(docs.select("doc_id", "lang", "source", "text"), vocabulary("byte_bpe_50k.json")).drop("text")
 
