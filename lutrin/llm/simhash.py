@@ -299,14 +299,16 @@ def near_copies(df: DataFrame, text: str = "text", key: str = "doc_id", size: in
     links = check(_pair(foremost))
     near = foremost.join(links.select(F.col("a").alias("id"), F.col("b").alias("hub")).union(links.select(F.col("b").alias("id"), F.col("a").alias("hub"))), ["id", "hub"], "left_semi")
     near = tables.settle(near.groupBy("id").agg(F.min("hub").alias("up")))
-    lead = lambda df, name, to: df.join(small(near.withColumnRenamed("id", name).withColumnRenamed("up", to)), name, "left").withColumn(to, F.coalesce(to, name))
+    top = tables.settle(near.join(near.select(F.col("id").alias("up"), F.col("up").alias("top")), "up", "left").select("id", F.coalesce("top", "up").alias("top")))
     further = tables.settle(led.select("id", F.col("hub.id").alias("hub")).where("id <> hub").distinct().join(small(foremost), ["id", "hub"], "left_anti"))
-    further = lead(lead(lead(lead(further, "id", "p"), "p", "pp"), "hub", "q"), "q", "qq").where("pp <> qq")
-    done = tables.settle(_pair(foremost).unionByName(_pair(further)).distinct())
-    links = tables.settle(same.unionByName(links).unionByName(check(_pair(further).join(_pair(foremost), ["a", "b"], "left_anti"))))
+    for x, to in (("id", "p"), ("hub", "q")):
+        further = further.join(small(top.select(F.col("id").alias(f"of_{x}"), F.col("top").alias(to))), F.col(x) == F.col(f"of_{x}"), "left").withColumn(to, F.coalesce(to, x))
+    further = _pair(further.where("p <> q"))
+    done = tables.settle(_pair(foremost).unionByName(further).distinct())
+    links = tables.settle(same.unionByName(links).unionByName(check(further.join(_pair(foremost), ["a", "b"], "left_anti"))))
     roots = components(links)
     # The rest of the groups that these links don't join.
-    placed = shared.join(small(roots.withColumnRenamed("node", "id")), "id", "left").select("id", "key", "n", F.coalesce("root", "id").alias("root"))
+    placed = tables.settle(shared.join(small(roots.withColumnRenamed("node", "id")), "id", "left").select("id", "key", "n", F.coalesce("root", "id").alias("root")))
     live = tables.settle(placed.where("n > 2").groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key"))
     if live.limit(1).count():
         blocks = F.ceil(F.col("n") / BLOCK_ROWS).cast("int")
