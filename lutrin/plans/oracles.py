@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..operators import context
+from . import golden
 from .queries import DIRTY, GAZETTE, JUDGED, TAGGED
 
 W = r"[\s\x{00A0}\x1c-\x1f]"
@@ -24,11 +25,18 @@ def tokens(x: str) -> str:
 ARABIC = r"[\x{0600}-\x{06FF}\x{0750}-\x{077F}\x{08A0}-\x{08FF}\x{FB50}-\x{FDFF}\x{FE70}-\x{FEFF}]+"
 TOKENS = f"tokens as (select doc_id as chunk_id, {tokens('text')} as t from documents), dl as (select chunk_id, len(t) as dl, t from tokens), postings as (select chunk_id, dl, term, count(*) as tf from (select chunk_id, dl, unnest(t) as term from dl) group by all)"
 STATS = f"{TOKENS}, size as (select count(*) as n, avg(dl) as avgdl from dl), raw as (select term, count(*) as df, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) as idf0 from postings, size group by term), mean as (select avg(idf0) as avg_idf from raw), vocabulary as (select term, df, case when idf0 >= 0 then idf0 else 0.25 * avg_idf end as idf from raw, mean)"
-BM25 = f"""{STATS}, terms as (select query_id, term, count(*) as qtf from (select item_id as query_id, unnest({tokens('text')}) as term from benchmark) group by all),
+GOLDEN = "(select * from (values " + ", ".join(f"({i}::bigint, '" + q.replace("'", "''") + "')" for i, (q, _) in enumerate(golden.RETRIEVAL)) + ") t(item_id, text))"
+
+
+def bm25(asked: str) -> str:
+    return f"""{STATS}, terms as (select query_id, term, count(*) as qtf from (select item_id as query_id, unnest({tokens('text')}) as term from {asked}) group by all),
 scores as (select query_id, chunk_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))), 6) as score from postings join terms using (term) join vocabulary using (term), size group by all),
 keyword as (select * from (select query_id, chunk_id, score, row_number() over (partition by query_id order by score desc, chunk_id) as rank from scores where score > 0) where rank <= 10)"""
 
 
+BM25 = bm25("benchmark")
+
+
 def nearest(asked: str) -> str:
     distance = "round(list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: (a.embedding[i]::double - b.embedding[i]::double) * (a.embedding[i]::double - b.embedding[i]::double))), 6)"
     return f"vector as (select * from (select b.vec_id as query_id, a.vec_id as chunk_id, {distance} as distance, row_number() over (partition by b.vec_id order by {distance}, a.vec_id) as rank from embeddings a, embeddings b where {asked}) where rank <= 10)"
@@ -145,5 +153,7 @@ select source, pos, header, before, contains(before, 'vu le') or contains(before
     "extract_counts": f"select doc_id, coalesce(n, 0)::bigint as extracts from documents left join (select doc_id, count(*) as n from {EXTRACTS} group by doc_id) using (doc_id)",
     "chunk_counts": f"with {SECTIONS} select 'parent' as type, count(*) as chunks from context having count(*) > 0 union all select 'child', count(*) from articles having count(*) > 0",
     "source_counts": f"with {SECTIONS} select source_file, coalesce(n, 0)::bigint as total_documents from gazette left join (select source_file, count(*) as n from docs group by source_file) using (source_file)",
+    "golden_tables": "select * from (values ('F2025010.json', 5::bigint, 6::bigint), ('F2025009.json', 4, 6), ('F2025008.json', 4, 0), ('F2025007.json', 5, 6), ('F2025006.json', 4, 0), ('F2025005.json', 3, 0)) t(expected_doc_id, questions, answers)",
+    "golden_search": f"with {bm25(GOLDEN)} select query_id, chunk_id, score, rank from keyword",
     "match_count": "select count(*) filter (where contains(text, 'the')) as matches from documents",
 }

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import bm25, chunks, context, diagnostics, evaluate, fusion, layout, providers, search, segment, sizes, vector, windows
 from ..sources import io
+from . import golden
 
 #: A gazette made around each document, with all headings and branches; the whole text is an article and a preamble. Plain SQL of both engines.
 GAZETTE = """concat('Journal officiel', chr(10), 'Décret exécutif n° ', doc_id, ' du 3 mars', chr(10), 'portant ', replace(substr(text, 1, 60), '.', ' '), '. ----', chr(10),
@@ -258,6 +259,18 @@ def source_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.segment(gazettes(spark, sf_dir)).select("source_file", F.col("total_documents").cast("long").alias("total_documents"))
 
 
+def golden_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many golden questions each file answers, and how many of them have an answer to compare with."""
+    rows = golden.retrieval(spark).withColumn("answered", F.lit(0)).unionByName(golden.answers(spark).withColumn("answered", F.lit(1)).drop("expected_answer"))
+    return rows.groupBy("expected_doc_id").agg(F.count_if(F.col("answered") == 0).alias("questions"), F.count_if(F.col("answered") == 1).alias("answers"))
+
+
+def golden_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The golden questions' words against the documents."""
+    hits = bm25.search(index(spark, sf_dir), golden.retrieval(spark).select("query_id", "query"))
+    return hits.select("query_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
 def match_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diagnostics.match_count(corpus(spark, sf_dir), "the")
 
@@ -292,5 +305,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "char_windows": char_windows, "tagged_parse": tagged_parse, "segment_titles": segment_titles, "segment_articles": segment_articles, "chunk_flatten": chunk_flatten, "layout_reading_order": layout_reading_order,
     "context_prompt": context_prompt, "raw_search": raw_search, "header_detect": header_detect, "incremental_skip": incremental_skip, "ocr_join": ocr_join, "stub_models": stub_models,
     "search_answers": search_answers, "answer_eval": answer_eval, "answer_mean": answer_mean, "embed_questions": embed_questions, "llm_segment": llm_segment, "extract_counts": extract_counts,
-    "chunk_counts": chunk_counts, "source_counts": source_counts, "match_count": match_count,
+    "chunk_counts": chunk_counts, "source_counts": source_counts, "match_count": match_count, "golden_tables": golden_tables, "golden_search": golden_search,
 }
