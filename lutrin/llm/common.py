@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField
 
-#: Ids of eight bytes up to this number are broadcast; beyond it the same join is a shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Rows of two or three longs up to this number (some 6 MB) are broadcast; beyond it the same join is a shuffle.
+BROADCAST_ROWS = 250_000
 #: Text that a Python worker turns into words at a time.
 CHUNK_BYTES = 2_000_000
 
