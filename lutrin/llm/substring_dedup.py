@@ -26,8 +26,8 @@ from pyspark.sql.types import StructField, StructType
 
 from .common import Tables, chunks, fresh, settle, small
 
-#: Words of an anchor's prefix, and the suffixes of one prefix that make a group.
-PREFIX, GROUP_ROWS = 10, 2000
+#: Words of an anchor's prefix, and the suffixes of one prefix that make a group (some 30 MB while its tree is built).
+PREFIX, GROUP_ROWS = 10, 10_000
 #: Suffixes whose trees are built at a time.
 TREE_ROWS = 20_000
 KEPT_WORDS = 400_000
