@@ -11,6 +11,8 @@ from ..functions.text import normalize
 from .sizes import small
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Terms up to this number are asked for by name, which the files' statistics answer; more are joined.
+NAMED = 10
 
 
 @dataclass
@@ -30,8 +32,8 @@ def build(corpus: DataFrame, path: str, key: str = "chunk_id", text: str = "docu
     """Write the index of all terms of all rows at ``path`` and read it; null text has none, and still counts as a row.
 
     The corpus is read twice: once for the terms' document frequencies together with the rows' number and length, counted in each
-    task first, and once for the postings, which are stored by term, so that a search reads few row groups; a term that most rows have
-    is dealt to several files.
+    task first, and once for the postings, which are stored by term, so that a search for few terms reads few of them; a term that most
+    rows have is dealt to several files.
     """
     spark = corpus.sparkSession
     tokens = corpus.select(F.col(key).alias("chunk_id"), F.coalesce(normalize(text), F.array().cast("array<string>")).alias("tokens"))
@@ -55,11 +57,14 @@ def build(corpus: DataFrame, path: str, key: str = "chunk_id", text: str = "docu
 def search(index: Index, queries: DataFrame, k: int = 10, positive: bool = True) -> DataFrame:
     """(query_id, chunk_id, score, rank) of the best k rows per query; ties by chunk_id. queries(query_id, query).
 
-    Only postings of the queries' terms go on; the terms are broadcast if they are few.
+    Only postings of the queries' terms go on: the terms are broadcast unless they are very many, and if they are NAMED or fewer (a
+    question or two), only pages of the files that may have them are read.
     """
     terms = queries.select("query_id", F.explode(normalize("query")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     asked = small(index.vocabulary.join(small(terms), "term"))
-    hits = index.postings.join(asked, "term").join(F.broadcast(index.stats))
+    names = [r.term for r in asked.select("term").distinct().limit(NAMED + 1).collect()]
+    postings = index.postings.where(F.col("term").isin(names)) if len(names) <= NAMED else index.postings
+    hits = postings.join(asked, "term").join(F.broadcast(index.stats))
     norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
     scores = hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / norm), 6).alias("score"))
     if positive:
