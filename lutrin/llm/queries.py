@@ -77,4 +77,23 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_simhash, op3_quality, op4_token_output, op5_decontamination, op6_toxicity, op7_pii, op8_lm_scoring, op9_substring_dedup, op10_license_scan)}
 
-ORACLE_SQL: dict[str, str] = {}
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+ITEM_WORDS = rf"regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+#: DuckDB SQL of the queries that it can express: windows of words as strings, over whole tables.
+ORACLE_SQL: dict[str, str] = {
+    "op5_decontamination": f"""with d as (select doc_id, row_number() over () as r, {ITEM_WORDS} as w from documents), b as (select item_id::varchar as item, {ITEM_WORDS} as w from benchmark),
+phrases as (select distinct item, n, array_to_string(w[k:k + n - 1], ' ') as x from (select item, w, least(10, len(w)) as n, unnest(range(1, greatest(2, len(w) - 8))) as k from b where len(w) > 0)),
+places as (select r, n, k, array_to_string(w[k:k + n - 1], ' ') as x from (select r, w, n, unnest(range(1, len(w) - n + 2)) as k from d, (select distinct n from phrases) where len(w) >= n)),
+hits as (select distinct r, n, k, item from places join phrases using (n, x)),
+covered as (select r, count(*) as n_hit from (select distinct r, unnest(range(k, k + n)) as p from hits) group by r),
+items as (select r, count(*) as n_items, string_agg(item, ',' order by item) as names from (select distinct r, item from hits) group by r)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(names, '')) as items_sha256, n_hit is not null as contaminated
+from d left join covered using (r) left join items using (r)""",
+    "op9_substring_dedup": r"""with d as (select doc_id, row_number() over () as r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+windows as (select r, k, md5(array_to_string(w[k:k + 34], ' ')) as x from (select r, w, unnest(range(1, len(w) - 33)) as k from d where len(w) >= 35)),
+gone as (select distinct r, unnest(range(k, k + 35)) as p from windows where x in (select x from windows group by x having count(*) > 1)),
+words as (select r, unnest(w) as x, generate_subscripts(w, 1) as p from d),
+kept as (select r, string_agg(x, ' ' order by p) as t from words anti join gone using (r, p) group by r),
+removed as (select r, count(*) as n from gone group by r)
+select doc_id, len(w)::bigint as n_words, coalesce(n, 0)::bigint as n_removed, sha256(coalesce(t, '')) as kept_sha256 from d left join kept using (r) left join removed using (r)""",
+}

@@ -5,9 +5,11 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
+from conftest import SF
 
-from lutrin.llm import license_scan, lm, pii, quality, simhash, toxicity
+from lutrin.llm import license_scan, lm, pii, quality, queries, simhash, toxicity
 
 
 def test_prediction_by_partial_matching():
@@ -233,3 +235,15 @@ def test_recall_of_near_copies_of_documents(spark):
     assert len(pairs) > 20 and len(found) >= 0.99 * len(pairs)
     linked = {x for p in pairs for x in p} | {i for i, s in sets.items() if not s}
     assert root.keys() <= linked
+
+
+def test_sql(spark):
+    """Queries with SQL give DuckDB's rows on the smallest tables."""
+    for name, sql in queries.ORACLE_SQL.items():
+        con = duckdb.connect()
+        for table in ("documents", "benchmark"):
+            con.sql(f"create view {table} as select * from '{SF}/{table}.parquet'")
+        ours, theirs = queries.QUERIES[name](spark, SF).toPandas(), con.sql(sql).df()
+        columns = sorted(ours.columns)
+        assert columns == sorted(theirs.columns)
+        assert sorted(map(tuple, ours[columns].values.tolist())) == sorted(map(tuple, theirs[columns].values.tolist())), name
