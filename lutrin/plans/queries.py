@@ -71,7 +71,7 @@ def index(spark: SparkSession, sf_dir: str) -> bm25.Index:
 
 def bm25_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A new index of all documents, built whenever this is asked, and its sizes."""
-    own = bm25.build(corpus(spark, sf_dir), f"{io.shared(spark)}/lutrin-bm25-new")
+    own = bm25.build(corpus(spark, sf_dir), io.temporary(spark))
     sums = own.postings.agg(F.count("*").alias("postings"), F.sum("tf").alias("tokens"))
     return own.stats.select("n").join(F.broadcast(sums)).join(F.broadcast(own.vocabulary.agg(F.count("*").alias("terms"))))
 

@@ -44,6 +44,15 @@ def shared(spark: SparkSession) -> str:
     return f"file://{tempfile.gettempdir()}/lutrin"
 
 
+def temporary(spark: SparkSession) -> str:
+    """A new folder among the shared ones that goes when the application ends."""
+    path = f"{shared(spark)}/lutrin-{uuid.uuid4().hex}"
+    system, where = _place(spark, path)
+    system.mkdirs(where)
+    system.deleteOnExit(where)
+    return path
+
+
 def fingerprint(spark: SparkSession, path: str) -> str:
     """Of the names, lengths and times of the files at a path (a file, or a folder of files)."""
     system, where = _place(spark, path)
