@@ -20,15 +20,18 @@ BROADCAST_ROWS = 250_000
 CHUNK_BYTES = 2_000_000
 
 
-#: Rows of whole texts that pass between the JVM and Python at a time.
-ARROW_ROWS = 1000
+#: Rows of whole texts, and bytes, that pass between the JVM and Python at a time.
+ARROW_ROWS, ARROW_BYTES = 1000, 8 << 20
 
 
 def bounded(spark: SparkSession) -> None:
-    """Smaller Arrow batches than the 10,000 rows by default, for memory's sake: rows are whole texts."""
+    """Smaller Arrow batches than the 10,000 rows and 64 MB by default, for memory's sake: rows are whole texts."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(name)) > ARROW_ROWS:
         spark.conf.set(name, str(ARROW_ROWS))
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, "") == "67108864b":  # the default
+        spark.conf.set(name, str(ARROW_BYTES))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
