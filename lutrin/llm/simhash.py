@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.types import StructField, StructType
 
-from .common import Tables, chunks, fresh, others, settle, small
+from .common import BROADCAST_ROWS, Tables, chunks, fresh, others, settle, small
 
 SEED = 42
 #: More fingerprints than this with one half: their links are found by enumerating whole fingerprints instead.
@@ -294,7 +294,7 @@ def near_copies(df: DataFrame, text: str = "text", key: str = "doc_id", size: in
     # Each row with the first of its groups: the foremost of them, then those that this doesn't join it to.
     order = F.struct("w", F.xxhash64("id").alias("h"), "id")
     hubs = tables.settle(shared.join(small(weight), "id").groupBy("key").agg(F.max(order).alias("hub")))
-    led = shared.join(small(hubs), "key").select("id", "key", "hub")
+    led = shared.join(small(hubs, BROADCAST_ROWS // 4), "key").select("id", "key", "hub")
     foremost = tables.settle(led.groupBy("id").agg(F.max("hub").alias("hub")).select("id", F.col("hub.id").alias("hub")).where("id <> hub"))
     links = check(_pair(foremost))
     near = foremost.join(links.select(F.col("a").alias("id"), F.col("b").alias("hub")).union(links.select(F.col("b").alias("id"), F.col("a").alias("hub"))), ["id", "hub"], "left_semi")
