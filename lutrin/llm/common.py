@@ -30,7 +30,7 @@ def bounded(spark: SparkSession) -> None:
     if int(spark.conf.get(name)) > ARROW_ROWS:
         spark.conf.set(name, str(ARROW_ROWS))
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(name, "") == "67108864b":  # the default
+    if spark.conf.get(name) == "67108864b":  # the default
         spark.conf.set(name, str(ARROW_BYTES))
 
 
