@@ -8,7 +8,8 @@ words before them that windows can reach, come together in one task, which build
 lengths of common prefixes, and another over the reversed words before. Where two leaves below a node share d words from the anchor on and
 another node puts the same two at d' words before it, they are one maximal repeat of d + d'; those of 35 and more give the spans. Words
 themselves are compared. A prefix with more suffixes is too large for a group: its windows are partitioned by the longest prefix there
-is any use for, all 35 words (as 128-bit hashes, counted before they move); such a group is one node, whose leaves are counted, not gathered.
+is any use for, all 35 words (as 128-bit hashes); such a group is one node, whose leaves are counted, not gathered. A task counts its own
+first: of windows that it has twice it knows the spans already, and passes one on for all of them.
 """
 
 from __future__ import annotations
@@ -26,10 +27,12 @@ from pyspark.sql.types import StructField, StructType
 
 from .common import Tables, chunks, fresh, settle, small
 
-#: Words of an anchor's prefix, and the suffixes of one prefix that make a group (some 30 MB while its tree is built).
-PREFIX, GROUP_ROWS = 10, 10_000
+#: Words of an anchor's prefix, and the suffixes of one prefix that make a group.
+PREFIX, GROUP_ROWS = 10, 2000
 #: Suffixes whose trees are built at a time.
 TREE_ROWS = 20_000
+#: Windows of large prefixes that a task counts at a time.
+HELD_WINDOWS = 300_000
 KEPT_WORDS = 400_000
 BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -143,6 +146,52 @@ def tree_spans(texts: list[bytes], left: np.ndarray, at: np.ndarray, window: int
     return row, at[row] - past + 1, at[row] - first + window
 
 
+LEAF = "kind int, prefix long, second long, ta long, tb long, at int, left int, words string"
+#: Kinds of leaves: a suffix with its words; a window of a large prefix, as its hash, with how often it was seen; a span known to repeat.
+SUFFIX, WINDOW, SPAN = 0, 1, 2
+
+
+class Windows:
+    """Windows of large prefixes that a task holds until they are counted."""
+
+    def __init__(self, window: int):
+        self.window, self.size = window, 0
+        self.texts: list[tuple[int, int]] = []
+        self.starts: list[np.ndarray] = []
+        self.digests: list[bytes] = []
+
+    def add(self, ta: int, tb: int, words: list[bytes], starts: np.ndarray) -> None:
+        self.texts.append((ta, tb))
+        self.starts.append(starts)
+        self.digests += [xxhash.xxh3_128_digest(b" ".join(words[k : k + self.window])) for k in starts.tolist()]
+        self.size += len(starts)
+
+    def counted(self) -> pa.RecordBatch:
+        """A window for all that are alike, and the spans of those that are so; nothing is held any more."""
+        text = np.repeat(np.arange(len(self.starts)), list(map(len, self.starts)))
+        start = np.concatenate(self.starts).astype(np.int64)
+        hashes = np.frombuffer(b"".join(self.digests), "<i8").reshape(-1, 2)
+        order = np.lexsort((hashes[:, 1], hashes[:, 0]))
+        first = np.flatnonzero(np.concatenate(([True], (hashes[order][1:] != hashes[order][:-1]).any(1))))
+        count = np.diff(np.append(first, len(order)))
+        one = order[first]
+        again = np.zeros(len(order), bool)
+        again[order[np.repeat(count > 1, count)]] = True
+        # Windows come by text and place: those that meet make one span.
+        some = np.flatnonzero(again)
+        apart = (text[some][1:] != text[some][:-1]) | (start[some][1:] > start[some][:-1] + self.window)
+        begin, end = some[np.concatenate(([True], apart))] if len(some) else some, some[np.concatenate((apart, [True]))] if len(some) else some
+        ids = np.array(self.texts, np.int64)
+        rows = np.concatenate((one, begin))
+        none = np.zeros(len(begin), np.int64)
+        columns = [
+            np.repeat([WINDOW, SPAN], [len(one), len(begin)]).astype(np.int32), np.concatenate((hashes[one, 0], none)), np.concatenate((hashes[one, 1], none)), ids[text[rows], 0], ids[text[rows], 1],
+            start[rows].astype(np.int32), np.concatenate((count, start[end] + self.window)).astype(np.int32),
+        ]
+        self.__init__(self.window)
+        return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.nulls(len(rows), pa.string())], names=["kind", "prefix", "second", "ta", "tb", "at", "left", "words"])
+
+
 def covered(n: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     edge = np.zeros(n + 1, np.int64)
     np.add.at(edge, start, 1)
@@ -184,29 +233,34 @@ def repeats(df: DataFrame, tables: Tables, text: str = "text", window: int = 35)
     places = tables.settle(found.join(small(inner), "prefix").groupBy("ta", "tb").agg(F.collect_list(F.struct("prefix", "at", "large")).alias("places")))
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Suffixes with their words, and windows of large prefixes as hashes (two longs, without words)."""
+        """Suffixes with their words, and windows and spans of large prefixes."""
         reach = window - min(PREFIX, window)
+        held = Windows(window)
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
         for batch in batches:
             for a, b, texts in chunks(batch, "t", 200_000):
-                out: list[list] = [[], [], [], [], [], [], []]
+                out: list[list] = [[] for _ in kinds]
                 ids = [batch.column(x).slice(a, b - a).to_pylist() for x in ("ta", "tb")]
                 for x, ta, tb, spots in zip(texts, *ids, batch.column("places").slice(a, b - a), strict=True):
                     words = x.split()
                     prefix, at, large = (spots.values.field(i).to_numpy(zero_copy_only=False) for i in range(3))
                     for p, k in zip(prefix[~large].tolist(), at[~large].tolist(), strict=True):
                         left = min(k, reach)
-                        for column, value in zip(out, (p, 0, ta, tb, k, left, b" ".join(words[k - left : k + window])), strict=True):
-                            column.append(value)
-                    starts = (at[large][:, None] - np.arange(reach + 1)[None, :]).ravel()
-                    for k in np.unique(starts[(starts >= 0) & (starts <= len(words) - window)]).tolist():
-                        whole = xxhash.xxh3_128_intdigest(b" ".join(words[k : k + window]))
-                        for column, value in zip(out, ((whole >> 64) - (1 << 63), (whole & 0xFFFFFFFFFFFFFFFF) - (1 << 63), ta, tb, k, 0, None), strict=True):
+                        for column, value in zip(out, (SUFFIX, p, 0, ta, tb, k, left, b" ".join(words[k - left : k + window])), strict=True):
                             column.append(value)
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(out, kinds, strict=False)), pa.array(out[6], pa.binary()).cast(pa.string())], names=["prefix", "second", "ta", "tb", "at", "left", "words"])
+                    starts = np.unique((at[large][:, None] - np.arange(reach + 1)[None, :]).ravel())
+                    starts = starts[(starts >= 0) & (starts <= len(words) - window)]
+                    if len(starts):
+                        held.add(ta, tb, words, starts)
+                columns = [pa.array(c, k) for c, k in zip(out, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*columns[:-1], columns[-1].cast(pa.string())], names=["kind", "prefix", "second", "ta", "tb", "at", "left", "words"])
+                if held.size >= HELD_WINDOWS:
+                    yield held.counted()
+        if held.size:
+            yield held.counted()
 
     texts = once.join(small(places.select("ta", "tb")), ["ta", "tb"], "left_semi").join(places, ["ta", "tb"])
-    leaf = tables.settle(texts.select("ta", "tb", "t", "places").mapInArrow(leaves, "prefix long, second long, ta long, tb long, at int, left int, words string"))
+    leaf = tables.settle(texts.select("ta", "tb", "t", "places").mapInArrow(leaves, LEAF))
 
     def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by prefix: whole groups, some at a time."""
@@ -235,12 +289,13 @@ def repeats(df: DataFrame, tables: Tables, text: str = "text", window: int = 35)
         if held:
             yield spans(held)
 
-    grouped = leaf.where("words is not null").select("prefix", "ta", "tb", "at", "left", "words").repartition("prefix").sortWithinPartitions("prefix")
+    grouped = leaf.where(F.col("kind") == SUFFIX).select("prefix", "ta", "tb", "at", "left", "words").repartition("prefix").sortWithinPartitions("prefix")
     span = "ta long, tb long, from int, to int"
-    windows = leaf.where("words is null")
-    nodes = tables.settle(windows.groupBy("prefix", "second").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
+    windows = leaf.where(F.col("kind") == WINDOW)
+    nodes = tables.settle(windows.groupBy("prefix", "second").agg(F.sum("left").alias("n")).where("n > 1").drop("n"))
     large = windows.join(small(nodes), ["prefix", "second"], "left_semi").select("ta", "tb", F.col("at").alias("from"), (F.col("at") + window).alias("to"))
-    spans = tables.settle(grouped.mapInArrow(trees, span).unionByName(large)).groupBy("ta", "tb").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
+    known = leaf.where(F.col("kind") == SPAN).select("ta", "tb", F.col("at").alias("from"), F.col("left").alias("to"))
+    spans = tables.settle(grouped.mapInArrow(trees, span).unionByName(large).unionByName(known)).groupBy("ta", "tb").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
     spans = spans.join(listed, ["ta", "tb"], "left_anti").select("ta", "tb", F.lit(1).cast("long").alias("copies"), "spans")
     return rows, settle(spans.unionByName(many.select("ta", "tb", "copies", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))))
 
