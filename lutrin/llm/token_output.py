@@ -25,8 +25,11 @@ from .common import NOT_PLAIN, chunks, letters_digits, others
 
 KEPT_WORDS = 300_000
 ROW_GROUP_BYTES, PAGE_BYTES = 16 << 20, 256 << 10
-#: Text of a file of ids, and the first characters by which rows of one doc_id are dealt to files.
-FILE_BYTES, DEALT_CHARACTERS = 32 << 20, 64
+#: Stored input (or text, where the plan doesn't know its size) of a file of ids, and the first characters by which rows of one doc_id
+#: are dealt to files.
+FILE_BYTES, DEALT_CHARACTERS = 16 << 20, 64
+#: What plans of unknown size say is above this.
+UNKNOWN_BYTES = 1 << 55
 SCHEMA = StructType([StructField("shard", T.IntegerType()), StructField("doc_id", T.LongType()), StructField("shard_start", T.LongType()), StructField("n_tokens", T.LongType()), StructField("ids", T.ArrayType(T.IntegerType(), False))])
 
 
@@ -44,7 +47,8 @@ class WordTokenizer:
         self.library.no_truncation()
         self.library.no_padding()
         letter, digit = letters_digits()
-        self.split = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{digit}]|[^\t-\r \x85\xa0{letter}{digit}]+")
+        self.split = re.compile(rf"[{letter}]+|[{digit}]|'(?:s|t|re|ve|m|ll|d)|[^\t-\r \x85\xa0{letter}{digit}]+")
+        self.split_ascii = re.compile(r"[a-z]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\t-\r a-z0-9]+")
         ends = {i for x, i in self.library.get_vocab(with_added_tokens=False).items() if x.endswith("</w>")}
         self.ends = np.zeros(self.library.get_vocab_size() + 1, bool)
         self.ends[list(ends)] = True
@@ -56,13 +60,17 @@ class WordTokenizer:
         cut: list[tuple[list[str], list[bytes | None], list[int]] | None] = []
         new: set[str] = set()
         for x in texts:
-            if "<|" in x or NOT_PLAIN.search(x) or "İ" in x:
+            ascii = x.isascii()
+            if "<|" in x or (not ascii and ("İ" in x or NOT_PLAIN.search(x))):
                 cut.append(None)
                 continue
-            pieces = self.split.findall(x.lower())
+            pieces = (self.split_ascii if ascii else self.split).findall(x.lower())
             codes = list(map(get, pieces))
-            missing = [i for i, c in enumerate(codes) if c is None] if None in codes else []
-            new.update(pieces[i] for i in missing)
+            missing, i = [], -1
+            for _ in range(codes.count(None)):
+                i = codes.index(None, i + 1)
+                missing.append(i)
+            new.update([pieces[i] for i in missing])
             cut.append((pieces, codes, missing))
         fresh = dict(zip(order := list(new), self._words(order), strict=True))
         for w, ids in fresh.items():
@@ -104,13 +112,16 @@ def write_tokens(df: DataFrame, vocabulary: str, path: str, doc_id: str = "doc_i
 
     vocabulary: a file of the tokenizers library, sent from the driver. Null and empty texts have the end id only. Null doc_ids
     come first; rows of one doc_id are ordered by their first DEALT_CHARACTERS, and within a file by text. Repeated rows are all written. An empty table gives empty files. Other columns
-    aren't written. files: by default one for each FILE_BYTES of text. Rows of one doc_id, or equal ones, may lie in several files.
+    aren't written. files: by default one for each FILE_BYTES of input. Rows of one doc_id, or equal ones, may lie in several files.
     """
     spark = df.sparkSession
     spec = spark.sparkContext.broadcast(open(vocabulary, encoding="utf-8").read())
     own = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("t"))
     if files is None:
-        files = -(-(own.agg(F.sum(F.octet_length("t") + 64)).first()[0] or 1) // FILE_BYTES)
+        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        if size >= UNKNOWN_BYTES:
+            size = own.agg(F.sum(F.octet_length("t") + 64)).first()[0] or 0
+        files = max(1, -(-size // FILE_BYTES))
     # The last key parts rows that are alike in the others; in which order they come makes no difference.
     dealt = own.withColumn("first", F.substring("t", 1, DEALT_CHARACTERS)).withColumn("row", F.monotonically_increasing_id())
     placed = dealt.repartitionByRange(files, F.col("doc_id").asc_nulls_first(), "first", "row").drop("first", "row")
