@@ -118,7 +118,7 @@ def write_tokens(df: DataFrame, vocabulary: str, path: str, doc_id: str = "doc_i
     spec = spark.sparkContext.broadcast(open(vocabulary, encoding="utf-8").read())
     own = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("t"))
     if files is None:
-        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
         if size >= UNKNOWN_BYTES:
             size = own.agg(F.sum(F.octet_length("t") + 64)).first()[0] or 0
         files = max(1, -(-size // FILE_BYTES))
