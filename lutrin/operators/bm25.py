@@ -49,7 +49,7 @@ def build(corpus: DataFrame, path: str, key: str = "chunk_id", text: str = "docu
     stats = spark.read.parquet(f"{path}/stats")
     floored = F.when(F.col("idf0") >= 0, F.col("idf0")).otherwise(EPSILON * F.col("avg_idf"))
     raw.join(F.broadcast(stats.select("avg_idf"))).select("term", "df", floored.alias("idf")).write.mode("overwrite").parquet(f"{path}/vocabulary")
-    postings = sized.select("chunk_id", "dl", F.explode("tokens").alias("term")).groupBy("chunk_id", "term", "dl").agg(F.count("*").alias("tf")).select("chunk_id", "term", "tf", "dl")
+    postings = sized.select("chunk_id", "dl", F.explode_outer("tokens").alias("term")).where("term is not null").groupBy("chunk_id", "term", "dl").agg(F.count("*").alias("tf")).select("chunk_id", "term", "tf", "dl")
     postings.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{path}/postings")
     return read(spark, path)
 

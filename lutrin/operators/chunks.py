@@ -11,9 +11,17 @@ def counts(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("type").agg(F.count("*").alias("chunks"))
 
 
+def documents(gazette: DataFrame) -> DataFrame:
+    """(source_file, doc_idx, d) of each document; sources without any, or null, have none.
+
+    Outer, as else what the array is made of would be worked out once more, to filter by its size.
+    """
+    return gazette.select("source_file", F.posexplode_outer("documents").alias("doc_idx", "d")).where("d is not null")
+
+
 def flatten(gazette: DataFrame) -> DataFrame:
     """One row per document (parent) and per article (child), without a shuffle."""
-    docs = gazette.where("documents is not null").select("source_file", F.posexplode("documents").alias("doc_idx", "d"))
+    docs = documents(gazette)
     title, context, arts = F.coalesce("d.title", F.lit("Sans titre")), F.coalesce("d.context", F.lit("")), F.coalesce("d.articles", F.array().cast("array<string>"))
     parent_id = F.concat("source_file", F.lit("_doc_"), F.col("doc_idx").cast("string"))
     none = F.lit(None).cast("string")

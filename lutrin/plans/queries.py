@@ -176,12 +176,12 @@ def tagged_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def segment_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = segment.segment(gazettes(spark, sf_dir)).select("source_file", F.posexplode("documents"))
-    return docs.select("source_file", F.col("pos").cast("long").alias("doc_idx"), F.col("col.title").alias("title"), F.col("col.context").alias("context"))
+    docs = chunks.documents(segment.segment(gazettes(spark, sf_dir)))
+    return docs.select("source_file", F.col("doc_idx").cast("long").alias("doc_idx"), "d.title", "d.context")
 
 
 def segment_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = segment.segment(gazettes(spark, sf_dir)).select("source_file", F.posexplode("documents").alias("doc_idx", "d"))
+    docs = chunks.documents(segment.segment(gazettes(spark, sf_dir)))
     each = docs.select("source_file", "doc_idx", F.posexplode("d.articles").alias("art_idx", "article"))
     return each.select("source_file", F.col("doc_idx").cast("long").alias("doc_idx"), F.col("art_idx").cast("long").alias("art_idx"), "article")
 
