@@ -2,29 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
-
-#: Query vectors that go to all executors at once.
-QUERY_BLOCK = 10_000
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-def squared_distance(a: str, b: str) -> Column:
-    each = F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))
-    return F.aggregate(each, F.lit(0.0), lambda s, x: s + x)
+#: Query vectors that are on the driver and go to all executors at once (8 MB at 1,024 numbers each).
+QUERY_BLOCK = 2000
+#: Distances are rounded to so many decimals before they are ranked.
+DECIMALS = 6
 
 
 def search(corpus: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, chunk_id, distance, rank) for queries(query_id, vector) and corpus(chunk_id, embedding); ties by chunk_id.
 
-    A stated set of queries against all rows, in blocks of QUERY_BLOCK.
+    A stated set of queries against all rows, in blocks of QUERY_BLOCK. Each Arrow batch of rows is compared with a block at once and
+    gives only what may be among the nearest k; ranks are of those. Null vectors, and rows whose vector is of another length than
+    the first query's, are left out.
     """
+    spark = corpus.sparkSession
+    queries = queries.where("vector is not null").select("query_id", F.col("vector").cast("array<double>").alias("vector"))
+    first = queries.select(F.size("vector").alias("n")).first()
+    size = first.n if first else 0
+    queries = queries.where(F.size("vector") == size)
+    rows = corpus.where((F.size("embedding") == size) & ~F.exists("embedding", F.isnull)).select("chunk_id", F.col("embedding").cast("array<double>").alias("embedding"))
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    found = StructType([StructField("query_id", queries.schema["query_id"].dataType), StructField("chunk_id", rows.schema["chunk_id"].dataType)]).add("distance", "double")
     out = None
     for b in range(blocks):
-        part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        near = corpus.crossJoin(F.broadcast(part)).select("query_id", "chunk_id", F.round(squared_distance("embedding", "vector"), 6).alias("distance"))
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "chunk_id"))
-        near = near.withColumn("rank", rank).where(F.col("rank") <= k)
+        part = (queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)).toArrow()
+        asked = part.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, size)
+        sent = spark.sparkContext.broadcast((part.column("query_id").combine_chunks(), asked))
+
+        def nearest(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            ids, asked = sent.value
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                own = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, size)
+                for i in range(len(ids)):
+                    far = np.square(own - asked[i]).sum(1)
+                    most = np.partition(far, k - 1)[k - 1] if k < len(far) else far.max()
+                    near = np.flatnonzero(far <= most + 10.0**-DECIMALS)
+                    yield pa.RecordBatch.from_arrays([pa.array([ids[i].as_py()] * len(near), ids.type), batch.column("chunk_id").take(pa.array(near)), pa.array(far[near])], names=["query_id", "chunk_id", "distance"])
+
+        near = rows.mapInArrow(nearest, found)
         out = near if out is None else out.unionByName(near)
-    return out
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "chunk_id"))
+    return out.withColumn("distance", F.round("distance", DECIMALS)).withColumn("rank", rank).where(F.col("rank") <= k)

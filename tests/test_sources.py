@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from lutrin.operators import bm25, chunks, evaluate, search, segment, windows
+from lutrin.operators import bm25, chunks, evaluate, search, segment, vector, windows
 from lutrin.sources import io
 from lutrin.streaming import ingest
 
@@ -157,3 +157,22 @@ def test_limits(spark):
         windows.char_windows(spark.createDataFrame([("a", "b")], "source string, text string"), 10, 10)
     scores = spark.createDataFrame([("SCORE: 12345678901",), ("SCORE: 99999999999999999999999",)], "a string").select(evaluate.judge_score("a").alias("s"))
     assert [r.s for r in scores.collect()] == [12345678901, 0]
+
+
+def test_nearest_against_all_pairs(spark):
+    """Ties, nulls, vectors of another length, repeated rows, fewer rows than asked for; in one block and in several."""
+    rows = [(i, [float(i % 7), float(i % 3)]) for i in range(50)] + [(50, None), (51, [1.0]), (52, [1.0, None])]
+    corpus = spark.createDataFrame(rows, "chunk_id long, embedding array<float>").repartition(3)
+    asked = spark.createDataFrame([("a", [1.0, 1.0]), ("b", [9.0, 0.5]), ("c", None)], "query_id string, vector array<float>")
+    want = set()
+    for q, v in (("a", [1.0, 1.0]), ("b", [9.0, 0.5])):
+        order = sorted((round((x[0] - v[0]) ** 2 + (x[1] - v[1]) ** 2, 6), i) for i, x in rows[:50])
+        want |= {(q, i, d, r + 1) for r, (d, i) in enumerate(order[:10])}
+    for block in (2000, 1):
+        vector.QUERY_BLOCK = block
+        try:
+            assert {tuple(r) for r in vector.search(corpus, asked).collect()} == want
+        finally:
+            vector.QUERY_BLOCK = 2000
+    assert vector.search(corpus, asked, k=80).count() == 100
+    assert vector.search(corpus.limit(0), asked).count() == 0 and vector.search(corpus, asked.limit(0)).count() == 0
