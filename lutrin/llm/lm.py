@@ -26,7 +26,7 @@ ORDER = 5
 #: Sequences of a part of the trie (about 100 bytes each in a worker), and most frequent words.
 GRAMS, HEAD = 500_000, 100_000
 #: Text whose sequences are looked up together.
-LOOKED_UP_BYTES = 4_000_000
+LOOKED_UP_BYTES = 2_000_000
 #: Different sequences or words that a training task gathers before it passes them on.
 GATHERED = 1_000_000
 END, PAD = 0xFF, 0xFE  # bytes that UTF-8 never has
