@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, license_scan, lm, pii, quality, simhash, substring_dedup, token_output, toxicity
+from . import bpe, decontaminate, license_scan, lm, merkle, pii, quality, runs, simhash, substring_dedup, token_output, toxicity
 from .common import documents, scratch
 
 #: The key of the pseudonyms in the query and the pipeline; a deployment passes its own.
 DEMONSTRATION_KEY = b"lutrin demonstration key"
+CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def vocabulary(name: str) -> str:
@@ -75,7 +77,37 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(docs, licence_file=notice)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_simhash, op3_quality, op4_token_output, op5_decontamination, op6_toxicity, op7_pii, op8_lm_scoring, op9_substring_dedup, op10_license_scan)}
+def repeated(words: list[bytes], doc_id: int | None) -> list[bytes]:
+    """One document in ten, by the hash of its id, repeats what it has from some word on."""
+    h = zlib.crc32(str(doc_id).encode())
+    n, g = len(words), h // 10
+    if doc_id is None or h % 10 or not n:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + i % p] for i in range(n - a)]
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents' runs, where one document in ten was made to repeat itself."""
+    found = runs.collapse(documents(spark, sf_dir).select("doc_id", "text"), edit=repeated).drop("text")
+    more = lambda x, y: x["length"] * y["period"] > y["length"] * x["period"]
+    best = F.aggregate("runs", F.get("runs", F.lit(0)), lambda y, x: F.when(more(x, y), x).otherwise(y))
+    found = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("b"), "runs", "collapsed")
+    lines = F.array_join(F.transform("runs", lambda x: F.concat_ws(",", x["start"], x["length"], x["period"])), "\n")
+    said = F.when(F.col("n_runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("")
+    exponent = F.expr("1000 * b.length div b.period").alias("exponent_milli")
+    return found.select("doc_id", "n_runs", "b.start", "b.length", "b.period", exponent, F.sha2(said, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of documents; in the copy that is checked one row in three has its capitals A-Z lowered."""
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    text = F.when(tampered, F.translate("text", CAPITALS, CAPITALS.lower())).otherwise(F.col("text"))
+    return merkle.manifest(documents(spark, sf_dir), ["doc_id", "source", "lang", "n_chars", "text"], copy={"text": text})
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_simhash, op3_quality, op4_token_output, op5_decontamination, op6_toxicity, op7_pii, op8_lm_scoring, op9_substring_dedup, op10_license_scan, op11_periodic_runs, op12_merkle_manifest)}
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ITEM_WORDS = rf"regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
