@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, license_scan, lm, merkle, pii, quality, runs, simhash, substring_dedup, token_output, toxicity
+from . import bpe, decontaminate, jaccard, license_scan, lm, merkle, pii, quality, runs, simhash, substring_dedup, token_output, toxicity
 from .common import documents, scratch
 
 #: The key of the pseudonyms in the query and the pipeline; a deployment passes its own.
@@ -107,7 +107,11 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(documents(spark, sf_dir), ["doc_id", "source", "lang", "n_chars", "text"], copy={"text": text})
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_simhash, op3_quality, op4_token_output, op5_decontamination, op6_toxicity, op7_pii, op8_lm_scoring, op9_substring_dedup, op10_license_scan, op11_periodic_runs, op12_merkle_manifest)}
+def op13_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link(documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_simhash, op3_quality, op4_token_output, op5_decontamination, op6_toxicity, op7_pii, op8_lm_scoring, op9_substring_dedup, op10_license_scan, op11_periodic_runs, op12_merkle_manifest, op13_ngram_jaccard)}
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ITEM_WORDS = rf"regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

@@ -12,6 +12,7 @@ hardly ever: without that, rows that share a segment by chance grow with the squ
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from fractions import Fraction
 from itertools import repeat
 
 import numpy as np
@@ -22,7 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.types import StructField, StructType
 
-from .common import BROADCAST_ROWS, Tables, chunks, fresh, others, settle, small
+from .common import Tables, chunks, fresh, others, settle, small
+from .groups import alike, in_blocks, join_groups, meet, mix, part_keys, shared_keys
 
 SEED = 42
 #: More fingerprints than this with one half: their links are found by enumerating whole fingerprints instead.
@@ -68,17 +70,6 @@ def bit_counts(hashes: list[np.ndarray], longs: int = 1) -> tuple[np.ndarray, np
     return out, n
 
 
-def mix(h: np.ndarray, j: int) -> np.ndarray:
-    """Independent hashes from one; the first is the hash itself."""
-    if not j:
-        return h
-    with np.errstate(over="ignore"):
-        h = h + np.uint64(0x9E3779B97F4A7C15 * j & 0xFFFFFFFFFFFFFFFF)
-        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return h ^ (h >> np.uint64(31))
-
-
 def fingerprints(df: DataFrame, text: str = "text", name: str = "fp", size: int = 3) -> DataFrame:
     """df without its text column and with a 64-bit fingerprint (long), which replaces a column of that name in any case.
 
@@ -223,10 +214,11 @@ def link(df: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int =
 #: Longs of the fingerprint that segments are cut from, bits of a segment and those of least margin that balls flip; longs of the
 #: fingerprint whose complete distances are verified.
 LONGS, SEGMENT_BITS, LOOSE_BITS, WHOLE_LONGS = 6, 20, 4, 32
-#: Rows of a group that are compared with one another, or with those of another block, in one place.
-BLOCK_ROWS = 2000
 #: Complete fingerprints (256 bytes each) up to this number are broadcast.
 BROADCAST_PRINTS = 20_000
+#: Sets of fewer shingles than this have many tied bits, and a shingle more or less changes too many: they are found by parts of the sets as
+#: well, and their complete distances have no limit.
+SHORT = 64
 
 
 def segment_keys(counts: np.ndarray, n: np.ndarray, hashes: list[np.ndarray]) -> np.ndarray:
@@ -255,22 +247,24 @@ def near_copies(df: DataFrame, text: str = "text", key: str = "doc_id", size: in
 
     key: a unique column without nulls of type long. Rows without a partner aren't returned. Null texts are empty; texts without words
     are alike. An empty table gives an empty table. Rows of one set of shingles (by 128 bits) are links at once; one of them goes on.
-    Candidates share a segment key of their fingerprints. In each group of one key all rows are compared with one, that whose
-    keys most rows share (the source of copies that are not alike among themselves): each row first with the one of its groups that is most
-    so, then with the others that this doesn't join it to. Where the links so verified don't join all rows of a group, all its rows that they
-    don't join are compared with one another, in blocks. So every pair that shares a key is joined or compared: by
-    the complete distance of longer fingerprints, then by the similarity itself.
+    Candidates share a segment key of their fingerprints, or if they are short a part of their sets. Groups of one key are joined as
+    ``groups.join_groups`` says, so that every pair that shares a key is joined or compared: by the complete distance of longer
+    fingerprints, then by the similarity itself.
     """
     tables = Tables(df.sparkSession)
+    exact = Fraction(similarity).limit_denominator(1000)
     base = df.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("t"))
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, texts in chunks(batch, "t"):
                 hashes = [hashes_of(x, size, distinct=True) for x in texts]  # the similarity is of sets
-                keys = segment_keys(*bit_counts(hashes, LONGS), hashes)
+                keys = list(segment_keys(*bit_counts(hashes, LONGS), hashes))
+                short = [i for i, h in enumerate(hashes) if len(h) * similarity < SHORT]
+                for i, more in zip(short, part_keys([hashes[i] for i in short], exact), strict=True):
+                    keys[i] = np.concatenate((keys[i], more))
                 whole = np.frombuffer(b"".join(xxhash.xxh3_128_digest(h) for h in hashes), "<i8").reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array(whole[:, 0]), pa.array(whole[:, 1]), pa.array(list(keys), pa.list_(pa.int64()))], names=["id", "x", "y", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array(whole[:, 0]), pa.array(whole[:, 1]), pa.array(keys, pa.list_(pa.int64()))], names=["id", "x", "y", "keys"])
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -279,118 +273,61 @@ def near_copies(df: DataFrame, text: str = "text", key: str = "doc_id", size: in
                 counts, n = bit_counts(hashes, WHOLE_LONGS)
                 bits = np.packbits(counts * 2 > n[:, None], axis=1, bitorder="little").view("<i8")
                 lists = [pa.array(list(x), pa.list_(pa.int64())) for x in (bits, [h.view(np.int64) for h in hashes])]
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), *lists], names=["id", "fp", "s"])
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array(n), *lists], names=["id", "n", "v", "s"])
 
     made = tables.settle(base.mapInArrow(segments, "id long, x long, y long, keys array<long>"))
     sets = tables.settle(made.groupBy("x", "y").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
     same = tables.settle(made.select("id", "x", "y").join(small(sets), ["x", "y"]).where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")))
-    rows = made.join(small(same.select(F.col("b").alias("id"))), "id", "left_anti")
-    keyed = rows.select("id", F.explode("keys").alias("key"))
-    groups = tables.settle(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
-    shared = tables.settle(keyed.join(small(groups), "key"))
-    weight = tables.settle(shared.groupBy("id").agg(F.sum("n").alias("w")))
-    fps = tables.settle(base.join(small(weight.select("id")), "id", "left_semi").mapInArrow(prints, "id long, fp array<long>, s array<long>"))
-    check = lambda pairs: tables.settle(verified(near_pairs(pairs, fps, similarity), fps, similarity))
-    # Each row with the first of its groups: the foremost of them, then those that this doesn't join it to.
-    order = F.struct("w", F.xxhash64("id").alias("h"), "id")
-    hubs = tables.settle(shared.join(small(weight), "id").groupBy("key").agg(F.max(order).alias("hub")))
-    led = shared.join(small(hubs, BROADCAST_ROWS // 4), "key").select("id", "key", "hub")
-    foremost = tables.settle(led.groupBy("id").agg(F.max("hub").alias("hub")).select("id", F.col("hub.id").alias("hub")).where("id <> hub"))
-    links = check(_pair(foremost))
-    near = foremost.join(links.select(F.col("a").alias("id"), F.col("b").alias("hub")).union(links.select(F.col("b").alias("id"), F.col("a").alias("hub"))), ["id", "hub"], "left_semi")
-    near = tables.settle(near.groupBy("id").agg(F.min("hub").alias("up")))
-    top = tables.settle(near.join(near.select(F.col("id").alias("up"), F.col("up").alias("top")), "up", "left").select("id", F.coalesce("top", "up").alias("top")))
-    further = tables.settle(led.select("id", F.col("hub.id").alias("hub")).where("id <> hub").distinct().join(small(foremost), ["id", "hub"], "left_anti"))
-    for x, to in (("id", "p"), ("hub", "q")):
-        further = further.join(small(top.select(F.col("id").alias(f"of_{x}"), F.col("top").alias(to))), F.col(x) == F.col(f"of_{x}"), "left").withColumn(to, F.coalesce(to, x))
-    further = _pair(further.where("p <> q"))
-    done = tables.settle(_pair(foremost).unionByName(further).distinct())
-    links = tables.settle(same.unionByName(links).unionByName(check(further.join(_pair(foremost), ["a", "b"], "left_anti"))))
-    roots = components(links)
-    # The rest of the groups that these links don't join.
-    placed = tables.settle(shared.join(small(roots.withColumnRenamed("node", "id")), "id", "left").select("id", "key", "n", F.coalesce("root", "id").alias("root")))
-    live = tables.settle(placed.where("n > 2").groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key"))
-    if live.limit(1).count():
-        blocks = F.ceil(F.col("n") / BLOCK_ROWS).cast("int")
-        rest = placed.join(small(live), "key").join(small(fps.select("id", "fp"), BROADCAST_PRINTS), "id").withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int"))
-        rest = rest.select("*", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-        rest = rest.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "root", "fp")
-        found = rest.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_compare(distance_limit(similarity)), "a long, b long").distinct()
-        more = tables.settle(found.join(done, ["a", "b"], "left_anti"))
-        if more.limit(1).count():
-            roots = components(links.unionByName(verified(more, fps, similarity)))
-    tables.drop()
-    return roots.select(F.col("node").alias(key), "root")
+    keyed = made.join(small(same.select(F.col("b").alias("id"))), "id", "left_anti").select("id", F.explode("keys").alias("key"))
+    shared = tables.settle(shared_keys(keyed))
+    shared = tables.settle(shared.join(small(shared.groupBy("key").agg(F.count("*").alias("n"))), "key"))
+    rows = tables.settle(base.join(small(shared.select("id").distinct()), "id", "left_semi").mapInArrow(prints, "id long, n long, v array<long>, s array<long>"))
+    limit = distance_limit(similarity)
+
+    def check(pairs: DataFrame) -> DataFrame:
+        near = tables.settle(meet(pairs, rows.select("id", "n", "v"), _near(limit)))
+        return tables.settle(meet(near, rows.select("id", "n", F.col("s").alias("v")), alike(exact)))
 
+    def compare(rest: DataFrame) -> DataFrame:
+        own = small(rows.select("id", F.col("n").alias("size"), "v"), BROADCAST_PRINTS)
+        return in_blocks(rest.join(own, "id"), _compare(limit))
 
-def _pair(df: DataFrame) -> DataFrame:
-    return df.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+    roots = join_groups(tables, shared, same, check, compare)
+    tables.drop()
+    return roots.select(F.col("node").alias(key), "root")
 
 
 def distance_limit(similarity: float) -> int:
-    """Differing bits of the complete fingerprints: as expected at the similarity and three standard deviations more."""
+    """Differing bits of the complete fingerprints of sets of SHORT shingles or more: as expected at the similarity and three standard
+    deviations more."""
     bits = 64 * WHOLE_LONGS
     share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     return int(bits * share + 3 * np.sqrt(bits * share * (1 - share)))
 
 
-def near_pairs(pairs: DataFrame, fps: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of ids whose complete fingerprints are as near as the similarity asks."""
-    a, b = (small(fps.select("id", "fp"), BROADCAST_PRINTS).select(F.col("id").alias(i), F.col("fp").alias(f)) for i, f in (("a", "p"), ("b", "q")))
-    each = [F.bit_count(F.col("p")[i].bitwiseXOR(F.col("q")[i])) for i in range(WHOLE_LONGS)]
-    return pairs.join(a, "a").join(b, "b").where(sum(each[1:], each[0]) <= distance_limit(similarity)).select("a", "b")
+def _near(limit: int) -> Callable[[int, np.ndarray, np.ndarray, list[np.ndarray]], np.ndarray]:
+    """A test for ``groups.meet``: complete fingerprints as near as the similarity asks, if both sets are large enough to tell."""
+
+    def test(n: int, own: np.ndarray, sizes: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+        far = np.bitwise_count(np.stack(others).view(np.uint64) ^ own.view(np.uint64)).sum(1, dtype=np.int64)
+        return (far <= limit) | (np.minimum(sizes, n) < SHORT)
+
+    return test
 
 
-def _compare(limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Of rows sorted by (key, i, j), the pairs of each group that are near and of different roots."""
+def _compare(limit: int) -> Callable[[pa.Table, np.ndarray, np.ndarray], Iterator[pa.RecordBatch]]:
+    """Of a group's rows, the pairs that are near and of different roots."""
 
-    def pairs(part: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(part).combine_chunks()
-        ids, roots, own, i, j = (table.column(x).to_numpy() for x in ("id", "root", "own", "i", "j"))
-        fp = table.column("fp").combine_chunks().values.to_numpy().view(np.uint64).reshape(-1, WHOLE_LONGS)
-        left = np.flatnonzero(own == i[0])
-        right = left if i[0] == j[0] else np.flatnonzero(own == j[0])
+    def pairs(table: pa.Table, left: np.ndarray, right: np.ndarray) -> Iterator[pa.RecordBatch]:
+        ids, roots, n = (table.column(x).to_numpy() for x in ("id", "root", "size"))
+        fp = table.column("v").combine_chunks().values.to_numpy().view(np.uint64).reshape(-1, WHOLE_LONGS)
+        once = left is right
         for at in range(0, len(left), 64):
             some = left[at : at + 64]
             far = sum(np.bitwise_count(fp[some, k][:, None] ^ fp[right, k][None, :]).astype(np.int16) for k in range(WHOLE_LONGS))
-            x, y = np.nonzero((far <= limit) & (roots[some][:, None] != roots[right][None, :]) & ((ids[some][:, None] < ids[right][None, :]) | (i[0] != j[0])))
+            near = (far <= limit) | (np.minimum(n[some][:, None], n[right][None, :]) < SHORT)
+            x, y = np.nonzero(near & (roots[some][:, None] != roots[right][None, :]) & ((ids[some][:, None] < ids[right][None, :]) | (not once)))
             if len(x):
-                a, b = ids[some[x]], ids[right[y]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[some[x]]), pa.array(ids[right[y]])], names=["a", "b"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        last = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = np.stack([batch.column(x).to_numpy().astype(np.int64) for x in ("key", "i", "j")], 1)
-            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                if held and tuple(keys[a]) != last:
-                    yield from pairs(held)
-                    held = []
-                held.append(batch.slice(a, b - a))
-                last = tuple(keys[a])
-        if held:
-            yield from pairs(held)
-
-    return run
-
-
-def verified(pairs: DataFrame, fps: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of ids whose sets of word shingles (fps' s: their distinct hashes) have at least this Jaccard similarity."""
-    both = pairs.join(fps.select(F.col("id").alias("a"), F.col("s").alias("p")), "a").join(fps.select(F.col("id").alias("b"), F.col("s").alias("q")), "b")
-
-    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            p, q = batch.column("p"), batch.column("q")
-            for i in range(batch.num_rows):
-                x, y = p[i].values.to_numpy(zero_copy_only=False), q[i].values.to_numpy(zero_copy_only=False)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                total = len(x) + len(y) - common
-                keep.append(common >= similarity * total)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return both.mapInArrow(alike, "a long, b long")
+    return pairs
