@@ -60,11 +60,11 @@ class WordTokenizer:
         cut: list[tuple[list[str], list[bytes | None], list[int]] | None] = []
         new: set[str] = set()
         for x in texts:
-            ascii = x.isascii()
-            if "<|" in x or (not ascii and ("İ" in x or NOT_PLAIN.search(x))):
+            ascii, low = x.isascii(), x.lower()
+            if "<|" in x or (not ascii and ("İ" in x or NOT_PLAIN.search(x) or NOT_PLAIN.search(low))):  # some capitals' small letters lie beyond
                 cut.append(None)
                 continue
-            pieces = (self.split_ascii if ascii else self.split).findall(x.lower())
+            pieces = (self.split_ascii if ascii else self.split).findall(low)
             codes = list(map(get, pieces))
             missing, i = [], -1
             for _ in range(codes.count(None)):

@@ -506,3 +506,12 @@ def test_scratch_tables(spark):
     rows = [(i, f"one two three four five six {i // 2}") for i in range(6)]
     out = simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
     assert out.count() == 6 and len({x.name for x in top.glob("lutrin-*")} - before) == 1
+
+
+def test_word_tokens_of_every_plain_character():
+    """Alone, in, before and after words, and twice: as the library has it, capitals whose small letters lie beyond the plain ones among them."""
+    spec = pathlib.Path(public_tokenizers.path("word_bpe_49k.json")).read_text()
+    library, own = Tokenizer.from_str(spec), token_output.WordTokenizer(spec)
+    texts = [f for c in map(chr, range(0x260)) for f in (c, f"a{c}b", f"{c}N the", f"the {c}", c + c)]
+    got = own.encode(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [library.encode(x, add_special_tokens=False).ids for x in texts]
