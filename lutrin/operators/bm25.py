@@ -1,72 +1,259 @@
-"""BM25 (Okapi, with a floor under negative idf) over a corpus, for a batch of queries."""
+"""BM25 (Okapi, with a floor under negative idf) over a corpus, for a batch of queries, from a stored index that is added to.
+
+The index is a log of segments under versions (``sources.snapshots``). A segment has its rows in ranges, and each term's postings of a range
+as one block with the greatest tf and the least length in it. From these alone follows the most that any row of a range can score,
+whatever the corpus's averages are by then, so ranges that can't reach a query's k-th score are never opened. Rows that are removed or replaced
+stay in their blocks and are named in a list of the dead, until segments are merged; document frequencies, the number of rows and
+their length are those of the living, as a new index of them would have.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructType
 
 from ..functions.text import normalize
+from ..sources import io, snapshots
 from .sizes import small
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Terms up to this number are asked for by name, which the files' statistics answer; more are joined.
 NAMED = 10
+#: A range has so many rows at most, and no further row once it has so many tokens.
+RANGE_ROWS, RANGE_TOKENS = 128, 200_000
+#: What is taken off a k-th score before bounds are held against it: scores are rounded to 6 decimals.
+SLACK = 2e-6
 
 
 @dataclass
 class Index:
-    """postings(chunk_id, term, tf, dl), vocabulary(term, df, idf), stats(n, avgdl, avg_idf), as stored."""
+    """blocks(term, r, n, max_tf, min_dl, ids, tfs, dls), dead(r, chunk_id) or None, vocabulary(term, df, idf), stats(n, avgdl, avg_idf).
+
+    A block is of one term in one range r; that of the null term has all rows of the range.
+    """
 
-    postings: DataFrame
+    blocks: DataFrame
+    dead: DataFrame | None
     vocabulary: DataFrame
     stats: DataFrame
 
+    @property
+    def postings(self) -> DataFrame:
+        """(chunk_id, term, tf, dl) of the living."""
+        rows = self.blocks.where("term is not null").select("r", "term", F.explode(F.arrays_zip("ids", "tfs", "dls")).alias("x"))
+        rows = rows.select("r", F.col("x.ids").alias("chunk_id"), "term", F.col("x.tfs").alias("tf"), F.col("x.dls").alias("dl"))
+        return _living(rows, self.dead).drop("r")
 
-def read(spark: SparkSession, path: str) -> Index:
-    return Index(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "vocabulary", "stats")))
 
+def _living(rows: DataFrame, dead: DataFrame | None) -> DataFrame:
+    return rows if dead is None else rows.join(small(dead), ["r", "chunk_id"], "left_anti")
+
+
+def read(spark: SparkSession, path: str, version: int | None = None) -> Index:
+    held = snapshots.load(spark, path, version)
+    if held is None:
+        raise ValueError(f"no index at {path}")
+    every = lambda names: reduce(DataFrame.union, [spark.read.parquet(f"{path}/{x}") for x in names])
+    return Index(every(held["blocks"]), every(held["dead"]) if held["dead"] else None, spark.read.parquet(f"{path}/{held['vocabulary']}"), spark.read.parquet(f"{path}/{held['stats']}"))
+
+
+def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """A task's rows, cut where a range ends."""
+    number = 0
+    for batch in batches:
+        ends = np.cumsum(batch.column("tokens").value_lengths().fill_null(0).to_numpy())
+        a = 0
+        while a < batch.num_rows:
+            b = min(a + RANGE_ROWS, batch.num_rows, 1 + int(np.searchsorted(ends, (ends[a - 1] if a else 0) + RANGE_TOKENS)))
+            yield number, batch.slice(a, b - a)
+            number, a = number + 1, b
+
+
+def _blocks(corpus: DataFrame, segment: int, key: str, text: str) -> DataFrame:
+    """The blocks of a segment, range by range: rows are tokenised once and not moved. Null text has no terms, and still counts as a row."""
+    kind = corpus.schema[key].dataType
+    whole = IntegerType()
+    schema = StructType().add("term", StringType()).add("r", LongType()).add("n", whole).add("max_tf", whole).add("min_dl", whole).add("ids", ArrayType(kind)).add("tfs", ArrayType(whole)).add("dls", ArrayType(whole))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, rows in _ranges(batches):
+            r = segment << 48 | rows.column("task")[0].as_py() << 24 | number
+            tokens, ids = rows.column("tokens"), rows.column("chunk_id")
+            lengths = tokens.value_lengths().fill_null(0).to_numpy().astype(np.int64)
+            coded = tokens.flatten().dictionary_encode()
+            terms = coded.dictionary
+            pairs, tf = np.unique(coded.indices.to_numpy().astype(np.int64) * len(lengths) + np.repeat(np.arange(len(lengths)), lengths), return_counts=True)
+            # Each term's rows, after all rows as those of the null term.
+            row = np.concatenate((np.arange(len(lengths)), pairs % len(lengths)))
+            tf = np.concatenate((np.zeros(len(lengths), np.int64), tf))
+            starts = np.concatenate(([0], len(lengths) + np.flatnonzero(np.r_[True, np.diff(pairs // len(lengths)) > 0][: len(pairs)])))
+            offsets = pa.array(np.append(starts, len(row)), pa.int32())
+            listed = lambda x: pa.ListArray.from_arrays(offsets, x)
+            numbers = lambda x: pa.array(x, pa.int32())
+            n = np.diff(np.append(starts, len(row)))
+            columns = [pa.concat_arrays([pa.array([None], pa.string()), terms.cast(pa.string())]), pa.array([r] * len(starts), pa.int64()), numbers(n), numbers(np.maximum.reduceat(tf, starts)), numbers(np.minimum.reduceat(lengths[row], starts))]
+            yield pa.RecordBatch.from_arrays([*columns, listed(ids.take(pa.array(row))), listed(numbers(tf)), listed(numbers(lengths[row]))], names=schema.fieldNames())
+
+    tokens = corpus.select(F.spark_partition_id().alias("task"), F.col(key).alias("chunk_id"), F.coalesce(normalize(text), F.array().cast("array<string>")).alias("tokens"))
+    return tokens.mapInArrow(run, schema)
+
+
+def _sorted(blocks: DataFrame, path: str) -> str:
+    """Store blocks by term, a term that most ranges have in several files; they are made once, though the sort reads them twice."""
+    spark, name = blocks.sparkSession, snapshots.part("blocks")
+    made = io.temporary(spark)
+    blocks.write.mode("overwrite").parquet(made)
+    spark.read.schema(blocks.schema).parquet(made).repartitionByRange("term", "r").sortWithinPartitions("term", "r").write.parquet(f"{path}/{name}")
+    return name
+
+
+def _counted(spark: SparkSession, path: str, changes: list[DataFrame]) -> dict:
+    """Store the vocabulary and the statistics of changes(term, df, dl); df and dl of the null term are of rows and their lengths."""
+    counts = reduce(DataFrame.unionByName, changes).groupBy("term").agg(F.sum("df").alias("df"), F.sum("dl").alias("dl")).where("df > 0")
+    made = io.temporary(spark)
+    counts.write.mode("overwrite").parquet(made)
+    counts = spark.read.schema(counts.schema).parquet(made)
+    size = counts.where("term is null").agg(F.coalesce(F.sum("df"), F.lit(0)).alias("n"), F.sum("dl").alias("dl"))
+    raw = counts.where("term is not null").join(F.broadcast(size.select("n"))).select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf0"))
+    stats, vocabulary = snapshots.part("stats"), snapshots.part("vocabulary")
+    size.join(F.broadcast(raw.agg(F.avg("idf0").alias("avg_idf")))).select("n", (F.col("dl") / F.col("n")).alias("avgdl"), "avg_idf", F.col("dl").alias("total")).write.parquet(f"{path}/{stats}")
+    mean = spark.read.parquet(f"{path}/{stats}").select("avg_idf")
+    floored = F.when(F.col("idf0") >= 0, F.col("idf0")).otherwise(EPSILON * F.col("avg_idf"))
+    raw.join(F.broadcast(mean)).select("term", "df", floored.alias("idf")).write.parquet(f"{path}/{vocabulary}")
+    return {"vocabulary": vocabulary, "stats": stats}
+
+
+def _frequencies(blocks: DataFrame) -> DataFrame:
+    own = F.when(F.col("term").isNull(), F.aggregate("dls", F.lit(0).cast("long"), lambda a, x: a + x)).otherwise(F.lit(0))
+    return blocks.select("term", F.col("n").cast("long").alias("df"), own.alias("dl"))
 
-def build(corpus: DataFrame, path: str, key: str = "chunk_id", text: str = "document") -> Index:
-    """Write the index of all terms of all rows at ``path`` and read it; null text has none, and still counts as a row.
 
-    The corpus is read twice: once for the terms' document frequencies together with the rows' number and length, counted in each
-    task first, and once for the postings, which are stored by term, so that a search for few terms reads few of them; a term that most
-    rows have is dealt to several files.
+def update(spark: SparkSession, path: str, corpus: DataFrame | None = None, removed: DataFrame | None = None, key: str = "chunk_id", text: str = "document", stream: str | None = None, batch: int | None = None) -> Index:
+    """Add the rows of corpus to the index at ``path`` (a new one, if there is none), in place of rows of their ids, and remove those of
+    removed(chunk_id); what is left is read.
+
+    It costs what the change has, one look at which ranges the changed ids are in, and one pass over the vocabulary. stream, batch: as with
+    ``collection.upsert``.
     """
+    held = snapshots.load(spark, path) or {"version": 0, "segment": 0, "blocks": [], "dead": [], "streams": {}}
+    if stream is not None and held["streams"].get(stream, -1) >= batch:
+        return read(spark, path)
+    content = held | {"streams": held["streams"] | ({stream: batch} if stream is not None else {})}
+    changes = []
+    if held["blocks"]:
+        old = read(spark, path)
+        rows = old.stats.select(F.lit(None).cast("string").alias("term"), F.col("n").alias("df"), F.col("total").alias("dl"))
+        changes += [old.vocabulary.select("term", "df", F.lit(0).cast("long").alias("dl")).unionByName(rows)]
+        ids = [x for x in (corpus.select(F.col(key).alias("chunk_id")) if corpus is not None else None, removed.select("chunk_id") if removed is not None else None) if x is not None]
+        if ids:
+            places = old.blocks.where("term is null").select("r", F.explode("ids").alias("chunk_id"))
+            gone = _living(places.join(small(reduce(DataFrame.union, ids).distinct()), "chunk_id", "left_semi"), old.dead)
+            name = snapshots.part("dead")
+            gone.select("r", "chunk_id").write.parquet(f"{path}/{name}")
+            gone = spark.read.schema(gone.select("r", "chunk_id").schema).parquet(f"{path}/{name}")
+            if gone.limit(1).count():
+                content["dead"] = [*held["dead"], name]
+                touched = old.blocks.join(small(gone.select("r").distinct()), "r", "left_semi").select("r", "term", F.explode(F.arrays_zip("ids", "dls")).alias("x"))
+                lost = touched.select("r", "term", F.col("x.ids").alias("chunk_id"), F.col("x.dls").alias("dl")).join(small(gone), ["r", "chunk_id"], "left_semi")
+                changes.append(lost.groupBy("term").agg((-F.count("*")).alias("df"), F.sum(F.when(F.col("term").isNull(), -F.col("dl")).otherwise(0)).alias("dl")))
+    if corpus is not None:
+        content["segment"] = held["segment"] + 1
+        content["blocks"] = [*held["blocks"], _sorted(_blocks(corpus, content["segment"], key, text), path)]
+        changes.append(_frequencies(spark.read.parquet(f"{path}/{content['blocks'][-1]}")))
+    content |= _counted(spark, path, changes)
+    snapshots.commit(spark, path, content, held["version"] + 1)
+    return read(spark, path)
+
+
+def build(corpus: DataFrame, path: str, key: str = "chunk_id", text: str = "document") -> Index:
+    """Make the index at ``path`` one of corpus alone, and read it. A row's id should be its own: of rows with one id all count."""
     spark = corpus.sparkSession
-    tokens = corpus.select(F.col(key).alias("chunk_id"), F.coalesce(normalize(text), F.array().cast("array<string>")).alias("tokens"))
-    sized = tokens.withColumn("dl", F.size("tokens").cast("long"))
-    # Each row's different terms, and a null for the row itself, which carries its length.
-    each = sized.select("dl", F.explode(F.concat(F.array_distinct("tokens"), F.array(F.lit(None).cast("string")))).alias("term"))
-    each.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("dl"))).alias("dl")).write.mode("overwrite").parquet(f"{path}/terms")
-    terms = spark.read.parquet(f"{path}/terms")
-    size = terms.where("term is null").agg(F.coalesce(F.sum("df"), F.lit(0)).alias("n"), (F.sum("dl") / F.sum("df")).alias("avgdl"))
-    raw = terms.where("term is not null").join(F.broadcast(size.select("n"))).select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf0"))
-    mean = raw.agg(F.avg("idf0").alias("avg_idf"))
-    size.join(F.broadcast(mean)).write.mode("overwrite").parquet(f"{path}/stats")
-    stats = spark.read.parquet(f"{path}/stats")
-    floored = F.when(F.col("idf0") >= 0, F.col("idf0")).otherwise(EPSILON * F.col("avg_idf"))
-    raw.join(F.broadcast(stats.select("avg_idf"))).select("term", "df", floored.alias("idf")).write.mode("overwrite").parquet(f"{path}/vocabulary")
-    postings = sized.select("chunk_id", "dl", F.explode_outer("tokens").alias("term")).where("term is not null").groupBy("chunk_id", "term", "dl").agg(F.count("*").alias("tf")).select("chunk_id", "term", "tf", "dl")
-    postings.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{path}/postings")
+    held = snapshots.load(spark, path) or {"version": 0, "segment": 0, "streams": {}}
+    segment = held["segment"] + 1
+    name = _sorted(_blocks(corpus, segment, key, text), path)
+    content = {"segment": segment, "blocks": [name], "dead": [], "streams": held["streams"]} | _counted(spark, path, [_frequencies(spark.read.parquet(f"{path}/{name}"))])
+    snapshots.commit(spark, path, content, held["version"] + 1)
+    return read(spark, path)
+
+
+def merge(spark: SparkSession, path: str) -> Index:
+    """Make one segment of all, without the dead: ranges' rows stay together, and what is left of them in the blocks goes on."""
+    held, old = snapshots.load(spark, path), read(spark, path)
+    blocks = old.blocks
+    if old.dead is not None:
+        lost = old.dead.groupBy("r").agg(F.collect_set("chunk_id").alias("gone"))
+        zipped = F.filter(F.arrays_zip("ids", "tfs", "dls"), lambda x: ~F.array_contains("gone", x["ids"]))
+        touched = blocks.join(small(lost), "r").withColumn("x", zipped).where(F.size("x") > 0)
+        fewer = touched.select("term", "r", F.size("x").alias("n"), F.array_max("x.tfs").alias("max_tf"), F.array_min("x.dls").alias("min_dl"), F.col("x.ids").alias("ids"), F.col("x.tfs").alias("tfs"), F.col("x.dls").alias("dls"))
+        blocks = blocks.join(small(lost.select("r")), "r", "left_anti").select(*fewer.columns).unionByName(fewer)
+    content = held | {"blocks": [_sorted(blocks, path)], "dead": []}
+    snapshots.commit(spark, path, content, held["version"] + 1)
     return read(spark, path)
 
 
+def _gain(weight: Column, tf: Column, dl: Column) -> Column:
+    return weight * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.col("avgdl")))
+
+
+class Search:
+    """A batch of queries(query_id, query) on an index: which ranges are opened, and the scores of their rows."""
+
+    def __init__(self, index: Index, queries: DataFrame, k: int):
+        self.index, self.k = index, k
+        terms = queries.select("query_id", F.explode(normalize("query")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+        # The index's rows are few for few terms: these are asked for by name.
+        self.asked = small(index.vocabulary.join(small(terms), "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight")))
+        names = [r.term for r in self.asked.select("term").distinct().limit(NAMED + 1).collect()]
+        self.blocks = index.blocks.where(F.col("term").isin(names)) if len(names) <= NAMED else index.blocks
+        self.spark = queries.sparkSession
+
+    def _kept(self, df: DataFrame) -> DataFrame:
+        path = io.temporary(self.spark)
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def bounds(self) -> DataFrame:
+        """(query_id, r, most): what no row of a range scores more than."""
+        rows = self.blocks.select("term", "r", "max_tf", "min_dl").join(self.asked, "term").join(F.broadcast(self.index.stats))
+        most = F.greatest(_gain(F.col("weight"), F.col("max_tf"), F.col("min_dl")), F.lit(0.0))
+        return rows.groupBy("query_id", "r").agg((F.sum(most) * (1 + 1e-9)).alias("most"))
+
+    def scores(self, ranges: DataFrame) -> DataFrame:
+        """(query_id, chunk_id, score) of all living rows with a term of the query in the ranges (query_id, r)."""
+        need = small(ranges.select("query_id", "r").join(self.asked, "query_id"))
+        hits = self.blocks.select("term", "r", "ids", "tfs", "dls").join(need, ["term", "r"]).select("query_id", "r", "weight", F.explode(F.arrays_zip("ids", "tfs", "dls")).alias("x"))
+        hits = hits.select("query_id", "r", F.col("x.ids").alias("chunk_id"), "weight", F.col("x.tfs").alias("tf"), F.col("x.dls").alias("dl")).join(F.broadcast(self.index.stats))
+        scored = hits.groupBy("query_id", "r", "chunk_id").agg(F.round(F.sum(_gain(F.col("weight"), F.col("tf"), F.col("dl"))), 6).alias("score"))
+        return _living(scored, self.index.dead).select("query_id", "chunk_id", "score")
+
+    def run(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """The scores of the ranges that promise most, k for each query; those ranges, and the others that may hold one of a query's best k."""
+        bounds = self._kept(self.bounds())
+        order = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("most"), "r"))
+        first = self._kept(bounds.withColumn("rank", order).where(F.col("rank") <= self.k).select("query_id", "r"))
+        scored = self._kept(self.scores(first))
+        kth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
+        least = scored.withColumn("rank", kth).where(F.col("rank") == self.k).select("query_id", F.col("score").alias("least"))
+        rest = bounds.join(small(least), "query_id", "left").where(F.col("least").isNull() | (F.col("most") >= F.col("least") - SLACK))
+        return scored, first, self._kept(rest.join(small(first), ["query_id", "r"], "left_anti").select("query_id", "r"))
+
+
 def search(index: Index, queries: DataFrame, k: int = 10, positive: bool = True) -> DataFrame:
     """(query_id, chunk_id, score, rank) of the best k rows per query; ties by chunk_id. queries(query_id, query).
 
-    Only postings of the queries' terms go on: the terms are broadcast unless they are very many, and if they are NAMED or fewer (a
-    question or two), only pages of the files that may have them are read.
+    Bounds are read of all ranges with a term of the queries (of terms that are NAMED or fewer, only pages of the files that may have them); postings
+    only of the ranges that promise most and, once these have given a k-th score, of those that may still reach it.
     """
-    terms = queries.select("query_id", F.explode(normalize("query")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    asked = small(index.vocabulary.join(small(terms), "term"))
-    names = [r.term for r in asked.select("term").distinct().limit(NAMED + 1).collect()]
-    postings = index.postings.where(F.col("term").isin(names)) if len(names) <= NAMED else index.postings
-    hits = postings.join(asked, "term").join(F.broadcast(index.stats))
-    norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
-    scores = hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / norm), 6).alias("score"))
+    asked = Search(index, queries, k)
+    scored, _, rest = asked.run()
+    scores = scored.unionByName(asked.scores(rest))
     if positive:
         scores = scores.where("score > 0")
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))

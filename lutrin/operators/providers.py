@@ -56,19 +56,31 @@ def embed(df: DataFrame, make: Callable[[], Embed] = stub_embedder, text: str =
 
 
 def generate(prompt: Column, make: Callable[[], Generate] = stub_generator, failed: str = "") -> Column:
-    """The model's answer to each prompt; a prompt that is null has none, and a call that fails gives ``failed``."""
+    """The model's answer to each prompt; a prompt that is null has none, and one whose call fails gives ``failed``.
+
+    A batch that fails is asked again prompt by prompt, so that only those answers fail that are themselves at fault.
+    """
 
     @F.pandas_udf(T.StringType())
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = make()
         for x in batches:
             there = x.notna()
-            try:
-                answers = model(x[there].tolist())
-            except Exception:  # a model's failure is an answer, not the job's
-                answers = [failed] * int(there.sum())
             out = pd.Series([None] * len(x), index=x.index, dtype=object)
-            out[there] = answers
+            out[there] = [failed if e else y for y, e in _asked(model, x[there].tolist())]
             yield out
 
     return run(prompt)
+
+
+def _asked(model: Generate, prompts: list[str]) -> list[tuple[str | None, str | None]]:
+    """(answer, error) of each prompt."""
+    try:
+        answers = model(prompts) if prompts else []
+        if len(answers) != len(prompts):
+            raise ValueError(f"{len(answers)} answers to {len(prompts)} prompts")
+        return [(y, None) for y in answers]
+    except Exception as e:  # a model's failure is an answer, not the job's
+        if len(prompts) == 1:
+            return [(None, f"{type(e).__name__}: {e}")]
+    return [y for x in prompts for y in _asked(model, [x])]

@@ -65,14 +65,14 @@ def text_cleaning(function: Callable[[str], object]) -> Callable[[SparkSession,
 
 def index(spark: SparkSession, sf_dir: str) -> bm25.Index:
     """The documents' stored index. It is built when a session first asks, and again when the table's files are others."""
-    path = f"{io.shared(spark)}/lutrin-bm25-1-{io.fingerprint(spark, f'{sf_dir}/documents.parquet')}"
+    path = f"{io.shared(spark)}/lutrin-bm25-2-{io.fingerprint(spark, f'{sf_dir}/documents.parquet')}"
     return bm25.read(spark, io.once(spark, path, lambda made: bm25.build(corpus(spark, sf_dir), made)))
 
 
 def bm25_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A new index of all documents, built whenever this is asked, and its sizes."""
     own = bm25.build(corpus(spark, sf_dir), io.temporary(spark))
-    sums = own.postings.agg(F.count("*").alias("postings"), F.sum("tf").alias("tokens"))
+    sums = own.blocks.where("term is not null").agg(F.coalesce(F.sum(F.col("n").cast("long")), F.lit(0)).alias("postings"), F.sum(F.aggregate("tfs", F.lit(0).cast("long"), lambda a, x: a + x)).alias("tokens"))
     return own.stats.select("n").join(F.broadcast(sums)).join(F.broadcast(own.vocabulary.agg(F.count("*").alias("terms"))))
 
 

@@ -1,4 +1,4 @@
-"""Texts taken in as they arrive: the checkpoint remembers which files were done."""
+"""Texts taken in as they arrive, each counted once: what a micro-batch makes is one version of a collection, and of an index."""
 
 from __future__ import annotations
 
@@ -8,9 +8,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators import bm25
+from ..sources import collection
 
-def ingest(spark: SparkSession, path: str, out: str, checkpoint: str, step: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
-    """Run ``step`` on (source, text) of each new .txt file of a folder and append what it gives as Parquet; ends when all is taken."""
-    texts = spark.readStream.schema("value string").text(path, wholetext=True, pathGlobFilter="*.txt")
+
+def ingest(spark: SparkSession, path: str, out: str, checkpoint: str, step: Callable[[DataFrame], DataFrame], source: str = "source_file", index: str | None = None, files: int | None = None) -> StreamingQuery:
+    """Run ``step`` on (source, text) of each new .txt file of a folder; the rows, read by ``collection.read(spark, out)``, replace what a file of
+    that name gave before, and a file without rows removes it. Ends when all is taken.
+
+    step's rows have the file's name as ``source``. index: a folder where the rows' (chunk_id, document) are kept as a BM25 index as well. The collection
+    and the index remember the batch that they had last, under the checkpoint's name: a batch that is run again because it failed
+    before Spark noted its end, wherever that was, changes neither twice. files: how many a batch takes at most.
+    """
+    reader = spark.readStream.schema("value string").option("latestFirst", False)
+    reader = reader.option("maxFilesPerTrigger", files) if files else reader
+    texts = reader.text(path, wholetext=True, pathGlobFilter="*.txt")
     rows = texts.select(F.col("_metadata.file_name").alias("source"), F.col("value").alias("text"))
-    return rows.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda df, _: step(df).write.mode("append").parquet(out)).start()
+
+    def take(df: DataFrame, batch: int) -> None:
+        named = df.select(F.col("source").alias(source))
+        version = collection.upsert(step(df), out, sources=named, source=source, stream=checkpoint, batch=batch)
+        if index is not None:
+            own = df.sparkSession
+            before = collection.read(own, out, version - 1)
+            gone = before.join(named.distinct(), source, "left_semi").select("chunk_id") if before is not None else None
+            bm25.update(own, index, collection.added(own, out, version), gone, stream=checkpoint, batch=batch)
+
+    return rows.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(take).start()

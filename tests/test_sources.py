@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lutrin.operators import bm25, chunks, evaluate, search, segment, vector, windows
-from lutrin.sources import io
+from lutrin.sources import collection, io
 from lutrin.streaming import ingest
 
 PDF = b"%PDF-1.4 not really"
@@ -94,7 +94,7 @@ def test_intake_of_new_files(spark, tmp_path):
     run()
     put(tmp_path / "in", b_dot_txt="rien")
     run()
-    assert sorted((r.source_file, r.total_documents) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [("a.txt", 1), ("b.txt", 0)]
+    assert sorted((r.source_file, r.total_documents) for r in collection.read(spark, f"{tmp_path}/out").collect()) == [("a.txt", 1), ("b.txt", 0)]
 
 
 def test_stored_once(spark, tmp_path):
@@ -159,8 +159,8 @@ def test_limits(spark):
     assert [r.s for r in scores.collect()] == [12345678901, 0]
 
 
-def test_nearest_against_all_pairs(spark):
-    """Ties, nulls, vectors of another length, repeated rows, fewer rows than asked for; in one block and in several."""
+def test_nearest_against_all_pairs(spark, monkeypatch):
+    """Ties, nulls, vectors of another length, repeated rows, fewer rows than asked for; queries broadcast and dealt."""
     rows = [(i, [float(i % 7), float(i % 3)]) for i in range(50)] + [(50, None), (51, [1.0]), (52, [1.0, None])]
     corpus = spark.createDataFrame(rows, "chunk_id long, embedding array<float>").repartition(3)
     asked = spark.createDataFrame([("a", [1.0, 1.0]), ("b", [9.0, 0.5]), ("c", None)], "query_id string, vector array<float>")
@@ -168,11 +168,13 @@ def test_nearest_against_all_pairs(spark):
     for q, v in (("a", [1.0, 1.0]), ("b", [9.0, 0.5])):
         order = sorted((round((x[0] - v[0]) ** 2 + (x[1] - v[1]) ** 2, 6), i) for i, x in rows[:50])
         want |= {(q, i, d, r + 1) for r, (d, i) in enumerate(order[:10])}
-    for block in (2000, 1):
-        vector.QUERY_BLOCK = block
-        try:
-            assert {tuple(r) for r in vector.search(corpus, asked).collect()} == want
-        finally:
-            vector.QUERY_BLOCK = 2000
-    assert vector.search(corpus, asked, k=80).count() == 100
+    for most, part in ((2_000_000, 4_000_000), (0, 4_000_000), (0, 20)):  # broadcast, dealt, dealt to several parts
+        monkeypatch.setattr(vector, "BROADCAST_NUMBERS", most)
+        monkeypatch.setattr(vector, "PART_NUMBERS", part)
+        assert {tuple(r) for r in vector.search(corpus, asked).collect()} == want
+        assert vector.search(corpus, asked, k=80).count() == 100
+        # The first query's length decides nothing for the others.
+        odd = spark.createDataFrame([("0", [1.0])], asked.schema).union(asked)
+        assert {tuple(r) for r in vector.search(corpus, odd).collect()} == want | {("0", 51, 0.0, 1)}
+    monkeypatch.undo()
     assert vector.search(corpus.limit(0), asked).count() == 0 and vector.search(corpus, asked.limit(0)).count() == 0
