@@ -21,21 +21,25 @@ from . import vector
 
 #: Most cells (their centers are broadcast) and rows of the sample for each, and rounds of k-means.
 CELLS, SAMPLE, ROUNDS = 4096, 64, 8
-#: Cells that a query reads by default, and the most that are asked for by name, so that files' statistics leave out the rest.
-PROBES, NAMED = 8, 1000
+#: How many cells a query reads is measured when the index is built: so many that about ASKED rows, asked for their nearest DEPTH others, find this share.
+ASKED, DEPTH, RECALL = 200, 10, 0.97
+#: Cells that are asked for by name at most, so that files' statistics leave out the rest.
+NAMED = 1000
 
 
 @dataclass
 class Index:
-    """rows(cell, chunk_id, embedding), by cell, and centers(cell, center, rows). Vectors of another length than the centers' are in a cell
-    of their own, minus their length."""
+    """rows(cell, chunk_id, embedding), by cell, centers(cell, center, rows), and how many cells a query reads. Vectors of another length than
+    the centers' are in a cell of their own, minus their length."""
 
     rows: DataFrame
     centers: DataFrame
+    probes: int
 
 
 def read(spark: SparkSession, path: str) -> Index:
-    return Index(spark.read.parquet(f"{path}/rows"), spark.read.parquet(f"{path}/centers"))
+    about = spark.read.parquet(f"{path}/about").first()
+    return Index(spark.read.parquet(f"{path}/rows"), spark.read.parquet(f"{path}/centers"), about.probes)
 
 
 def _cells(own: np.ndarray, centers: np.ndarray, k: int = 1) -> np.ndarray:
@@ -98,11 +102,11 @@ def _placed(rows: DataFrame, centers: np.ndarray) -> DataFrame:
     return rows.select("chunk_id", "embedding").mapInArrow(run, schema)
 
 
-def build(corpus: DataFrame, path: str, cells: int | None = None, rounds: int = ROUNDS, sample: int = SAMPLE) -> Index:
+def build(corpus: DataFrame, path: str, cells: int | None = None, rounds: int = ROUNDS, sample: int = SAMPLE, recall: float = RECALL) -> Index:
     """Write the index of corpus(chunk_id, embedding) at ``path`` and read it.
 
     cells: as many as the square root of the rows, CELLS at most, unless given. Centers are fitted on about ``sample`` rows for each cell, chosen by a
-    hash of their ids, of the commonest length. Null and empty vectors, and those with nulls, are left out. Files are ranges of cells; a
+    hash of their ids, of the commonest length. recall: what the cells that a query reads by default are to find. Null and empty vectors, and those with nulls, are left out. Files are ranges of cells; a
     large cell is in several.
     """
     spark = corpus.sparkSession
@@ -122,9 +126,25 @@ def build(corpus: DataFrame, path: str, cells: int | None = None, rounds: int =
     stored = spark.read.parquet(f"{path}/rows").groupBy("cell").agg(F.count("*").alias("rows"))
     table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(centers)], "cell long, center array<double>")
     table.join(stored, "cell", "left").select("cell", "center", F.coalesce("rows", F.lit(0)).alias("rows")).coalesce(1).write.mode("overwrite").parquet(f"{path}/centers")
+    probes = _probes(spark.read.parquet(f"{path}/rows").where("cell >= 0"), centers, n, recall)
+    spark.createDataFrame([(probes,)], "probes int").coalesce(1).write.mode("overwrite").parquet(f"{path}/about")
     return read(spark, path)
 
 
+def _probes(rows: DataFrame, centers: np.ndarray, n: int, recall: float) -> int:
+    """In how many of the cells nearest to a row this share of its nearest others is, by an exact search for some rows."""
+    asked = rows.where(F.pmod(F.xxhash64("chunk_id", F.lit(3)), F.lit(max(1, n))) < ASKED).select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("vector"))
+    exact = vector.search(rows, asked, DEPTH + 1).where("query_id <> chunk_id").select("query_id", "chunk_id")
+    found = rows.select("chunk_id", "cell").join(F.broadcast(exact), "chunk_id").select("query_id", "cell").toArrow()
+    table = asked.toArrow()
+    if not found.num_rows:
+        return len(centers)
+    nearest = _cells(vector.matrix(table.column("vector"), centers.shape[1]), centers, len(centers))
+    place = {q: np.argsort(row) for q, row in zip(table.column("query_id").to_pylist(), nearest, strict=True)}
+    needed = sorted(int(place[q][c]) + 1 for q, c in zip(found.column("query_id").to_pylist(), found.column("cell").to_pylist(), strict=True))
+    return needed[min(len(needed) - 1, int(recall * len(needed)))]
+
+
 def add(index_path: str, corpus: DataFrame) -> Index:
     """Store more rows in the cells of an index's centers, and read it. The centers stay; an id that is there already is there twice."""
     spark = corpus.sparkSession
@@ -140,15 +160,16 @@ def _centers(index: Index) -> np.ndarray:
     return vector.matrix(table.column("center"), len(table.column("center")[0]))
 
 
-def search(index: Index, queries: DataFrame, k: int = 10, probes: int = PROBES) -> DataFrame:
-    """(query_id, chunk_id, distance, rank) for queries(query_id, vector), from the ``probes`` cells of nearest center; ties by chunk_id.
+def search(index: Index, queries: DataFrame, k: int = 10, probes: int | None = None) -> DataFrame:
+    """(query_id, chunk_id, distance, rank) for queries(query_id, vector), from the ``probes`` cells of nearest center (by default the index's); ties by
+    chunk_id.
 
     A query of another length than the centers' reads all rows of its length; null and empty vectors, and those with nulls, find nothing. Few
     queries are broadcast and only rows of the cells that they ask for are read; more are dealt to the rows by cell.
     """
     centers = _centers(index)
     known = queries.sparkSession.sparkContext.broadcast(centers)
-    probes = min(probes, len(centers))
+    probes = min(probes or index.probes, len(centers))
     schema = StructType([StructField("g", LongType()), queries.schema["query_id"], queries.schema["vector"]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

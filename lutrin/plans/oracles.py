@@ -23,7 +23,7 @@ def tokens(x: str) -> str:
 
 
 ARABIC = r"[\x{0600}-\x{06FF}\x{0750}-\x{077F}\x{08A0}-\x{08FF}\x{FB50}-\x{FDFF}\x{FE70}-\x{FEFF}]+"
-TOKENS = f"tokens as (select doc_id as chunk_id, {tokens('text')} as t from documents), dl as (select chunk_id, len(t) as dl, t from tokens), postings as (select chunk_id, dl, term, count(*) as tf from (select chunk_id, dl, unnest(t) as term from dl) group by all)"
+TOKENS = f"tokens as materialized (select doc_id as chunk_id, {tokens('text')} as t from documents), dl as (select chunk_id, len(t) as dl, t from tokens), postings as materialized (select chunk_id, dl, term, count(*) as tf from (select chunk_id, dl, unnest(t) as term from dl) group by all)"
 STATS = f"{TOKENS}, size as (select count(*) as n, avg(dl) as avgdl from dl), raw as (select term, count(*) as df, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) as idf0 from postings, size group by term), mean as (select avg(idf0) as avg_idf from raw), vocabulary as (select term, df, case when idf0 >= 0 then idf0 else 0.25 * avg_idf end as idf from raw, mean)"
 GOLDEN = "(select * from (values " + ", ".join(f"({i}::bigint, '" + q.replace("'", "''") + "')" for i, (q, _) in enumerate(golden.RETRIEVAL)) + ") t(item_id, text))"
 
@@ -105,7 +105,13 @@ STUB = "list_transform(range(1, 128, 2), lambda i: (instr('0123456789abcdef', h[
 WINDOWS = "(select doc_id, start, substr(text, start + 1, 3500) as chunk from (select doc_id, text, unnest(range(0, length(text), 3300)) as start from documents))"
 EXTRACTS = f"(select doc_id, start, concat('Décret de ', length(chunk), ' signes') as official_id, {strip('chunk')} as text from {WINDOWS}) where length(text) > 20"
 
+LIVING = "living as (select * from documents anti join (select doc_id from labels where toxic = 1) using (doc_id))"
+
 ORACLE_SQL: dict[str, str] = {
+    "vector_index_all": f"with {nearest('b.vec_id % 100 = 0')} select * from vector",
+    "vector_index_recall": "select ((select count(*) from embeddings where vec_id % 100 = 0) * least(10, count(*)))::bigint as pairs, true as recalled from embeddings",
+    "bm25_upkeep": f"with {LIVING}, {BM25.replace('from documents', 'from living')} select query_id, chunk_id, score, rank from keyword",
+    "collection_upkeep": f"with {LIVING} select doc_id, lang, substr(t, 1, 80) as begins, length(t) as n from (select doc_id, coalesce(lang, '') as lang, case when lang = 'fr' then upper(text) else text end as t from living)",
     "tokenize_documents": f"select doc_id, len(t)::bigint as n, array_to_string(t, ' ') as tokens from (select doc_id, {tokens('text')} as t from documents)",
     "clean_text": rf"select doc_id, {strip(rf"regexp_replace(regexp_replace(regexp_replace({DIRTY}, '\r\n?', chr(10), 'g'), '\n+', chr(10), 'g'), '[\x{{10000}}-\x{{10FFFF}}]+', ' ', 'g')")} as cleaned from documents",
     "debug_clean": f"select doc_id, {plain(DIRTY)} as cleaned from documents",

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import bm25, chunks, context, diagnostics, evaluate, fusion, layout, providers, search, segment, sizes, vector, windows
-from ..sources import io
+from ..operators import bm25, chunks, context, diagnostics, evaluate, fusion, layout, providers, search, segment, sizes, vector, vector_index, windows
+from ..sources import collection, io
 from . import golden
 
 #: A gazette made around each document, with all headings and branches; the whole text is an article and a preamble. Plain SQL of both engines.
@@ -103,11 +103,58 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vector_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector whose id is divisible by 100 against all."""
-    rows = _vectors(spark, sf_dir)
-    hits = vector.search(rows, rows.where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("vector")))
+    hits = vector.search(_vectors(spark, sf_dir), _asked_vectors(spark, sf_dir))
     return hits.select("query_id", "chunk_id", "distance", F.col("rank").cast("long").alias("rank"))
 
 
+def _asked_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _vectors(spark, sf_dir).where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
+def vector_index_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of vector_top10 from a new index by cells, all of which are read."""
+    index = vector_index.build(_vectors(spark, sf_dir), io.temporary(spark))
+    hits = vector_index.search(index, _asked_vectors(spark, sf_dir), probes=vector_index.CELLS)
+    return hits.select("query_id", "chunk_id", "distance", F.col("rank").cast("long").alias("rank"))
+
+
+def vector_index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many pairs the exact search has, and whether the index finds 95 % of them in the cells that it reads by default."""
+    asked = _asked_vectors(spark, sf_dir)
+    index = vector_index.build(_vectors(spark, sf_dir), io.temporary(spark))
+    exact = vector.search(_vectors(spark, sf_dir), asked).select("query_id", "chunk_id")
+    found = vector_index.search(index, asked).select("query_id", "chunk_id", F.lit(1).alias("found"))
+    return exact.join(found, ["query_id", "chunk_id"], "left").agg(F.count("*").alias("pairs"), (F.count("found") >= 0.95 * F.count("*")).alias("recalled"))
+
+
+def _taken_down(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id").distinct()
+
+
+def bm25_upkeep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Searches an index that was built of the English documents, given the others, sent the French ones once more, and from which those
+    labelled toxic were taken."""
+    docs, path = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("lang")), io.temporary(spark)
+    bm25.build(docs.where("lang = 'en'"), path, "doc_id", "text")
+    bm25.update(spark, path, docs.where("lang <> 'en'"), key="doc_id", text="text")
+    bm25.update(spark, path, docs.where("lang = 'fr'"), key="doc_id", text="text")
+    index = bm25.update(spark, path, removed=_taken_down(spark, sf_dir).select(F.col("doc_id").alias("chunk_id")))
+    hits = bm25.search(index, questions(spark, sf_dir))
+    return hits.select("query_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+def collection_upkeep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a reader finds of documents stored by versions: English ones, then the others, the French sent again in capitals, those labelled
+    toxic withdrawn."""
+    docs, path = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), "text"), io.temporary(spark)
+    collection.replace(docs.where("lang = 'en'"), path, source="doc_id")
+    collection.upsert(docs.where("lang <> 'en'"), path)
+    collection.upsert(docs.where("lang = 'fr'").withColumn("text", F.upper("text")), path)
+    collection.upsert(docs.limit(0), path, sources=_taken_down(spark, sf_dir))
+    rows = collection.read(spark, path)
+    return rows.select("doc_id", "lang", F.substring("text", 1, 80).alias("begins"), F.length("text").cast("long").alias("n"))
+
+
 def with_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The benchmark's texts as questions, each with the vector of its id, if there is one."""
     vectors = _vectors(spark, sf_dir).select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("vector"))
@@ -306,4 +353,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "context_prompt": context_prompt, "raw_search": raw_search, "header_detect": header_detect, "incremental_skip": incremental_skip, "ocr_join": ocr_join, "stub_models": stub_models,
     "search_answers": search_answers, "answer_eval": answer_eval, "answer_mean": answer_mean, "embed_questions": embed_questions, "llm_segment": llm_segment, "extract_counts": extract_counts,
     "chunk_counts": chunk_counts, "source_counts": source_counts, "match_count": match_count, "golden_tables": golden_tables, "golden_search": golden_search,
+    "vector_index_all": vector_index_all, "vector_index_recall": vector_index_recall, "bm25_upkeep": bm25_upkeep, "collection_upkeep": collection_upkeep,
 }
