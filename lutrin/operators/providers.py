@@ -67,20 +67,27 @@ def generate(prompt: Column, make: Callable[[], Generate] = stub_generator, fail
         for x in batches:
             there = x.notna()
             out = pd.Series([None] * len(x), index=x.index, dtype=object)
-            out[there] = [failed if e else y for y, e in _asked(model, x[there].tolist())]
+            out[there] = [failed if e else y for y, e, _ in answered(model, x[there].tolist())]
             yield out
 
     return run(prompt)
 
 
-def _asked(model: Generate, prompts: list[str]) -> list[tuple[str | None, str | None]]:
-    """(answer, error) of each prompt."""
+def answered(model: Generate, prompts: list[str], tries: list[int] | None = None) -> list[tuple[str | None, str | None, int]]:
+    """(answer, error, times asked) of each prompt, asked all at once and, if that fails, one by one, each as often as it may be (once)."""
     try:
         answers = model(prompts) if prompts else []
-        if len(answers) != len(prompts):
-            raise ValueError(f"{len(answers)} answers to {len(prompts)} prompts")
-        return [(y, None) for y in answers]
-    except Exception as e:  # a model's failure is an answer, not the job's
-        if len(prompts) == 1:
-            return [(None, f"{type(e).__name__}: {e}")]
-    return [y for x in prompts for y in _asked(model, [x])]
+        if len(answers) == len(prompts):
+            return [(y, None, 1) for y in answers]
+    except Exception:  # a model's failure is an answer, not the job's
+        pass
+    out = []
+    for x, most in zip(prompts, tries or [1] * len(prompts), strict=True):
+        for used in range(1, max(1, most) + 1):
+            try:
+                answer, error = model([x])[0], None
+                break
+            except Exception as e:
+                answer, error = None, f"{type(e).__name__}: {e}"
+        out.append((answer, error, used))
+    return out

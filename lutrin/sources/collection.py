@@ -34,21 +34,24 @@ def read(spark: SparkSession, path: str, version: int | None = None) -> DataFram
     return live.drop(SEGMENT, "__source", "__last")
 
 
-def _store(df: DataFrame, path: str, sources: DataFrame | None, source: str) -> dict:
+def _store(df: DataFrame, path: str, sources: DataFrame | None, source: str, apart: list[str]) -> dict:
     spark = df.sparkSession
     out = {"rows": snapshots.part("rows"), "sources": snapshots.part("sources")}
-    df.write.parquet(f"{path}/{out['rows']}")
+    df.write.partitionBy(*apart).parquet(f"{path}/{out['rows']}")
     own = spark.read.schema(df.schema).parquet(f"{path}/{out['rows']}").select(F.col(source).alias("source"))
     own = own if sources is None else own.union(sources.select(F.col(source).alias("source")))
     own.distinct().write.parquet(f"{path}/{out['sources']}")
     return out
 
 
-def replace(df: DataFrame, path: str, source: str = "source") -> int:
-    """Make df the whole collection; returns the version. Readers of earlier versions end with their own rows."""
+def replace(df: DataFrame, path: str, source: str = "source", apart: tuple[str, ...] = ()) -> int:
+    """Make df the whole collection; returns the version. Readers of earlier versions end with their own rows.
+
+    apart: columns by which rows are stored apart, now and when others are added, so that those of one value are read alone.
+    """
     spark = df.sparkSession
     held = snapshots.load(spark, path) or {"version": 0, "streams": {}}
-    content = {"source": source, "segments": [_store(df, path, None, source)], "streams": held["streams"]}
+    content = {"source": source, "apart": list(apart), "segments": [_store(df, path, None, source, list(apart))], "streams": held["streams"]}
     return snapshots.commit(spark, path, content, held["version"] + 1)["version"]
 
 
@@ -59,13 +62,13 @@ def upsert(df: DataFrame, path: str, sources: DataFrame | None = None, source: s
     collection has already had from that stream (the same number or a later one) changes nothing, so that one that is sent again after a failure counts once.
     """
     spark = df.sparkSession
-    held = snapshots.load(spark, path) or {"version": 0, "segments": [], "streams": {}, "source": source}
+    held = snapshots.load(spark, path) or {"version": 0, "segments": [], "streams": {}, "source": source, "apart": []}
     had, at = held["streams"].get(stream, (-1, 0))
     if stream is not None and had >= batch:
         return at
     version = held["version"] + 1
     streams = held["streams"] | ({stream: (batch, version)} if stream is not None else {})
-    content = {"source": held["source"], "segments": [*held["segments"], _store(df, path, sources, held["source"])], "streams": streams}
+    content = held | {"segments": [*held["segments"], _store(df, path, sources, held["source"], held["apart"])], "streams": streams}
     return snapshots.commit(spark, path, content, version)["version"]
 
 
@@ -79,4 +82,5 @@ def compact(spark: SparkSession, path: str) -> int:
     rows = read(spark, path)
     if rows is None:
         raise ValueError(f"{path} has no version")
-    return replace(rows, path, snapshots.load(spark, path)["source"])
+    held = snapshots.load(spark, path)
+    return replace(rows, path, held["source"], tuple(held["apart"]))

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import collection, files
+
 BLOCKS = "source string, page_no int, page_width double, block_no int, x0 double, y0 double, x1 double, y1 double, text string, block_type int"
 OCR_PAGES = "source string, page_no int, text string"
 GAZETTE = "source_file string, total_documents int, documents array<struct<title string, articles array<string>, context string>>"
@@ -141,23 +143,29 @@ def json_name(source: Column) -> Column:
     return F.concat(F.regexp_replace(source, r"\.[^.]*$", ""), F.lit(".json"))
 
 
-def write_texts(texts: DataFrame, path: str, files: bool = False) -> None:
-    """(source, text), replacing what is there: Parquet, or with ``files`` a folder of text for each source."""
-    if files:
-        texts.select("source", "text").write.mode("overwrite").partitionBy("source").text(path)
+def write_texts(texts: DataFrame, path: str, named: bool = False) -> None:
+    """(source, text), replacing what is there: Parquet, or with ``named`` a file for each source, .txt in place of .pdf."""
+    if named:
+        files.write_named(texts.select(text_name(F.col("source")).alias("name"), F.col("text").alias("content")), path)
     else:
         texts.select("source", "text").write.mode("overwrite").parquet(path)
 
 
-def write_json(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
+def write_json(df: DataFrame, path: str, name: str | None = None) -> None:
+    """JSON lines, replacing what is there; with ``name``, a column, an indented file for each row, .json in place of the name's last suffix."""
+    if name:
+        content = F.to_json(F.struct("*"), {"pretty": "true", "ignoreNullFields": "false"})
+        files.write_named(df.select(json_name(F.col(name)).alias("name"), content.alias("content")), path)
+    else:
+        df.write.mode("overwrite").json(path)
 
 
 def write_chunks(chunks: DataFrame, path: str) -> None:
-    """The collection, replaced as a whole; parents and children apart, so that either is read alone."""
-    chunks.write.mode("overwrite").partitionBy("type").parquet(path)
+    """The collection, replaced as a whole: a new version, which readers of the one before don't see. Parents and children are stored apart, so
+    that either is read alone."""
+    collection.replace(chunks, path, apart=("type",))
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame | None:
-    """The collection, or None if there is none. Columns that aren't used, embeddings among them, aren't fetched."""
-    return spark.read.parquet(path) if exists(spark, path) else None
+    """The collection's latest version, or None if there is none. Columns that aren't used, embeddings among them, aren't fetched."""
+    return collection.read(spark, path)

@@ -60,9 +60,9 @@ def test_texts(spark, tmp_path):
     io.write_texts(texts, f"{tmp_path}/out")
     io.write_texts(texts, f"{tmp_path}/out")
     assert {r.source: r.text for r in spark.read.parquet(f"{tmp_path}/out").collect()} == {k: v for k, v in got.items() if v}
-    io.write_texts(texts, f"{tmp_path}/files", files=True)
-    back = spark.read.text(f"{tmp_path}/files", wholetext=True)
-    assert {r.source: r.value for r in back.collect()} == {k: v + "\n" for k, v in got.items() if v}
+    for _ in range(2):
+        io.write_texts(texts.withColumn("source", F.regexp_replace("source", r"\.txt$", ".pdf")), f"{tmp_path}/files", named=True)
+    assert {x.name: x.read_bytes().decode() for x in (tmp_path / "files").iterdir()} == {k: v for k, v in got.items() if v}
 
 
 def test_gazettes(spark, tmp_path):
@@ -72,6 +72,9 @@ def test_gazettes(spark, tmp_path):
     assert sorted((r.source_file, len(r.documents)) for r in rows.collect()) == [("a.json", 1), ("d.json", 0)]
     io.write_json(rows, f"{tmp_path}/out")
     assert spark.read.schema(io.GAZETTE).json(f"{tmp_path}/out").where("source_file = 'a.json'").first().documents[0].articles == ["un"]
+    io.write_json(rows, f"{tmp_path}/named", name="source_file")
+    assert {x.name for x in (tmp_path / "named").iterdir()} == {"a.json", "d.json"} and json.loads((tmp_path / "named" / "a.json").read_text()) == whole
+    assert sorted((r.source_file, len(r.documents)) for r in io.read_gazette(spark, f"{tmp_path}/named").collect()) == [("a.json", 1), ("d.json", 0)]
     flat = chunks.flatten(rows)
     assert io.read_chunks(spark, f"{tmp_path}/chunks") is None
     for _ in range(2):  # replaced, not added to
