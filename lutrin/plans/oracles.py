@@ -108,6 +108,11 @@ EXTRACTS = f"(select doc_id, start, concat('Décret de ', length(chunk), ' signe
 LIVING = "living as (select * from documents anti join (select doc_id from labels where toxic = 1) using (doc_id))"
 
 ORACLE_SQL: dict[str, str] = {
+    "written_pages": "select concat(page_id, '.txt') as source, html as text from pages",
+    "page_source": "select concat(page_id, '.txt') as source, i::bigint as page_no, l[i + 1] as text from (select page_id, string_split(html, chr(10)) as l, unnest([1, 2]) as i from pages) where i < len(l)",
+    "ingested_pages": rf"select concat(page_id, '.txt') as source_file, {strip(rf"regexp_replace(regexp_replace(regexp_replace(html, '\r\n?', chr(10), 'g'), '\n+', chr(10), 'g'), '[\x{{10000}}-\x{{10FFFF}}]+', ' ', 'g')")} as cleaned from pages",
+    "substring_hits": "select doc_id as chunk_id, substr(text, 1, 150) as excerpt from documents where contains(text, 'tion on')",
+    "remembered_calls": "select conv_id, turn, case when contains(text, '?') then null else concat('SCORE: ', length(text) % 11) end as answer, case when contains(text, '?') then 'ValueError: a question' end as error from conversations",
     "vector_index_all": f"with {nearest('b.vec_id % 100 = 0')} select * from vector",
     "vector_index_recall": "select ((select count(*) from embeddings where vec_id % 100 = 0) * least(10, count(*)))::bigint as pairs, true as recalled from embeddings",
     "bm25_upkeep": f"with {LIVING}, {BM25.replace('from documents', 'from living')} select query_id, chunk_id, score, rank from keyword",

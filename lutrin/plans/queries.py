@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import bm25, chunks, context, diagnostics, evaluate, fusion, layout, providers, search, segment, sizes, vector, vector_index, windows
-from ..sources import collection, io
+from ..operators import bm25, calls, chunks, context, diagnostics, evaluate, fusion, layout, providers, search, segment, sizes, substring_index, vector, vector_index, windows
+from ..sources import collection, files, io
+from ..streaming import ingest
 from . import golden
 
 #: A gazette made around each document, with all headings and branches; the whole text is an article and a preamble. Plain SQL of both engines.
@@ -340,6 +341,69 @@ def ocr_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.join_ocr_pages(pages.select("source", (F.col("pos") + 1).alias("page_no"), "text"))
 
 
+def _page_files(spark: SparkSession, sf_dir: str) -> str:
+    """A new folder with a file for each page."""
+    path = f"{io.temporary(spark)}/pages"
+    io.write_texts(table(spark, sf_dir, "pages").select(F.concat(F.col("page_id").cast("string"), F.lit(".pdf")).alias("source"), F.col("html").alias("text")), path, named=True)
+    return path
+
+
+def written_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as files by name, and read back."""
+    return io.read_texts(spark, _page_files(spark, sf_dir))
+
+
+class Lines:
+    """Files whose pages are their lines."""
+
+    def count(self, content: bytes) -> int:
+        return content.count(b"\n") + 1
+
+    def rows(self, content: bytes, page: int) -> list[tuple]:
+        return [(content.split(b"\n")[page].decode(),)]
+
+
+def page_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of files as a source: of all files the second line and the third."""
+    files.register(spark, files.page_source("lutrin_lines", "text string", Lines(), suffix=".txt"))
+    rows = spark.read.format("lutrin_lines").load(_page_files(spark, sf_dir)).where("page_no between 1 and 2")
+    return rows.select("source", F.col("page_no").cast("long").alias("page_no"), "text")
+
+
+def ingested_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files taken in as a stream, cleaned, into a collection; then once more from the start, which changes nothing."""
+    folder, out, done = _page_files(spark, sf_dir), io.temporary(spark), io.temporary(spark)
+    for _ in range(2):
+        step = lambda df: df.select(F.col("source").alias("source_file"), X.clean("text").alias("cleaned"))
+        ingest.ingest(spark, folder, out, f"{done}/log", step).awaitTermination()
+    return collection.read(spark, out)
+
+
+def substring_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw search by a new index of trigrams, of which only the rare ones' texts are read."""
+    index = substring_index.build(corpus(spark, sf_dir), io.temporary(spark))
+    return diagnostics.raw_search(substring_index.search(index, "tion on"), "tion on", "chunk_id")
+
+
+def _failing() -> providers.Generate:
+    """A stand-in for a model that can't answer questions."""
+
+    def answer(prompts: list[str]) -> list[str]:
+        if any("?" in p for p in prompts):
+            raise ValueError("a question")
+        return providers.stub_generator()(prompts)
+
+    return answer
+
+
+def remembered_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations as prompts, each different one asked once; then all of them again, which asks none."""
+    rows, path = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("prompt")), io.temporary(spark)
+    for _ in range(2):
+        found = calls.ask(rows, path, "stand-in", _failing)
+    return found.select("conv_id", "turn", "answer", "error")
+
+
 def stub_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embedding and generation through the provider interface, with the deterministic stand-ins."""
     rows = providers.embed(corpus(spark, sf_dir))
@@ -354,4 +418,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "search_answers": search_answers, "answer_eval": answer_eval, "answer_mean": answer_mean, "embed_questions": embed_questions, "llm_segment": llm_segment, "extract_counts": extract_counts,
     "chunk_counts": chunk_counts, "source_counts": source_counts, "match_count": match_count, "golden_tables": golden_tables, "golden_search": golden_search,
     "vector_index_all": vector_index_all, "vector_index_recall": vector_index_recall, "bm25_upkeep": bm25_upkeep, "collection_upkeep": collection_upkeep,
+    "written_pages": written_pages, "page_source": page_source, "ingested_pages": ingested_pages, "substring_hits": substring_hits, "remembered_calls": remembered_calls,
 }

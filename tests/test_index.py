@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lutrin.operators import bm25, chunks, segment, vector, vector_index
+from lutrin.operators import bm25, chunks, segment, substring_index, vector, vector_index
 from lutrin.sources import collection, snapshots
 from lutrin.streaming import ingest
 
@@ -169,3 +169,17 @@ def test_intake_once(spark, tmp_path):
     assert {(r.query_id, r.chunk_id) for r in bm25.search(bm25.read(spark, index), asked, positive=False).collect()} >= {(0, "0.txt_doc_0_art_0"), (2, "1.txt_doc_0_art_0")}
     assert bm25.read(spark, index).stats.first().n == 8 == collection.read(spark, out).count()
     assert not bm25.search(bm25.read(spark, index), asked.where("query_id = 1"), positive=False).count()
+
+
+def test_substrings(spark, tmp_path):
+    """Rows of a plain search, of few texts: short patterns, none, letters beyond the first plane, null and repeated rows."""
+    r = random.Random(8)
+    rows = [(i, "".join(r.choices("abcdefghij \U0001f600é", k=r.randint(0, 60)))) for i in range(600)] + [(600, None), (601, "needle in it"), (601, "a needle"), (602, "nee edl dle")]
+    corpus = spark.createDataFrame(rows, DOCUMENT).repartition(3)
+    index = substring_index.build(corpus, f"{tmp_path}/s")
+    for pattern in ("needle", "abc", "\U0001f600\U0001f600a", "é a", "ab", "a", "", "zzz", "needle in it "):
+        got = sorted(tuple(x) for x in substring_index.search(index, pattern).collect())
+        assert got == sorted(x for x in rows if x[1] is not None and pattern in x[1]), pattern
+    assert substring_index.candidates(index, "needle").count() == 1 < index.texts.where(F.col("document").contains("e")).count()
+    none = substring_index.build(corpus.limit(0), f"{tmp_path}/none")
+    assert substring_index.search(none, "abc").count() == 0 == substring_index.search(none, "a").count()

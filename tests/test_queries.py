@@ -15,7 +15,7 @@ def test_rows(spark, name):
         assert len(ours)
         return
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "embeddings", "labels", "conversations"):
+    for t in ("documents", "benchmark", "embeddings", "labels", "conversations", "pages"):
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     theirs = con.sql(ORACLE_SQL[name]).df()
     names = sorted(ours.columns)
