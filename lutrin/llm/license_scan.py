@@ -89,7 +89,27 @@ TEMPLATES = [
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC0-1.0", "SPDX-License-Identifier: CC0-1.0"),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-1.0", "This work is licensed under the GNU General Public License, version 1."),
+    ("LGPL-2.1", "This library is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("EPL-2.0", "SPDX-License-Identifier: EPL-2.0"),
+    ("EPL-1.0", "All rights reserved. This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html"),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"),
+    ("Zlib", "SPDX-License-Identifier: Zlib"),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("BSL-1.0", "SPDX-License-Identifier: BSL-1.0"),
+    ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED"),
+    ("0BSD", "SPDX-License-Identifier: 0BSD"),
+    ("CC-BY-3.0", "Licensed under CC BY 3.0."),
+    ("CC-BY-SA-3.0", "Licensed under CC BY-SA 3.0."),
 ]
+#: Words that part one licence from its kin, which a notice must have all of and no others of. So must it the version's number.
+KIN = {"lesser", "affero", "sharealike", "noncommercial", "noderivatives", "sa", "nc", "nd", "bsd", "0bsd"}
+VERSION = re.compile(r"v?[0-9](?:\.[0-9]+)*")
+#: A notice of so few words must be a clause of its own.
+FEW_WORDS = 3
 #: Texts without any of this have no stretch like a template.
 SPEAKS = r"(?i)licen[cs]|copyright|rights\W+reserved|redistribut|spdx|public\W+domain|permission\W+(?:is|to)\W"
 WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
@@ -104,6 +124,9 @@ class Matcher:
     def __init__(self, templates: list[tuple[str, str]]):
         words = [WORD.findall(x.lower()) for _, x in templates]
         self.names = [x for x, _ in templates]
+        self.versions = [{x for x in w if VERSION.fullmatch(x)} for w in words]
+        self.kin = [KIN.intersection(w) for w in words]
+        self.clause = {i: re.compile(r"\W+".join(w) + r"[^\S\n]*(?:[.;!|)*/\n]|\Z)") for i, w in enumerate(words) if len(w) <= FEW_WORDS}
         self.sizes = list(map(len, words))
         self.number = {w: i + 1 for i, w in enumerate(sorted({w for x in words for w in x}))}
         found = Counter(w for x in words for w in set(x))
@@ -160,12 +183,20 @@ class Matcher:
             if cosine[i] >= threshold:
                 yield k, float(cosine[i]), i, n
 
+    def _means(self, k: int, words: list[str], a: int, b: int) -> bool:
+        """Whether a stretch (or a word or two around it) has the template's version, and it has the template's words of KIN and no others."""
+        return self.versions[k] <= set(words[max(0, a - 2) : b + 2]) and self.kin[k] == KIN.intersection(words[a:b])
+
     def licence(self, text: str, threshold: float) -> tuple[str | None, float | None]:
         """The licence that most is found of (ties: the first in the templates' order), and the similarity of its best template.
 
         A template doesn't count where one of another licence is more similar to half of its stretch.
         """
+        low = text.lower()
         found = self.best(text, threshold)
+        if found:
+            words = WORD.findall(low)
+            found = [(k, x, a, b) for k, x, a, b in found if self._means(k, words, a, b) and (k not in self.clause or self.clause[k].search(low))]
         said: dict[str, float] = {}
         most: dict[str, float] = {}
         for k, x, a, b in found:

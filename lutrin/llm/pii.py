@@ -108,8 +108,8 @@ FORMS = re.compile(
 |(?P<dmy>(?<![0-9./-])(?P<da>[0-9]{2})(?P<ds>[-/.])(?P<db>[0-9]{2})(?P=ds)(?P<dy>[0-9]{4})(?![0-9]))
 |(?P<ssn>(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-]))
 |(?P<ip>(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9]))
-|(?P<card>(?<![A-Za-z0-9.-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z]))
-|(?P<phone>(?<![A-Za-z0-9])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-][0-9]{3,4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4})(?![0-9A-Za-z])|(?<![A-Za-z0-9])\+[0-9]{1,3}[ .-]?[0-9]{1,4}(?:[ .-]?[0-9]{2,4}){1,5}(?![0-9A-Za-z]))""",
+|(?P<card>(?<![A-Za-z0-9.-])(?!00)[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z]))
+|(?P<phone>(?<![A-Za-z0-9.,+-])(?:00[1-9][0-9]{0,2}(?:[ .-][0-9]{1,4}){2,6}|0[1-9](?:[ .-][0-9]{2}){4}|0[1-9][0-9]{1,3}[ /-][0-9]{5,8})(?![0-9A-Za-z])|(?<![A-Za-z0-9])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-][0-9]{3,4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4})(?![0-9A-Za-z])|(?<![A-Za-z0-9])\+[0-9]{1,3}[ .-]?[0-9]{1,4}(?:[ .-]?[0-9]{2,4}){1,5}(?![0-9A-Za-z]))""",
     re.VERBOSE,
 )
 #: Country codes of two digits; 1 and 7 have one, all others three.
@@ -150,11 +150,12 @@ class Pseudonyms:
                 day = _date(x, (m["dy"], m["da"], m["db"]))
             if day is None:
                 return None
-            # Days that read the same in either order are permuted among themselves, so that the order stays readable.
+            # Days that read the same in either order are permuted among themselves, so that the order stays readable; in every form alike, so
+            # that equal dates stay so.
             new = day
             while True:
                 new = datetime.date.fromordinal(FIRST_DAY + f.permute(new.toordinal() - FIRST_DAY, DAYS, b"date", inverse))
-                if kind == "iso" or (new.day > 12) == (day.day > 12):
+                if (new.day > 12) == (day.day > 12):
                     break
             sep = m["is"] if kind == "iso" else m["ds"]
             if kind == "iso":
@@ -171,6 +172,8 @@ class Pseudonyms:
             if not 13 <= len(flat) <= 19 or luhn(flat) or len(set(flat)) == 1:
                 return None
             new = f.text(flat[:-1], tweak, inverse)
+            while new[:2] == "00":  # that begins a number abroad
+                new = f.text(new, tweak, inverse)
             return refill(x, new + str(-luhn(new + "0") % 10))
         if kind == "ssn":
             area, group, serial = map(int, x.split("-"))
@@ -180,11 +183,17 @@ class Pseudonyms:
             area, group, serial = n // 9999 // 99 + 1, n // 9999 % 99 + 1, n % 9999 + 1
             return f"{area + (area >= 666):03d}-{group:02d}-{serial:04d}"
         flat = re.sub("[^0-9]", "", x)
-        code = 0 if x[0] != "+" else 1 if flat[0] in "17" else 2 if flat[:2] in TWO_DIGIT_CODES else 3
+        # What stays: a country's code, with + or 00 before it, or the 0 that stands for it within the country.
+        abroad = flat[2:] if flat[:2] == "00" else flat if x[0] == "+" else ""
+        code = len(flat) - len(abroad) + (1 if abroad[0] in "17" else 2 if abroad[:2] in TWO_DIGIT_CODES else 3) if abroad else int(flat[0] == "0")
         size = len(flat) - code
         if not 7 <= size <= 15:
             return None
-        return refill(x, f"{flat[:code]}{f.permute(int(flat[code:]), 10**size, b'phone%d' % size, inverse):0{size}d}")
+        n = int(flat[code:])
+        while True:  # a number that begins with 0 keeps doing so, and another doesn't begin to
+            n = f.permute(n, 10**size, b"phone%d" % size, inverse)
+            if (n < 10 ** (size - 1)) == (flat[code] == "0"):
+                return refill(x, f"{flat[:code]}{n:0{size}d}")
 
     def _cased(self, x: str, tweak: bytes, inverse: bool) -> str:
         """Letters are permuted as lower-case ones and written in the case of those at their places."""

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.types import StructField, StructType
 
-from .common import NOT_PLAIN, chunks, letters_digits, others
+from .common import NOT_PLAIN, chunks, letters_digits, others, small
 
 KEPT_WORDS = 300_000
 ROW_GROUP_BYTES, PAGE_BYTES = 16 << 20, 256 << 10
@@ -107,12 +107,12 @@ def tokenizer_of(spec: str) -> WordTokenizer:
     return WordTokenizer(spec)
 
 
-def write_tokens(df: DataFrame, vocabulary: str, path: str, doc_id: str = "doc_id", text: str = "text", end_id: int = 2, files: int | None = None) -> None:
+def write_tokens(df: DataFrame, vocabulary: str, path: str, doc_id: str = "doc_id", text: str = "text", end_id: int = 2, files: int | None = None, file_bytes: int = FILE_BYTES) -> None:
     """Write the ids of each text, with ``end_id`` appended, at ``path`` in ascending order of doc_id (``tokens``, ``index``).
 
     vocabulary: a file of the tokenizers library, sent from the driver. Null and empty texts have the end id only. Null doc_ids
     come first; rows of one doc_id are ordered by their first DEALT_CHARACTERS, and within a file by text. Repeated rows are all written. An empty table gives empty files. Other columns
-    aren't written. files: by default one for each FILE_BYTES of input. Rows of one doc_id, or equal ones, may lie in several files.
+    aren't written. files: by default one for each file_bytes of input (16 MB; some 256 MB are better where the input has many terabytes). Rows of one doc_id, or equal ones, may lie in several files.
     """
     spark = df.sparkSession
     spec = spark.sparkContext.broadcast(open(vocabulary, encoding="utf-8").read())
@@ -121,7 +121,7 @@ def write_tokens(df: DataFrame, vocabulary: str, path: str, doc_id: str = "doc_i
         size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
         if size >= UNKNOWN_BYTES:
             size = own.agg(F.sum(F.octet_length("t") + 64)).first()[0] or 0
-        files = max(1, -(-size // FILE_BYTES))
+        files = max(1, -(-size // file_bytes))
     # The last key parts rows that are alike in the others; in which order they come makes no difference.
     dealt = own.withColumn("first", F.substring("t", 1, DEALT_CHARACTERS)).withColumn("row", F.monotonically_increasing_id())
     placed = dealt.repartitionByRange(files, F.col("doc_id").asc_nulls_first(), "first", "row").drop("first", "row")
@@ -154,7 +154,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """
     tokens = spark.read.schema(SCHEMA).parquet(f"{path}/tokens")
     index = spark.read.schema("shard int, shard_tokens long, before long").parquet(f"{path}/index").select("shard", "before")
-    return tokens.join(F.broadcast(index), "shard").select("doc_id", (F.col("before") + F.col("shard_start")).alias("start"), "n_tokens", "ids")
+    return tokens.join(small(index), "shard").select("doc_id", (F.col("before") + F.col("shard_start")).alias("start"), "n_tokens", "ids")
 
 
 def checksums(df: DataFrame, ids: str = "ids", name: str = "ids_crc32") -> DataFrame:
