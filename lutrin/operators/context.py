@@ -14,6 +14,7 @@ SEGMENT = "Sépare les textes juridiques et rends chacun ainsi, sans rien change
 
 
 def fill(template: str, **values: Column) -> Column:
+    """A template with values in the places of their names; null where one of them is null."""
     parts, rest = [], template
     while "{" in rest:
         before, _, rest = rest.partition("{")
@@ -23,8 +24,8 @@ def fill(template: str, **values: Column) -> Column:
 
 
 def contexts(ranked: DataFrame, chunks: DataFrame, k: int = 3, evaluation: bool = False) -> DataFrame:
-    """(query_id, context) of the best k chunks; the text is joined after the ranking."""
-    rows = ranked.where(F.col("rank") <= k).join(chunks, "chunk_id")
+    """(query_id, context) of the best k chunks; the text is joined after the ranking. Null texts are empty, and have their place."""
+    rows = ranked.where(F.col("rank") <= k).join(chunks, "chunk_id").withColumn("document", F.coalesce("document", F.lit("")))
     n = F.col("rank").cast("string")
     if evaluation:
         item, separator = F.concat(F.lit("--- DOCUMENT "), n, F.lit(" ---\n"), "document"), "\n\n"

@@ -37,7 +37,7 @@ def reading_order(blocks: DataFrame) -> DataFrame:
 
 
 def join_ocr_pages(pages: DataFrame) -> DataFrame:
-    """(source, text) of recognised pages (source, page_no, text): a header, the text and a rule for each page after the cover."""
-    part = F.concat(F.lit("--- Page "), F.col("page_no").cast("string"), F.lit(" ---\n"), "text", F.lit("\n\n" + "=" * 50 + "\n"))
+    """(source, text) of recognised pages (source, page_no, text): a header, the text and a rule for each page after the cover; a null text is empty."""
+    part = F.concat(F.lit("--- Page "), F.col("page_no").cast("string"), F.lit(" ---\n"), F.coalesce("text", F.lit("")), F.lit("\n\n" + "=" * 50 + "\n"))
     each = pages.where("page_no >= 2").select("source", F.struct("page_no", part.alias("t")).alias("p"))
     return each.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda x: x["t"]), "\n").alias("text"))

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collection, files
+from . import collection, files, snapshots
 
 BLOCKS = "source string, page_no int, page_width double, block_no int, x0 double, y0 double, x1 double, y1 double, text string, block_type int"
 OCR_PAGES = "source string, page_no int, text string"
@@ -68,9 +68,7 @@ def once(spark: SparkSession, path: str, write: Callable[[str], object]) -> str:
     if not system.exists(where):
         made = f"{path}-{uuid.uuid4().hex}"
         write(made)
-        other = _place(spark, made)[1]
-        if not system.rename(other, where):  # another session was faster
-            system.delete(other, True)
+        snapshots.rename(spark, made, path)  # unless another session was faster
     return path
 
 

@@ -53,17 +53,24 @@ def commit(spark: SparkSession, path: str, content: dict, version: int) -> dict:
     stream = system.create(made, True)
     stream.write(bytearray(json.dumps(content).encode()))
     stream.close()
-    jvm = spark._jvm
-    _, final = _path(spark, f"{path}/{FOLDER}/{version:010d}.json")
-    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(system.getUri(), spark._jsc.hadoopConfiguration())
+    if not rename(spark, made.toString(), f"{path}/{FOLDER}/{version:010d}.json"):
+        raise Conflict(f"{path}: version {version} is there already")
+    return content
+
+
+def rename(spark: SparkSession, made: str, final: str) -> bool:
+    """Move a file or folder to a path that must be free; if it isn't, what was made is deleted."""
+    system, source = _path(spark, made)
+    target = _path(spark, final)[1]
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(system.getUri(), spark._jsc.hadoopConfiguration())
     try:
-        context.rename(made, final, spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0))
-    except Exception as e:
-        system.delete(made, False)
-        if system.exists(final):
-            raise Conflict(f"{path}: version {version} is there already") from e
+        context.rename(source, target, spark.sparkContext._gateway.new_array(getattr(spark._jvm.org.apache.hadoop.fs, "Options$Rename"), 0))
+        return True
+    except Exception:
+        system.delete(source, True)
+        if system.exists(target):
+            return False
         raise
-    return content
 
 
 def part(kind: str) -> str:
