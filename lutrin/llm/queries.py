@@ -116,8 +116,51 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ITEM_WORDS = rf"regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+def merkle_sql(levels: int = 7, above: int = 3) -> str:
+    """The manifest level by level: up to 8 to the power of ``levels`` rows a tree, of ``above`` trees."""
+    table = "list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end, i))"
+    crc = "xor(4294967295, list_reduce(list_transform(range(len(doc_id::varchar)), lambda k: ascii((doc_id::varchar)[k + 1])::bigint), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8), 4294967295))"
+    mark = lambda x: f"coalesce(concat(strlen({x}::varchar), ':', {x}::varchar), '-')"
+    leaf = lambda text: "sha256(concat(" + ", ".join(mark(x) for x in ("doc_id", "source", "lang", "n_chars", text)) + "))"
+    low = f"case when doc_id is not null and {crc} % 3 = 0 then translate(text, '{CAPITALS}', '{CAPITALS.lower()}') else text end"
+    parts = [f"crc as materialized (select {table} as t)", f"rows_ as (select doc_id, coalesce('=' || lang, '') as g, {leaf('text')} as leaf, {leaf('copy')} as seen from (select *, {low} as copy from documents, crc))", "a0 as (select *, leaf as h, row_number() over (partition by g order by doc_id nulls first, leaf) - 1 as pos, count(*) over (partition by g) as n from rows_)"]
+
+    def climb(name: str, steps: int) -> None:
+        for k in range(steps):
+            parts.append(f"{name}run{k} as (select g, pos // 8 as p, any_value(n) as n, list(h order by pos) as hs from {name}{k} where n > 1 group by all)")
+            parts.append(f"{name}{k + 1} as (select g, p as pos, sha256(array_to_string(hs, '')) as h, (n + 7) // 8 as n from {name}run{k})")
+
+    climb("a", levels)
+    parts.append("subs as (" + " union all ".join(f"select g, h from a{k} where n = 1" for k in range(levels + 1)) + ")")
+    parts.append("b0 as (select '' as g, g as tree, h, row_number() over (order by g) - 1 as pos, count(*) over () as n from subs)")
+    climb("b", above)
+    parts.append("top as (" + " union all ".join(f"select h from b{k} where n = 1" for k in range(above + 1)) + ")")
+    parts.append("s0 as (select doc_id, leaf, g, pos, seen as h, '' as proof from a0)")
+
+    def fold(name: str, out: str, runs: str, steps: int, key: str) -> str:
+        for k in range(steps):
+            before, after = f"coalesce(array_to_string(hs[:pos % 8], ''), '')", f"coalesce(array_to_string(hs[pos % 8 + 2:], ''), '')"  # noqa: F541
+            parts.append(f"{out}{k + 1} as (select s.* exclude (pos, h, proof), case when hs is null then pos else pos // 8 end as pos, case when hs is null then h else sha256({before} || h || {after}) end as h, proof || {before} || {after} as proof from {name} s left join {runs}run{k} r on r.g = {key} and r.p = s.pos // 8)")
+            name = f"{out}{k + 1}"
+        return name
+
+    last = fold("s0", "s", "a", levels, "s.g")
+    parts.append(f"u0 as (select x.* exclude (pos), b0.pos as pos, b0.h as subroot from {last} x join b0 on b0.tree = x.g)")
+    last = fold("u0", "u", "b", above, "''")
+    return f"with {', '.join(parts)} select doc_id, leaf, subroot, (select h from top) as root, sha256(proof) as proof_sha256, x.h as folded_root, x.h = (select h from top) as verified from {last} x"
+
+
 #: DuckDB SQL of the queries that it can express: windows of words as strings, over whole tables.
 ORACLE_SQL: dict[str, str] = {
+    "op13_ngram_jaccard": rf"""with recursive d as (select doc_id, row_number() over () as r, regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+') as w from documents),
+s as materialized (select distinct r, array_to_string(w[k:k + 2], ' ') as x from (select r, w, unnest(range(1, greatest(2, len(w) - 1))) as k from d where len(w) > 0)),
+n as materialized (select r, count(*) as n from s group by r),
+alike as materialized (select a.r as a, b.r as b from s a join s b using (x) join n na on na.r = a.r join n nb on nb.r = b.r where a.r <> b.r and 100 * na.n >= 90 * nb.n and 100 * nb.n >= 90 * na.n group by a.r, b.r, na.n, nb.n having 100 * count(*) >= 90 * (na.n + nb.n - count(*))),
+reached as (select r, r as x from d union select reached.r, alike.b from reached join alike on alike.a = reached.x)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, min(o.doc_id) as component_id from d left join n using (r) join reached using (r) join d o on o.r = reached.x group by d.r, d.doc_id, n.n""",
+    "op12_merkle_manifest": merkle_sql(),
     "op5_decontamination": f"""with d as (select doc_id, row_number() over () as r, {ITEM_WORDS} as w from documents), b as (select item_id::varchar as item, {ITEM_WORDS} as w from benchmark),
 phrases as (select distinct item, n, array_to_string(w[k:k + n - 1], ' ') as x from (select item, w, least(10, len(w)) as n, unnest(range(1, greatest(2, len(w) - 8))) as k from b where len(w) > 0)),
 places as (select r, n, k, array_to_string(w[k:k + n - 1], ' ') as x from (select r, w, n, unnest(range(1, len(w) - n + 2)) as k from d, (select distinct n from phrases) where len(w) >= n)),
