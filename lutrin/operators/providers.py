@@ -6,6 +6,8 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
+from pyspark.resource import ResourceProfile
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,6 +57,30 @@ def embed(df: DataFrame, make: Callable[[], Embed] = stub_embedder, text: str =
     return df.withColumn("embedding", run(F.col(text)))
 
 
+def embed_each(df: DataFrame, make: Callable[[], Embed] = stub_embedder, text: str = "document", batch: int = 64, profile: ResourceProfile | None = None) -> DataFrame:
+    """df with ``embedding`` (array of float) as ``embed`` makes it, each different text embedded once; null text as empty.
+
+    Texts are known by 128 bits of their SHA-256 (which joins the vectors to the rows; a text that many rows have is one row of that side).
+    A task gives its model ``batch`` texts at a time, those of like length together, as models pad them to the longest. profile: what executors of this
+    stage need (GPUs, memory), if that is other than elsewhere; the pool is then theirs alone.
+    """
+    digest = F.substring(F.sha2(F.coalesce(F.col(text), F.lit("")), 256), 1, 32)
+    rows = df.withColumn("__text", digest)
+    one = rows.groupBy("__text").agg(F.first(F.coalesce(F.col(text), F.lit(""))).alias("t"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = make()
+        for rows in batches:
+            for at in range(0, rows.num_rows, batch):
+                part = rows.slice(at, batch)
+                vectors = pa.array(model(part.column("t").to_pylist()), pa.list_(pa.float32()))
+                yield pa.RecordBatch.from_arrays([part.column("__text"), vectors], names=["__text", "embedding"])
+
+    by_length = one.sortWithinPartitions(F.length("t"), "__text")
+    made = by_length.mapInArrow(run, "__text string, embedding array<float>", profile=profile)
+    return rows.drop("embedding").join(made, "__text").drop("__text")
+
+
 def generate(prompt: Column, make: Callable[[], Generate] = stub_generator, failed: str = "") -> Column:
     """The model's answer to each prompt; a prompt that is null has none, and one whose call fails gives ``failed``.
 

@@ -27,6 +27,8 @@ TOKENS = f"tokens as materialized (select doc_id as chunk_id, {tokens('text')} a
 STATS = f"{TOKENS}, size as (select count(*) as n, avg(dl) as avgdl from dl), raw as (select term, count(*) as df, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) as idf0 from postings, size group by term), mean as (select avg(idf0) as avg_idf from raw), vocabulary as (select term, df, case when idf0 >= 0 then idf0 else 0.25 * avg_idf end as idf from raw, mean)"
 GOLDEN = "(select * from (values " + ", ".join(f"({i}::bigint, '" + q.replace("'", "''") + "')" for i, (q, _) in enumerate(golden.RETRIEVAL)) + ") t(item_id, text))"
 
+ANSWERS = "(select * from (values " + ", ".join("(" + f"{i}::bigint, " + ", ".join("'" + y.replace("'", "''") + "'" for y in (x[0], x[2])) + ")" for i, x in enumerate(golden.ANSWERS)) + ") t(item_id, text, expected))"
+
 
 def bm25(asked: str) -> str:
     return f"""{STATS}, terms as (select query_id, term, count(*) as qtf from (select item_id as query_id, unnest({tokens('text')}) as term from {asked}) group by all),
@@ -164,7 +166,14 @@ select source, pos, header, before, contains(before, 'vu le') or contains(before
     "extract_counts": f"select doc_id, coalesce(n, 0)::bigint as extracts from documents left join (select doc_id, count(*) as n from {EXTRACTS} group by doc_id) using (doc_id)",
     "chunk_counts": f"with {SECTIONS} select 'parent' as type, count(*) as chunks from context having count(*) > 0 union all select 'child', count(*) from articles having count(*) > 0",
     "source_counts": f"with {SECTIONS} select source_file, coalesce(n, 0)::bigint as total_documents from gazette left join (select source_file, count(*) as n from docs group by source_file) using (source_file)",
-    "golden_tables": "select * from (values ('F2025010.json', 5::bigint, 6::bigint), ('F2025009.json', 4, 6), ('F2025008.json', 4, 0), ('F2025007.json', 5, 6), ('F2025006.json', 4, 0), ('F2025005.json', 3, 0)) t(expected_doc_id, questions, answers)",
+    "golden_tables": f"""with {bm25(GOLDEN)}, files as (select * from (values {', '.join(f"({i}::bigint, '{x[1]}')" for i, x in enumerate(golden.RETRIEVAL))}) t(query_id, expected_doc_id)),
+found as (select expected_doc_id, count(chunk_id) as hits from files left join keyword using (query_id) group by 1)
+select expected_doc_id, questions, answers, hits::bigint as hits from (values ('F2025010.json', 5::bigint, 6::bigint), ('F2025009.json', 4, 6), ('F2025008.json', 4, 0), ('F2025007.json', 5, 6), ('F2025006.json', 4, 0), ('F2025005.json', 3, 0)) t(expected_doc_id, questions, answers) join found using (expected_doc_id)""",
+    "golden_answers": f"""with {bm25(ANSWERS)}, top as (select * from keyword where rank <= 3), {SHORT}, golden as {ANSWERS},
+asked as (select item_id as query_id, text as query, expected, {filled(context.ANSWER, context="context", query="text")} as prompt from golden left join found on query_id = item_id),
+answered as (select query_id, query, expected, coalesce('SCORE: ' || (length(prompt) % 11), {QUOTED["NOT_IN_CONTEXT"]}) as answer from asked)
+select query_id, answer, (length({filled(context.JUDGE, query="query", expected="expected", answer="answer")}) % 11)::bigint as score from answered""",
+    "embedded_turns": f"select conv_id, turn, len(v)::bigint as size, round(v[1] / n, 5) as first, round(v[64] / n, 5) as last from (select *, sqrt(list_sum(list_transform(v, lambda x: x * x))) as n from (select conv_id, turn, {STUB} as v from (select conv_id, turn, sha256('0|' || t) || sha256('1|' || t) as h from (select *, coalesce(text, '') as t from conversations))))",
     "golden_search": f"with {bm25(GOLDEN)} select query_id, chunk_id, score, rank from keyword",
     "match_count": "select count(*) filter (where contains(text, 'the')) as matches from documents",
 }

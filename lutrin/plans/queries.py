@@ -308,9 +308,11 @@ def source_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def golden_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many golden questions each file answers, and how many of them have an answer to compare with."""
-    rows = golden.retrieval(spark).withColumn("answered", F.lit(0)).unionByName(golden.answers(spark).withColumn("answered", F.lit(1)).drop("expected_answer"))
-    return rows.groupBy("expected_doc_id").agg(F.count_if(F.col("answered") == 0).alias("questions"), F.count_if(F.col("answered") == 1).alias("answers"))
+    """How many golden questions each file answers, how many of them have an answer to compare with, and how many documents the first kind finds."""
+    asked = golden.retrieval(spark)
+    hits = bm25.search(index(spark, sf_dir), asked.select("query_id", "query")).groupBy("query_id").agg(F.count("*").alias("hits"))
+    rows = asked.join(hits, "query_id", "left").withColumn("answered", F.lit(0)).unionByName(golden.answers(spark).withColumn("answered", F.lit(1)).withColumn("hits", F.lit(0)).drop("expected_answer"))
+    return rows.groupBy("expected_doc_id").agg(F.count_if(F.col("answered") == 0).alias("questions"), F.count_if(F.col("answered") == 1).alias("answers"), F.coalesce(F.sum("hits"), F.lit(0)).alias("hits"))
 
 
 def golden_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -341,6 +343,22 @@ def ocr_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.join_ocr_pages(pages.select("source", (F.col("pos") + 1).alias("page_no"), "text"))
 
 
+def embedded_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stand-in's vectors of all turns of conversations, each different text embedded once."""
+    rows = providers.embed_each(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), text="text")
+    number = lambda i: F.round(F.col("embedding")[i].cast("double"), 5)
+    return rows.select("conv_id", "turn", F.size("embedding").cast("long").alias("size"), number(0).alias("first"), number(63).alias("last"))
+
+
+def golden_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The golden questions answered from the documents that their words find, and what a judge makes of the expected answers beside them, with the
+    stand-in for both models."""
+    asked = golden.answers(spark)
+    found = bm25.search(index(spark, sf_dir), asked.select("query_id", "query"), 3)
+    answered = search.answers(asked.select("query_id", "query"), found, _titled(spark, sf_dir), evaluation=True)
+    return search.judged(asked, answered).select("query_id", "answer", "score")
+
+
 def _page_files(spark: SparkSession, sf_dir: str) -> str:
     """A new folder with a file for each page."""
     path = f"{io.temporary(spark)}/pages"
@@ -419,4 +437,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "chunk_counts": chunk_counts, "source_counts": source_counts, "match_count": match_count, "golden_tables": golden_tables, "golden_search": golden_search,
     "vector_index_all": vector_index_all, "vector_index_recall": vector_index_recall, "bm25_upkeep": bm25_upkeep, "collection_upkeep": collection_upkeep,
     "written_pages": written_pages, "page_source": page_source, "ingested_pages": ingested_pages, "substring_hits": substring_hits, "remembered_calls": remembered_calls,
+    "embedded_turns": embedded_turns, "golden_answers": golden_answers,
 }

@@ -139,3 +139,25 @@ def test_each_prompt_is_asked_once(spark, tmp_path):
     assert calls.ask(more, path, "n", Model(folder)).where("i = 0").first().answer == "P1" and len(asked()) > count
     assert calls.ask(more.limit(0), str(tmp_path / "none"), "m", Model(folder)).count() == 0
     assert json.dumps(got)
+
+
+def test_each_text_is_embedded_once(spark, tmp_path):
+    folder = str(tmp_path)
+
+    def make():
+        def embed(texts):
+            with open(f"{folder}/{os.getpid()}", "a") as out:
+                out.writelines(f"{t}|\n" for t in texts)
+            return [[float(len(t)), 1.0] for t in texts]
+
+        return embed
+
+    texts = ["a", "bb", None, "a", "", "ccc", "a"] * 9 + [f"t{i}" for i in range(30)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, document string").repartition(3)
+    got = {r.i: r.embedding for r in providers.embed_each(rows, make, batch=4).collect()}
+    assert got == {i: [float(len(t or "")), 1.0] for i, t in enumerate(texts)} == {r.i: r.embedding for r in providers.embed(rows, make).collect()}
+    for x in tmp_path.iterdir():
+        x.unlink()
+    assert providers.embed_each(rows, make, batch=4).agg(F.sum(F.col("embedding")[1])).first()[0] == len(texts)
+    asked = [y for x in tmp_path.iterdir() for y in x.read_text().split("\n")[:-1]]
+    assert len(set(asked)) == 34 and max(map(asked.count, set(asked))) == 1
