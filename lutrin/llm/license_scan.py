@@ -119,7 +119,7 @@ PART_WORDS = 20_000
 
 
 class Matcher:
-    """The templates' vectors, and the best stretch of a text for each."""
+    """The templates' vectors, and the best stretch of a text for each. Empty texts have none; of equal stretches the first counts."""
 
     def __init__(self, templates: list[tuple[str, str]]):
         words = [WORD.findall(x.lower()) for _, x in templates]

@@ -163,7 +163,11 @@ def _part(context: Column | np.ndarray, parts: int):
 
 
 def train(df: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
-    """Tables of the counts of byte sequences (gram, c) and of words (word, c) over all rows."""
+    """Tables of the counts of byte sequences (gram, c) and of words (word, c) over all rows.
+
+    Null and empty texts count as an end alone; repeated rows count as often as they are there; other columns aren't looked at. An empty table gives
+    empty tables.
+    """
     base = df.select(F.col(text).alias("t"))
 
     def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

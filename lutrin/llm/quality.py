@@ -114,7 +114,10 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
 
 
 def features(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with FEATURES (long) in place of columns of those names; the text column stays only if df needs it itself."""
+    """df with FEATURES (long) in place of columns of those names, in any case; the text column stays only if df needs it itself.
+
+    Null and empty texts have zeros. Rows are independent and repeated rows alike; an empty table gives an empty table.
+    """
     source = fresh(df, "text")
     kept = others(df, FEATURES)
     schema = StructType([*kept, *(StructField(x, T.LongType()) for x in FEATURES)])

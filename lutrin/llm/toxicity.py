@@ -51,7 +51,10 @@ def fold(text: str) -> str:
 
 @dataclass
 class Lexicon:
-    """terms with weights: whole words (with a blank after them) and beginnings of longer words (with a +); exceptions: folded phrases."""
+    """terms with weights: whole words (with a blank after them) and beginnings of longer words (with a +); exceptions: folded phrases.
+
+    An empty one, as of no labels, finds nothing in any text, null and empty ones among them.
+    """
 
     terms: dict[str, float] = field(default_factory=dict)
     exceptions: set[str] = field(default_factory=set)
