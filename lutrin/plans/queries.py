@@ -65,8 +65,8 @@ def text_cleaning(function: Callable[[str], object]) -> Callable[[SparkSession,
 
 
 def index(spark: SparkSession, sf_dir: str) -> bm25.Index:
-    """The documents' stored index. It is built when a session first asks, and again when the table's files are others."""
-    path = f"{io.shared(spark)}/lutrin-bm25-2-{io.fingerprint(spark, f'{sf_dir}/documents.parquet')}"
+    """The documents' stored index. It is built when first asked for, and again when the table's files or the code that makes it are others."""
+    path = f"{io.shared(spark)}/lutrin-bm25-{io.code(bm25, X)}-{io.fingerprint(spark, f'{sf_dir}/documents.parquet')}"
     return bm25.read(spark, io.once(spark, path, lambda made: bm25.build(corpus(spark, sf_dir), made)))
 
 

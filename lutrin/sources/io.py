@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import inspect
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from types import ModuleType
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,13 +39,18 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def shared(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or in local mode a temporary one where that is unset."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir, or in local mode one of the application's own, which goes with it,
+    where that is unset."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if top:
         return top.rstrip("/")
     if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"file://{tempfile.gettempdir()}/lutrin"
+    path = f"file://{tempfile.gettempdir()}/lutrin-{spark.sparkContext.applicationId}"
+    system, where = _place(spark, path)
+    system.mkdirs(where)
+    system.deleteOnExit(where)
+    return path
 
 
 def temporary(spark: SparkSession) -> str:
@@ -62,6 +69,11 @@ def fingerprint(spark: SparkSession, path: str) -> str:
     return hashlib.sha256(repr(files).encode()).hexdigest()[:24]
 
 
+def code(*modules: ModuleType) -> str:
+    """Of the source of modules: what they store is of a format of its own."""
+    return hashlib.sha256("".join(map(inspect.getsource, modules)).encode()).hexdigest()[:12]
+
+
 def once(spark: SparkSession, path: str, write: Callable[[str], object]) -> str:
     """Have ``write`` make a folder at ``path`` unless it is there; it is made elsewhere and moved when whole."""
     system, where = _place(spark, path)
