@@ -2,7 +2,7 @@
 
 The index is a log of segments under versions (``sources.snapshots``). A segment has its rows in ranges, and each term's postings of a range
 as one block with the greatest tf and the least length in it. From these alone follows the most that any row of a range can score,
-whatever the corpus's averages are by then, so ranges that can't reach a query's k-th score are never opened. Rows that are removed or replaced
+whatever the corpus's averages are by then, so ranges that can't reach a query's k-th score are never opened. A posting is a row's place in its range and a count. Rows that are removed or replaced
 stay in their blocks and are named in a list of the dead, until segments are merged; document frequencies, the number of rows and
 their length are those of the living, as a new index of them would have.
 """
@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructType
+from pyspark.sql.types import ArrayType, ByteType, IntegerType, LongType, StringType, StructType
 
 from ..functions.text import normalize
 from ..sources import io, snapshots
@@ -34,12 +34,14 @@ SLACK = 2e-6
 
 @dataclass
 class Index:
-    """blocks(term, r, n, max_tf, min_dl, ids, tfs, dls), dead(r, chunk_id) or None, vocabulary(term, df, idf), stats(n, avgdl, avg_idf).
+    """blocks(term, r, n, max_tf, min_dl, rows, tfs), ranges(r, ids, dls), dead(r, row, chunk_id) or None, vocabulary(term, df, idf),
+    stats(n, avgdl, avg_idf, total).
 
-    A block is of one term in one range r; that of the null term has all rows of the range.
+    A block is of one term in one range r, whose rows it names by their places in ids and dls. Where a row has gone for good its id is null.
     """
 
     blocks: DataFrame
+    ranges: DataFrame
     dead: DataFrame | None
     vocabulary: DataFrame
     stats: DataFrame
@@ -47,13 +49,16 @@ class Index:
     @property
     def postings(self) -> DataFrame:
         """(chunk_id, term, tf, dl) of the living."""
-        rows = self.blocks.where("term is not null").select("r", "term", F.explode(F.arrays_zip("ids", "tfs", "dls")).alias("x"))
-        rows = rows.select("r", F.col("x.ids").alias("chunk_id"), "term", F.col("x.tfs").alias("tf"), F.col("x.dls").alias("dl"))
-        return _living(rows, self.dead).drop("r")
+        return _opened(self.blocks, self).select("chunk_id", "term", "tf", "dl")
 
 
-def _living(rows: DataFrame, dead: DataFrame | None) -> DataFrame:
-    return rows if dead is None else rows.join(small(dead), ["r", "chunk_id"], "left_anti")
+def _opened(blocks: DataFrame, index: Index) -> DataFrame:
+    """The living postings of blocks: their columns with tf, row, chunk_id and dl in place of the arrays."""
+    kept = [x for x in blocks.columns if x not in ("rows", "tfs", "n", "max_tf", "min_dl")]
+    each = blocks.join(index.ranges, "r").select(*kept, "ids", "dls", F.explode(F.arrays_zip("rows", "tfs")).alias("x"))
+    row = F.col("x.rows").cast("int")
+    each = each.select(*kept, row.alias("row"), F.get("ids", row).alias("chunk_id"), F.col("x.tfs").alias("tf"), F.get("dls", row).alias("dl"))
+    return each if index.dead is None else each.join(small(index.dead.select("r", "row")), ["r", "row"], "left_anti")
 
 
 def read(spark: SparkSession, path: str, version: int | None = None) -> Index:
@@ -61,7 +66,7 @@ def read(spark: SparkSession, path: str, version: int | None = None) -> Index:
     if held is None:
         raise ValueError(f"no index at {path}")
     every = lambda names: reduce(DataFrame.union, [spark.read.parquet(f"{path}/{x}") for x in names])
-    return Index(every(held["blocks"]), every(held["dead"]) if held["dead"] else None, spark.read.parquet(f"{path}/{held['vocabulary']}"), spark.read.parquet(f"{path}/{held['stats']}"))
+    return Index(every(held["blocks"]), every(held["ranges"]), every(held["dead"]) if held["dead"] else None, spark.read.parquet(f"{path}/{held['vocabulary']}"), spark.read.parquet(f"{path}/{held['stats']}"))
 
 
 def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
@@ -77,10 +82,10 @@ def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordB
 
 
 def _blocks(corpus: DataFrame, segment: int, key: str, text: str) -> DataFrame:
-    """The blocks of a segment, range by range: rows are tokenised once and not moved. Null text has no terms, and still counts as a row."""
-    kind = corpus.schema[key].dataType
-    whole = IntegerType()
-    schema = StructType().add("term", StringType()).add("r", LongType()).add("n", whole).add("max_tf", whole).add("min_dl", whole).add("ids", ArrayType(kind)).add("tfs", ArrayType(whole)).add("dls", ArrayType(whole))
+    """The blocks of a segment and, with null terms, its ranges, one after another: rows are tokenised once and not moved. Null text has no
+    terms, and still counts as a row."""
+    kind, whole = corpus.schema[key].dataType, IntegerType()
+    schema = StructType().add("term", StringType()).add("r", LongType()).add("n", whole).add("max_tf", whole).add("min_dl", whole).add("rows", ArrayType(ByteType())).add("tfs", ArrayType(whole)).add("ids", ArrayType(kind)).add("dls", ArrayType(whole))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, rows in _ranges(batches):
@@ -88,38 +93,65 @@ def _blocks(corpus: DataFrame, segment: int, key: str, text: str) -> DataFrame:
             tokens, ids = rows.column("tokens"), rows.column("chunk_id")
             lengths = tokens.value_lengths().fill_null(0).to_numpy().astype(np.int64)
             coded = tokens.flatten().dictionary_encode()
-            terms = coded.dictionary
             pairs, tf = np.unique(coded.indices.to_numpy().astype(np.int64) * len(lengths) + np.repeat(np.arange(len(lengths)), lengths), return_counts=True)
-            # Each term's rows, after all rows as those of the null term.
-            row = np.concatenate((np.arange(len(lengths)), pairs % len(lengths)))
-            tf = np.concatenate((np.zeros(len(lengths), np.int64), tf))
-            starts = np.concatenate(([0], len(lengths) + np.flatnonzero(np.r_[True, np.diff(pairs // len(lengths)) > 0][: len(pairs)])))
-            offsets = pa.array(np.append(starts, len(row)), pa.int32())
-            listed = lambda x: pa.ListArray.from_arrays(offsets, x)
-            numbers = lambda x: pa.array(x, pa.int32())
-            n = np.diff(np.append(starts, len(row)))
-            columns = [pa.concat_arrays([pa.array([None], pa.string()), terms.cast(pa.string())]), pa.array([r] * len(starts), pa.int64()), numbers(n), numbers(np.maximum.reduceat(tf, starts)), numbers(np.minimum.reduceat(lengths[row], starts))]
-            yield pa.RecordBatch.from_arrays([*columns, listed(ids.take(pa.array(row))), listed(numbers(tf)), listed(numbers(lengths[row]))], names=schema.fieldNames())
+            row = pairs % len(lengths)
+            starts = np.flatnonzero(np.r_[True, np.diff(pairs // len(lengths)) > 0][: len(pairs)])
+            ends = np.append(starts, len(row))
+            number_of = lambda x: pa.array(x, pa.int32())
+            # The range itself comes first.
+            terms = pa.concat_arrays([pa.array([None], pa.string()), coded.dictionary.cast(pa.string())])
+            least = np.minimum.reduceat(lengths[row], starts) if len(starts) else starts
+            most = np.maximum.reduceat(tf, starts) if len(starts) else starts
+            listed = lambda x: pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), x)
+            whole = lambda x: pa.ListArray.from_arrays(pa.array(np.append(0, np.full(len(ends), len(lengths))), pa.int32()), x, mask=pa.array(np.arange(len(ends)) > 0))
+            numbers = [number_of(np.append(first, x)) for first, x in ((len(lengths), np.diff(ends)), (0, most), (0, least))]
+            columns = [terms, pa.array([r] * len(ends), pa.int64()), *numbers, listed(pa.array(row, pa.int8())), listed(number_of(tf)), whole(ids), whole(number_of(lengths))]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
 
     tokens = corpus.select(F.spark_partition_id().alias("task"), F.col(key).alias("chunk_id"), F.coalesce(normalize(text), F.array().cast("array<string>")).alias("tokens"))
     return tokens.mapInArrow(run, schema)
 
 
-def _sorted(blocks: DataFrame, path: str) -> str:
-    """Store blocks by term, a term that most ranges have in several files; they are made once, though the sort reads them twice."""
-    spark, name = blocks.sparkSession, snapshots.part("blocks")
-    made = io.temporary(spark)
-    blocks.write.mode("overwrite").parquet(made)
-    spark.read.schema(blocks.schema).parquet(made).repartitionByRange("term", "r").sortWithinPartitions("term", "r").write.parquet(f"{path}/{name}")
+class _Scratch:
+    """Tables that are needed on the way to others, and go at the end."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.paths.append(io.temporary(self.spark))
+        df.write.mode("overwrite").parquet(self.paths[-1])
+        return self.spark.read.schema(df.schema).parquet(self.paths[-1])
+
+    def __enter__(self) -> _Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        for path in self.paths:
+            io.remove(self.spark, path)
+
+
+def _by_term(blocks: DataFrame, path: str) -> str:
+    """Store blocks by term, a term that most ranges have in several files."""
+    name = snapshots.part("blocks")
+    blocks.select("term", "r", "n", "max_tf", "min_dl", "rows", "tfs").repartitionByRange("term", "r").sortWithinPartitions("term", "r").write.parquet(f"{path}/{name}")
     return name
 
 
+def _stored(corpus: DataFrame, path: str, segment: int, key: str, text: str) -> tuple[str, str]:
+    """The names of a new segment's blocks and ranges. They are made once, though sorting reads them twice."""
+    spark, ranges = corpus.sparkSession, snapshots.part("ranges")
+    with _Scratch(spark) as scratch:
+        made = scratch.keep(_blocks(corpus, segment, key, text))
+        made.where("term is null").select("r", "ids", "dls").write.parquet(f"{path}/{ranges}")
+        return _by_term(made.where("term is not null"), path), ranges
+
+
 def _counted(spark: SparkSession, path: str, changes: list[DataFrame]) -> dict:
     """Store the vocabulary and the statistics of changes(term, df, dl); df and dl of the null term are of rows and their lengths."""
     counts = reduce(DataFrame.unionByName, changes).groupBy("term").agg(F.sum("df").alias("df"), F.sum("dl").alias("dl")).where("df > 0")
-    made = io.temporary(spark)
-    counts.write.mode("overwrite").parquet(made)
-    counts = spark.read.schema(counts.schema).parquet(made)
+    scratch = _Scratch(spark)
+    counts = scratch.keep(counts)
     size = counts.where("term is null").agg(F.coalesce(F.sum("df"), F.lit(0)).alias("n"), F.sum("dl").alias("dl"))
     raw = counts.where("term is not null").join(F.broadcast(size.select("n"))).select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf0"))
     stats, vocabulary = snapshots.part("stats"), snapshots.part("vocabulary")
@@ -127,12 +159,15 @@ def _counted(spark: SparkSession, path: str, changes: list[DataFrame]) -> dict:
     mean = spark.read.parquet(f"{path}/{stats}").select("avg_idf")
     floored = F.when(F.col("idf0") >= 0, F.col("idf0")).otherwise(EPSILON * F.col("avg_idf"))
     raw.join(F.broadcast(mean)).select("term", "df", floored.alias("idf")).write.parquet(f"{path}/{vocabulary}")
+    scratch.__exit__()
     return {"vocabulary": vocabulary, "stats": stats}
 
 
-def _frequencies(blocks: DataFrame) -> DataFrame:
-    own = F.when(F.col("term").isNull(), F.aggregate("dls", F.lit(0).cast("long"), lambda a, x: a + x)).otherwise(F.lit(0))
-    return blocks.select("term", F.col("n").cast("long").alias("df"), own.alias("dl"))
+def _frequencies(spark: SparkSession, path: str, blocks: str, ranges: str) -> list[DataFrame]:
+    """What a segment adds to the counts."""
+    length = F.aggregate("dls", F.lit(0).cast("long"), lambda a, x: a + x)
+    rows = spark.read.parquet(f"{path}/{ranges}").select(F.lit(None).cast("string").alias("term"), F.size("ids").cast("long").alias("df"), length.alias("dl"))
+    return [spark.read.parquet(f"{path}/{blocks}").select("term", F.col("n").cast("long").alias("df"), F.lit(0).cast("long").alias("dl")), rows]
 
 
 def update(spark: SparkSession, path: str, corpus: DataFrame | None = None, removed: DataFrame | None = None, key: str = "chunk_id", text: str = "document", stream: str | None = None, batch: int | None = None) -> Index:
@@ -142,7 +177,7 @@ def update(spark: SparkSession, path: str, corpus: DataFrame | None = None, remo
     It costs what the change has, one look at which ranges the changed ids are in, and one pass over the vocabulary. stream, batch: as with
     ``collection.upsert``.
     """
-    held = snapshots.load(spark, path) or {"version": 0, "segment": 0, "blocks": [], "dead": [], "streams": {}}
+    held = snapshots.load(spark, path) or {"version": 0, "segment": 0, "blocks": [], "ranges": [], "dead": [], "streams": {}}
     if stream is not None and held["streams"].get(stream, -1) >= batch:
         return read(spark, path)
     content = held | {"streams": held["streams"] | ({stream: batch} if stream is not None else {})}
@@ -153,20 +188,23 @@ def update(spark: SparkSession, path: str, corpus: DataFrame | None = None, remo
         changes += [old.vocabulary.select("term", "df", F.lit(0).cast("long").alias("dl")).unionByName(rows)]
         ids = [x for x in (corpus.select(F.col(key).alias("chunk_id")) if corpus is not None else None, removed.select("chunk_id") if removed is not None else None) if x is not None]
         if ids:
-            places = old.blocks.where("term is null").select("r", F.explode("ids").alias("chunk_id"))
-            gone = _living(places.join(small(reduce(DataFrame.union, ids).distinct()), "chunk_id", "left_semi"), old.dead)
+            places = old.ranges.select("r", "dls", F.posexplode("ids").alias("row", "chunk_id")).where("chunk_id is not null").select("r", "row", "chunk_id", F.get("dls", F.col("row")).alias("dl"))
+            gone = places.join(small(reduce(DataFrame.union, ids).distinct()), "chunk_id", "left_semi").select("r", "row", "chunk_id", "dl")
+            gone = gone if old.dead is None else gone.join(small(old.dead), ["r", "row"], "left_anti")
             name = snapshots.part("dead")
-            gone.select("r", "chunk_id").write.parquet(f"{path}/{name}")
-            gone = spark.read.schema(gone.select("r", "chunk_id").schema).parquet(f"{path}/{name}")
+            gone.write.parquet(f"{path}/{name}")
+            gone = spark.read.schema(gone.schema).parquet(f"{path}/{name}")
             if gone.limit(1).count():
                 content["dead"] = [*held["dead"], name]
-                touched = old.blocks.join(small(gone.select("r").distinct()), "r", "left_semi").select("r", "term", F.explode(F.arrays_zip("ids", "dls")).alias("x"))
-                lost = touched.select("r", "term", F.col("x.ids").alias("chunk_id"), F.col("x.dls").alias("dl")).join(small(gone), ["r", "chunk_id"], "left_semi")
-                changes.append(lost.groupBy("term").agg((-F.count("*")).alias("df"), F.sum(F.when(F.col("term").isNull(), -F.col("dl")).otherwise(0)).alias("dl")))
+                touched = old.blocks.join(small(gone.select("r").distinct()), "r", "left_semi").select("r", "term", F.explode("rows").alias("row"))
+                lost = touched.withColumn("row", F.col("row").cast("int")).join(small(gone.select("r", "row")), ["r", "row"], "left_semi")
+                changes.append(lost.groupBy("term").agg((-F.count("*")).alias("df")).withColumn("dl", F.lit(0).cast("long")))
+                changes.append(gone.select(F.lit(None).cast("string").alias("term"), F.lit(-1).cast("long").alias("df"), (-F.col("dl")).cast("long").alias("dl")))
     if corpus is not None:
         content["segment"] = held["segment"] + 1
-        content["blocks"] = [*held["blocks"], _sorted(_blocks(corpus, content["segment"], key, text), path)]
-        changes.append(_frequencies(spark.read.parquet(f"{path}/{content['blocks'][-1]}")))
+        blocks, ranges = _stored(corpus, path, content["segment"], key, text)
+        content |= {"blocks": [*held["blocks"], blocks], "ranges": [*held["ranges"], ranges]}
+        changes += _frequencies(spark, path, blocks, ranges)
     content |= _counted(spark, path, changes)
     snapshots.commit(spark, path, content, held["version"] + 1)
     return read(spark, path)
@@ -177,23 +215,25 @@ def build(corpus: DataFrame, path: str, key: str = "chunk_id", text: str = "docu
     spark = corpus.sparkSession
     held = snapshots.load(spark, path) or {"version": 0, "segment": 0, "streams": {}}
     segment = held["segment"] + 1
-    name = _sorted(_blocks(corpus, segment, key, text), path)
-    content = {"segment": segment, "blocks": [name], "dead": [], "streams": held["streams"]} | _counted(spark, path, [_frequencies(spark.read.parquet(f"{path}/{name}"))])
+    blocks, ranges = _stored(corpus, path, segment, key, text)
+    content = {"segment": segment, "blocks": [blocks], "ranges": [ranges], "dead": [], "streams": held["streams"]} | _counted(spark, path, _frequencies(spark, path, blocks, ranges))
     snapshots.commit(spark, path, content, held["version"] + 1)
     return read(spark, path)
 
 
 def merge(spark: SparkSession, path: str) -> Index:
-    """Make one segment of all, without the dead: ranges' rows stay together, and what is left of them in the blocks goes on."""
+    """Make one part of all segments, without the dead: their postings go, and their ids become null, so that the others keep their places."""
     held, old = snapshots.load(spark, path), read(spark, path)
-    blocks = old.blocks
+    blocks, ranges, name = old.blocks, old.ranges, snapshots.part("ranges")
     if old.dead is not None:
-        lost = old.dead.groupBy("r").agg(F.collect_set("chunk_id").alias("gone"))
-        zipped = F.filter(F.arrays_zip("ids", "tfs", "dls"), lambda x: ~F.array_contains("gone", x["ids"]))
-        touched = blocks.join(small(lost), "r").withColumn("x", zipped).where(F.size("x") > 0)
-        fewer = touched.select("term", "r", F.size("x").alias("n"), F.array_max("x.tfs").alias("max_tf"), F.array_min("x.dls").alias("min_dl"), F.col("x.ids").alias("ids"), F.col("x.tfs").alias("tfs"), F.col("x.dls").alias("dls"))
-        blocks = blocks.join(small(lost.select("r")), "r", "left_anti").select(*fewer.columns).unionByName(fewer)
-    content = held | {"blocks": [_sorted(blocks, path)], "dead": []}
+        lost = small(old.dead.groupBy("r").agg(F.collect_set("row").alias("gone")))
+        left = F.filter(F.arrays_zip("rows", "tfs"), lambda x: ~F.array_contains("gone", x["rows"].cast("int")))
+        touched = blocks.join(lost, "r", "left").withColumn("x", F.when(F.col("gone").isNotNull(), left).otherwise(F.arrays_zip("rows", "tfs"))).where(F.size("x") > 0)
+        blocks = touched.select("term", "r", F.size("x").alias("n"), "max_tf", "min_dl", F.col("x.rows").alias("rows"), F.col("x.tfs").alias("tfs"))  # its bounds still hold
+        empty = F.lit(None).cast(ranges.schema["ids"].dataType.elementType)
+        ranges = ranges.join(lost, "r", "left").withColumn("ids", F.when(F.col("gone").isNull(), F.col("ids")).otherwise(F.transform("ids", lambda x, i: F.when(F.array_contains("gone", i), empty).otherwise(x)))).select("r", "ids", "dls")
+    ranges.write.parquet(f"{path}/{name}")
+    content = held | {"blocks": [_by_term(blocks, path)], "ranges": [name], "dead": []}
     snapshots.commit(spark, path, content, held["version"] + 1)
     return read(spark, path)
 
@@ -212,12 +252,7 @@ class Search:
         self.asked = small(index.vocabulary.join(small(terms), "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight")))
         names = [r.term for r in self.asked.select("term").distinct().limit(NAMED + 1).collect()]
         self.blocks = index.blocks.where(F.col("term").isin(names)) if len(names) <= NAMED else index.blocks
-        self.spark = queries.sparkSession
-
-    def _kept(self, df: DataFrame) -> DataFrame:
-        path = io.temporary(self.spark)
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        self._kept = _Scratch(queries.sparkSession).keep  # small tables, which the result reads
 
     def bounds(self) -> DataFrame:
         """(query_id, r, most): what no row of a range scores more than."""
@@ -228,10 +263,9 @@ class Search:
     def scores(self, ranges: DataFrame) -> DataFrame:
         """(query_id, chunk_id, score) of all living rows with a term of the query in the ranges (query_id, r)."""
         need = small(ranges.select("query_id", "r").join(self.asked, "query_id"))
-        hits = self.blocks.select("term", "r", "ids", "tfs", "dls").join(need, ["term", "r"]).select("query_id", "r", "weight", F.explode(F.arrays_zip("ids", "tfs", "dls")).alias("x"))
-        hits = hits.select("query_id", "r", F.col("x.ids").alias("chunk_id"), "weight", F.col("x.tfs").alias("tf"), F.col("x.dls").alias("dl")).join(F.broadcast(self.index.stats))
-        scored = hits.groupBy("query_id", "r", "chunk_id").agg(F.round(F.sum(_gain(F.col("weight"), F.col("tf"), F.col("dl"))), 6).alias("score"))
-        return _living(scored, self.index.dead).select("query_id", "chunk_id", "score")
+        hits = _opened(self.blocks.select("term", "r", "rows", "tfs").join(need, ["term", "r"]), self.index).join(F.broadcast(self.index.stats))
+        scored = hits.groupBy("query_id", "r", "row", "chunk_id").agg(F.round(F.sum(_gain(F.col("weight"), F.col("tf"), F.col("dl"))), 6).alias("score"))
+        return scored.select("query_id", "chunk_id", "score")
 
     def run(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         """The scores of the ranges that promise most, k for each query; those ranges, and the others that may hold one of a query's best k."""

@@ -73,7 +73,7 @@ def index(spark: SparkSession, sf_dir: str) -> bm25.Index:
 def bm25_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A new index of all documents, built whenever this is asked, and its sizes."""
     own = bm25.build(corpus(spark, sf_dir), io.temporary(spark))
-    sums = own.blocks.where("term is not null").agg(F.coalesce(F.sum(F.col("n").cast("long")), F.lit(0)).alias("postings"), F.sum(F.aggregate("tfs", F.lit(0).cast("long"), lambda a, x: a + x)).alias("tokens"))
+    sums = own.blocks.agg(F.coalesce(F.sum(F.col("n").cast("long")), F.lit(0)).alias("postings"), F.sum(F.aggregate("tfs", F.lit(0).cast("long"), lambda a, x: a + x)).alias("tokens"))
     return own.stats.select("n").join(F.broadcast(sums)).join(F.broadcast(own.vocabulary.agg(F.count("*").alias("terms"))))
 
 

@@ -62,6 +62,11 @@ def temporary(spark: SparkSession) -> str:
     return path
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    system, where = _place(spark, path)
+    system.delete(where, True)
+
+
 def fingerprint(spark: SparkSession, path: str) -> str:
     """Of the names, lengths and times of the files at a path (a file, or a folder of files)."""
     system, where = _place(spark, path)
