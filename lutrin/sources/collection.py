@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..operators.sizes import small
 from . import snapshots
 
-SEGMENT = "__segment"
+GONE = "__gone"
 
 
 def read(spark: SparkSession, path: str, version: int | None = None) -> DataFrame | None:
@@ -24,14 +24,17 @@ def read(spark: SparkSession, path: str, version: int | None = None) -> DataFram
     if held is None:
         return None
     segments = held["segments"]
-    rows = [spark.read.parquet(f"{path}/{s['rows']}").withColumn(SEGMENT, F.lit(i)) for i, s in enumerate(segments)]
-    if len(rows) == 1:
-        return rows[0].drop(SEGMENT)
-    keys = [spark.read.parquet(f"{path}/{s['sources']}").select(F.col("source").alias("__source"), F.lit(i).alias("__last")) for i, s in enumerate(segments[1:], 1)]
-    last = reduce(DataFrame.union, keys).groupBy("__source").agg(F.max("__last").alias("__last"))
-    union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
-    live = union.join(small(last), union[held["source"]].eqNullSafe(F.col("__source")), "left").where(F.coalesce("__last", F.lit(0)) <= F.col(SEGMENT))
-    return live.drop(SEGMENT, "__source", "__last")
+    spoken = [spark.read.parquet(f"{path}/{s['sources']}").select("source") for s in segments]
+    live = []
+    for i, s in enumerate(segments):
+        rows = spark.read.parquet(f"{path}/{s['rows']}")
+        if i + 1 < len(segments):
+            # Which of its sources others speak for is found among the lists of sources; those few, not the rows, are what is sent.
+            later = reduce(DataFrame.union, spoken[i + 1 :]).withColumnRenamed("source", GONE)
+            gone = later.join(spoken[i], F.col(GONE).eqNullSafe(F.col("source")), "left_semi").distinct()
+            rows = rows.join(small(gone), rows[held["source"]].eqNullSafe(F.col(GONE)), "left_anti")
+        live.append(rows)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), live)
 
 
 def _store(df: DataFrame, path: str, sources: DataFrame | None, source: str, apart: list[str]) -> dict:
