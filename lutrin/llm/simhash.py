@@ -109,7 +109,8 @@ def links(prints: DataFrame, tables: Tables, distance: int = 2) -> DataFrame:
 
     prints: distinct, cheap to read. If two fingerprints differ in two bits, one half differs in one at most. A half
     that more than FULL_HALF fingerprints share is not joined on: whole fingerprints are enumerated from each that
-    probes it, 529 at most, so the candidates of a fingerprint don't grow with the group.
+    probes it, 529 at most, so the candidates of a fingerprint don't grow with the group. What is exploded is never broadcast: Spark takes it
+    for as large as the file that it was made of.
     """
     if not 0 <= distance <= 2:
         raise ValueError("distances of 0 to 2 bits")
@@ -125,7 +126,7 @@ def links(prints: DataFrame, tables: Tables, distance: int = 2) -> DataFrame:
     if crowded:
         table = table.join(small(full), ["half", "value"], "left_anti")
     near = (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance) & (F.col("a") < F.col("b"))
-    out = probe.drop("own").join(table, ["half", "value"]).where(near).select("a", "b")
+    out = probe.drop("own").hint("merge").join(table.hint("merge"), ["half", "value"]).where(near).select("a", "b")
     if crowded:
         hit = probe.join(small(full), ["half", "value"]).withColumn("used", F.bit_count(F.col("own").bitwiseXOR(F.col("value"))))
         for i in range(2):

@@ -121,6 +121,12 @@ def test_simhash(docs):
     assert Counter(map(tuple, simhash.link(df).collect())) == want
 
 
+def test_links_broadcast_no_exploded_rows(spark):
+    """However small the file that fingerprints are read from: their balls are 66 times as many rows."""
+    links = simhash.links(spark.range(100).withColumnRenamed("id", "fp"), Tables(spark))
+    assert "Broadcast" not in links._jdf.queryExecution().executedPlan().toString()
+
+
 def test_links_of_crowded_halves(spark, monkeypatch):
     monkeypatch.setattr(simhash, "FULL_HALF", 3)
     r = random.Random(1)
