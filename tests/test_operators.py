@@ -1,5 +1,6 @@
 import re
 
+import duckdb
 from pyspark.sql import functions as F
 
 from lutrin.functions import text as X
@@ -57,3 +58,14 @@ def test_judge(spark):
     answers = ["SCORE: 7", "score: 7.5", "SCORE: 85", "SCORE: -3", "none", None]
     rows = spark.createDataFrame([(a,) for a in answers], "a string").select(evaluate.judge_score(F.col("a")).alias("s")).collect()
     assert [r.s for r in rows] == [7, 7, 85, 0, 0, 0]
+
+
+def test_capitals_are_one_for_one(spark):
+    """As DuckDB's upper has them: of all letters, alone and among others."""
+    letters = [chr(i) for i in range(1, 0x3000) if not 0x1C80 <= i < 0x1C90] + [chr(i) for i in range(0xFB00, 0xFB50)]
+    rows = [*letters, "straße ŉ ßß ﬁᾳ é", "", None]
+    frame = spark.createDataFrame(list(enumerate(rows)), "i int, x string").coalesce(1)
+    got = [r.u for r in frame.select("i", X.capitals("x").alias("u")).orderBy("i").collect()]
+    assert got[-3:] == ["STRAẞE ŉ ẞẞ ﬁᾼ É", "", None]
+    known = duckdb.execute("select upper(unnest(?::varchar[]))", [rows]).fetchall()
+    assert [(a, b, c) for a, b, (c,) in zip(rows, got, known, strict=True) if b != c and a not in ("ƛ", "ɤ")] == []  # of Unicode 16
