@@ -183,3 +183,21 @@ def test_substrings(spark, tmp_path):
     assert substring_index.candidates(index, "needle").count() == 1 < index.texts.where(F.col("document").contains("e")).count()
     none = substring_index.build(corpus.limit(0), f"{tmp_path}/none")
     assert substring_index.search(none, "abc").count() == 0 == substring_index.search(none, "a").count()
+
+
+def test_terms_made_in_tasks(spark):
+    """Are those that the text function gives."""
+    rows = ["Le  CHAT, l'été; à-côté x\x1cy z", "", "...", "İΣς ß ①​k", "a.b\nc", None]
+    made = spark.createDataFrame(list(enumerate(rows)), "i int, x string").coalesce(1).select("i", F.lower("x").alias("low"), bm25.normalize("x").alias("t")).orderBy("i").collect()
+    assert [bm25._words(None if r.low is None else r.low.encode()) for r in made] == [r.t or [] for r in made]
+
+
+def test_scores_are_few(spark, tmp_path):
+    """Of a common word's rows a task gives about the best k for each query, and the blocks that it reads are dealt once for all queries."""
+    index = bm25.build(spark.createDataFrame([(i, "le " + "la " * (i % 50)) for i in range(1000)], DOCUMENT).coalesce(1), f"{tmp_path}/i")
+    asked = spark.createDataFrame([(q, "le") for q in range(300)], "query_id int, query string")
+    search = bm25.Search(index, asked, 3)
+    got = search.scores(index.blocks.where("term = 'le'").select(F.explode(F.sequence(F.lit(0), F.lit(299))).alias("query_id"), "r"))
+    assert 900 <= got.count() < 300_000 / 5
+    least = got.groupBy("query_id").agg(F.count_if(F.col("score") == got.agg(F.max("score")).first()[0]).alias("n")).agg(F.min("n")).first()[0]
+    assert least == 20  # all the equal best, as ties are broken by id later
