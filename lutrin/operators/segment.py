@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions.text import SPACE, collapse, strip
 
-#: The gazette's headings.
-TITLE = rf"(?iuUs)(?:^|\n)((?:Décret{SPACE}+(?:présidentiel|exécutif)|Arrêté(?:{SPACE}+interministériel)?|Décision){SPACE}+(?:n[°o\.]?|du).*?\.){SPACE}*[-—–_]{{3,}}"
-ARTICLE = rf"(?iuU)(?:^|\n){SPACE}*Art(?:icle)?\.?{SPACE}*(\d+(?:er)?)\.?{SPACE}*[-—–]+"
-FIRST_ARTICLE = rf"(?iuU)(?:^|\n){SPACE}*Art(?:icle)?\.?{SPACE}*1?(?:er)?\.?{SPACE}*[-—–]+"
-ENACTS = rf"(?iuU)(?:^|\n){SPACE}*(Décrète|Décrètent|Décide|Décident|Arrête|Arrêtent){SPACE}*:{SPACE}*(?:\n|\z)"
+#: The gazette's headings, at the beginning of a line. Texts are given a first line end, so that these begin with one.
+TITLE = rf"(?iuUs)\n((?:Décret{SPACE}+(?:présidentiel|exécutif)|Arrêté(?:{SPACE}+interministériel)?|Décision){SPACE}+(?:n[°o\.]?|du).*?\.){SPACE}*[-—–_]{{3,}}"
+ARTICLE = rf"(?iuU)\n{SPACE}*Art(?:icle)?\.?{SPACE}*(\d+(?:er)?)\.?{SPACE}*[-—–]+"
+FIRST_ARTICLE = rf"(?iuU)\n{SPACE}*Art(?:icle)?\.?{SPACE}*1?(?:er)?\.?{SPACE}*[-—–]+"
+ENACTS = rf"(?iuU)\n{SPACE}*(Décrète|Décrètent|Décide|Décident|Arrête|Arrêtent){SPACE}*:{SPACE}*(?:\n|\z)"
 NOT_TITLES = ["Article", "Art.", "Chapitre"]
 SIGNATURES = ["Fait à Alger", "Fait à ", "Le Premier ministre", "Le Président"]
 HEADER = r"(?iuU)(Décret\s+(?:présidentiel|exécutif)|Arrêté|Décision)\s+(?:n[°o\.]?)?\s*(\d+[-‐‑]\d+|\d{1,4}(?!\d))"
@@ -19,8 +19,8 @@ A, B = "\x01", "\x02"
 
 
 def _cut(x: Column, pattern: str, mark: str) -> Column:
-    """A text cut before (or with another mark, after) each match of a pattern. What stands before the first is the first part."""
-    return F.split(F.regexp_replace(x, pattern, mark), A)
+    """A text after a line end, cut before (or with another mark, after) each match of a pattern. What stands before the first is the first part."""
+    return F.split(F.regexp_replace(F.concat(F.lit("\n"), x), pattern, mark), A)
 
 
 def _ended(parts: Column) -> Column:
@@ -42,7 +42,7 @@ def segment(texts: DataFrame) -> DataFrame:
     step is one pass over an array that the step before has made, as within a function of an array's elements nothing is shared: time is in
     proportion to the text, however many articles it has.
     """
-    marked = _cut(F.translate(F.coalesce("text", F.lit("")), A + B, ""), TITLE, f"{A}$1{B}")
+    marked = _cut(F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit(A), F.lit("")), F.lit(B), F.lit("")), TITLE, f"{A}$1{B}")
     began = F.filter(marked, lambda x, i: i > 0)
     cut = F.transform(began, lambda x: F.struct(collapse(strip(F.substring_index(x, B, 1))).alias("title"), strip(F.substring_index(x, B, -1)).alias("body")))
     titled = F.filter(cut, lambda x: ~(x["title"].contains(NOT_TITLES[0]) | x["title"].contains(NOT_TITLES[1]) | x["title"].contains(NOT_TITLES[2])))

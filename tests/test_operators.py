@@ -69,3 +69,19 @@ def test_capitals_are_one_for_one(spark):
     assert got[-3:] == ["STRAẞE ŉ ẞẞ ﬁᾼ É", "", None]
     known = duckdb.execute("select upper(unnest(?::varchar[]))", [rows]).fetchall()
     assert [(a, b, c) for a, b, (c,) in zip(rows, got, known, strict=True) if b != c and a not in ("ƛ", "ɤ")] == []  # of Unicode 16
+
+
+def test_collapse_every_white_character(spark):
+    """Runs of all white space, single blanks left, whatever stands beside them."""
+    rows = [f"a{x}b{x}{y}c{y} {x}d" for x in X.WHITE for y in " \n　​"] + [x.join("  é ") for x in "ᚁ ​⿿"]
+    got = [r.t for r in spark.createDataFrame(list(enumerate(rows)), "i int, x string").coalesce(1).select("i", X.collapse("x").alias("t")).orderBy("i").collect()]
+    assert got == [re.sub(f"[{re.escape(X.WHITE)}]+", " ", x) for x in rows]
+    assert "(?=" in X.ANY  # classes beyond U+00FF are slow
+
+
+def test_headings_at_the_first_character(spark):
+    """Of a text, and of a document's body."""
+    text = "Décret exécutif n° 1 a. ----Article 1er. - un\nArt. 2. - deux"
+    docs = spark.createDataFrame([("x", text)], "source string, text string")
+    d = segment.segment(docs).first().documents[0]
+    assert (d.title, d.articles) == ("Décret exécutif n° 1 a.", ["Article 1er. - un", "Art. 2. - deux"]) and d.context == "Décret exécutif n° 1 a.\n\n"
