@@ -23,6 +23,8 @@ from . import vector
 CELLS, SAMPLE, ROUNDS = 4096, 64, 8
 #: How many cells a query reads is measured when the index is built: so many that about ASKED rows, asked for their nearest DEPTH others, find this share.
 ASKED, DEPTH, RECALL = 200, 10, 0.97
+#: Numbers that a task makes of a batch at once (8 MB): distances to centers, and vectors of queries beside the cells that they read.
+NUMBERS = 1_000_000
 #: Cells that are asked for by name at most, so that files' statistics leave out the rest.
 NAMED = 1000
 
@@ -43,11 +45,23 @@ def read(spark: SparkSession, path: str) -> Index:
 
 
 def _cells(own: np.ndarray, centers: np.ndarray, k: int = 1) -> np.ndarray:
-    """The nearest k centers of each vector."""
-    far = np.square(centers).sum(1)[None, :] - 2 * (own @ centers.T)
-    if k == 1:
-        return far.argmin(1)[:, None]
-    return np.argsort(far, axis=1, kind="stable")[:, :k]
+    """The nearest k centers of each vector, of so many vectors at once that their distances are NUMBERS at most."""
+    squares, out = np.square(centers).sum(1)[None, :], np.empty((len(own), min(k, len(centers))), np.int64)
+    step = max(1, NUMBERS // len(centers))
+    for at in range(0, len(own), step):
+        far = squares - 2 * (own[at : at + step] @ centers.T)
+        out[at : at + step] = far.argmin(1)[:, None] if k == 1 else np.argsort(far, axis=1, kind="stable")[:, :k]
+    return out
+
+
+def _probed(part: pa.RecordBatch, centers: np.ndarray, probes: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Queries (query_id, vector) beside each of the cells that they read, in pieces of NUMBERS numbers or of one query."""
+    step = max(1, NUMBERS // (probes * centers.shape[1]))
+    for at in range(0, part.num_rows, step):
+        some = part.slice(at, step)
+        cell = _cells(vector.matrix(some.column("vector"), centers.shape[1]), centers, probes)
+        some = some.take(pa.array(np.repeat(np.arange(some.num_rows), probes)))
+        yield pa.RecordBatch.from_arrays([pa.array(cell.ravel()), some.column("query_id"), some.column("vector")], names=names)
 
 
 def _fit(sample: DataFrame, first: np.ndarray, rounds: int) -> np.ndarray:
@@ -178,10 +192,7 @@ def search(index: Index, queries: DataFrame, k: int = 10, probes: int | None = N
             sizes = batch.column("vector").value_lengths().to_numpy(zero_copy_only=False)
             here, other = np.flatnonzero(sizes == centers.shape[1]), np.flatnonzero(sizes != centers.shape[1])
             if len(here):
-                part = batch.take(pa.array(here))
-                cell = _cells(vector.matrix(part.column("vector"), centers.shape[1]), centers, probes)
-                part = part.take(pa.array(np.repeat(np.arange(len(here)), probes)))
-                yield pa.RecordBatch.from_arrays([pa.array(cell.ravel().astype(np.int64)), part.column("query_id"), part.column("vector")], names=schema.fieldNames())
+                yield from _probed(batch.take(pa.array(here)), centers, probes, schema.fieldNames())
             if len(other):
                 part = batch.take(pa.array(other))
                 yield pa.RecordBatch.from_arrays([pa.array(-sizes[other].astype(np.int64)), part.column("query_id"), part.column("vector")], names=schema.fieldNames())

@@ -1,8 +1,10 @@
 """Stored indexes and collections: upkeep, pruning, versions, and the intake that adds to them."""
 
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -201,3 +203,18 @@ def test_scores_are_few(spark, tmp_path):
     assert 900 <= got.count() < 300_000 / 5
     least = got.groupBy("query_id").agg(F.count_if(F.col("score") == got.agg(F.max("score")).first()[0]).alias("n")).agg(F.min("n")).first()[0]
     assert least == 20  # all the equal best, as ties are broken by id later
+
+
+def test_cells_in_little_memory():
+    """Distances to all centers, and queries beside all cells, are made in pieces, and are the same."""
+    r = np.random.default_rng(2)
+    own, centers = r.normal(size=(3000, 16)), r.normal(size=(2000, 16))
+    far = np.square(centers).sum(1)[None, :] - 2 * (own @ centers.T)
+    tracemalloc.start()
+    one, all_ = vector_index._cells(own, centers), vector_index._cells(own[:200], centers, 2000)
+    pieces = list(vector_index._probed(pa.record_batch({"query_id": pa.array(range(200)), "vector": pa.array(list(own[:200]), pa.list_(pa.float64()))}), centers, 2000, ["g", "query_id", "vector"]))
+    assert (one[:, 0] == far.argmin(1)).all() and (all_ == np.argsort(far[:200], axis=1, kind="stable")).all()
+    assert max(x.num_rows for x in pieces) * 16 <= vector_index.NUMBERS and sum(x.num_rows for x in pieces) == 400_000
+    assert (np.concatenate([x.column("g").to_numpy() for x in pieces]) == all_.ravel()).all()
+    assert tracemalloc.get_traced_memory()[1] < 40_000_000  # 48 MB for one matrix of all distances
+    tracemalloc.stop()
