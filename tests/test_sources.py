@@ -100,6 +100,24 @@ def test_intake_of_new_files(spark, tmp_path):
     assert sorted((r.source_file, r.total_documents) for r in collection.read(spark, f"{tmp_path}/out").collect()) == [("a.txt", 1), ("b.txt", 0)]
 
 
+def test_intake_of_many_files_makes_few_tasks(spark, tmp_path):
+    """Neither looking files up nor reading them takes a task a file, in the first run and in one that finds nothing new; the caller's settings stay."""
+    path, n = put(tmp_path / "in", **{f"{i}_dot_txt": f"{i}\r\né" for i in range(600)}), 600
+    held = {k: spark.conf.get(k) for k in ("spark.sql.files.openCostInBytes", "spark.sql.sources.parallelPartitionDiscovery.parallelism", "spark.sql.files.maxPartitionBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 4 << 20)
+    try:
+        for _ in range(2):
+            query = ingest.ingest(spark, path, f"{tmp_path}/out", f"{tmp_path}/done", lambda df: df.withColumnRenamed("source", "source_file"))
+            query.awaitTermination()
+            known = spark.sparkContext.statusTracker()
+            stages = [known.getStageInfo(x) for job in known.getJobIdsForGroup(str(query.runId)) for x in known.getJobInfo(job).stageIds]
+            assert 0 < sum(x.numTasks for x in stages if x) < n / 2
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held["spark.sql.files.maxPartitionBytes"])
+    assert {k: spark.conf.get(k) for k in held} == held
+    assert sorted(map(tuple, collection.read(spark, f"{tmp_path}/out").select("source_file", "text").collect())) == sorted((f"{i}.txt", f"{i}\r\né") for i in range(n))
+
+
 def test_stored_once(spark, tmp_path):
     made = []
 
